@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quayline.llm import mixing, secrets
+from quayline.llm import decontam, mixing, secrets, toxicity
 from quayline.storage import table
 
 
@@ -11,14 +11,26 @@ def op1_secret_scan(spark, sf_dir):
     return secrets.scan_secrets(table(spark, sf_dir, "documents"))
 
 
+def op3_toxicity(spark, sf_dir):
+    """Toxicity of every whole text, learned from the rows that may be learned from."""
+    return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_mix_sources(spark, sf_dir):
     """All documents mixed to the sources' target weights."""
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op10_decontaminate(spark, sf_dir):
+    """Documents that hold benchmark items, verbatim or re-parameterised."""
+    return decontam.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
+    "op3_toxicity": op3_toxicity,
     "op7_mix_sources": op7_mix_sources,
+    "op10_decontaminate": op10_decontaminate,
 }
 
 ORACLES = {
