@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quayline.llm import decontam, mixing, secrets, toxicity
+from quayline.llm import decontam, mixing, near_dup, secrets, toxicity
 from quayline.storage import table
 
 
@@ -16,6 +16,11 @@ def op3_toxicity(spark, sf_dir):
     return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_near_dup(spark, sf_dir):
+    """Near-duplicate class of every document."""
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_mix_sources(spark, sf_dir):
     """All documents mixed to the sources' target weights."""
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
@@ -29,6 +34,7 @@ def op10_decontaminate(spark, sf_dir):
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op3_toxicity": op3_toxicity,
+    "op4_near_dup": op4_near_dup,
     "op7_mix_sources": op7_mix_sources,
     "op10_decontaminate": op10_decontaminate,
 }
