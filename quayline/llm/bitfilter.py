@@ -1,0 +1,48 @@
+"""A set of 64-bit hashes as a bit array of fixed size, built in the tasks.
+
+A value that is in the set always passes; others pass by chance, more often the fuller the array.
+What passes has to be joined exactly afterwards, so the size bounds memory, never the result.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+
+CHUNK = 1 << 16  # bytes
+
+
+def build(df: DataFrame, hash_col: str, bits: int) -> np.ndarray:
+    """The bits of df's hashes; what reaches the driver is the array itself."""
+
+    def mark(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        mine = np.zeros(bits // 8, np.uint8)
+        for part in parts:
+            h = part[hash_col].to_numpy().view(np.uint64)
+            flags = np.zeros(bits, bool)
+            flags[(h % np.uint64(bits)).astype(np.int64)] = True
+            mine |= np.packbits(flags, bitorder="little")
+        rows = [(k, mine[k * CHUNK : (k + 1) * CHUNK].tobytes()) for k in range(-(-len(mine) // CHUNK))]
+        yield pd.DataFrame([r for r in rows if any(r[1])], columns=["chunk", "bits"])
+
+    def merge(part: pd.DataFrame) -> pd.DataFrame:
+        out = np.frombuffer(part["bits"].iloc[0], np.uint8).copy()
+        for more in part["bits"].iloc[1:]:
+            out |= np.frombuffer(more, np.uint8)
+        return pd.DataFrame({"chunk": part["chunk"].iloc[:1], "bits": [out.tobytes()]})
+
+    kind = "chunk int, bits binary"
+    merged = df.select(hash_col).mapInPandas(mark, kind).groupBy("chunk").applyInPandas(merge, kind).toPandas()
+    out = np.zeros(bits // 8, np.uint8)
+    for chunk, part in merged.itertuples(index=False):
+        out[chunk * CHUNK : chunk * CHUNK + len(part)] = np.frombuffer(part, np.uint8)
+    return out
+
+
+def passes(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which of the hashes may be in the set."""
+    at = hashes % np.uint64(len(bits) * 8)
+    return (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)

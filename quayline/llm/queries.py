@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quayline.llm import decontam, mixing, near_dup, secrets, toxicity
+from quayline.llm import decontam, line_dedup, lm, mixing, near_dup, secrets, toxicity
 from quayline.storage import table
 
 
@@ -11,6 +11,11 @@ def op1_secret_scan(spark, sf_dir):
     return secrets.scan_secrets(table(spark, sf_dir, "documents"))
 
 
+def op2_substring_dedup(spark, sf_dir):
+    """Passages to remove from documents because they stand earlier in the corpus."""
+    return line_dedup.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op3_toxicity(spark, sf_dir):
     """Toxicity of every whole text, learned from the rows that may be learned from."""
     return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -26,6 +31,11 @@ def op7_mix_sources(spark, sf_dir):
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op9_lm_score(spark, sf_dir):
+    """Log probabilities of every whole text, learned from four folds of five."""
+    return lm.score_texts(table(spark, sf_dir, "documents"))
+
+
 def op10_decontaminate(spark, sf_dir):
     """Documents that hold benchmark items, verbatim or re-parameterised."""
     return decontam.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -33,9 +43,11 @@ def op10_decontaminate(spark, sf_dir):
 
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
+    "op2_substring_dedup": op2_substring_dedup,
     "op3_toxicity": op3_toxicity,
     "op4_near_dup": op4_near_dup,
     "op7_mix_sources": op7_mix_sources,
+    "op9_lm_score": op9_lm_score,
     "op10_decontaminate": op10_decontaminate,
 }
 
