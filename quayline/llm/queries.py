@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quayline.llm import decontam, line_dedup, lm, mixing, near_dup, secrets, toxicity
+from quayline.llm import ann, decontam, line_dedup, lm, mixing, near_dup, secrets, toxicity
 from quayline.storage import table
 
 
@@ -31,6 +31,11 @@ def op7_mix_sources(spark, sf_dir):
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op8_nearest_neighbours(spark, sf_dir):
+    """The 20 nearest vectors of every twentieth one."""
+    return ann.nearest_neighbours(table(spark, sf_dir, "embeddings"))
+
+
 def op9_lm_score(spark, sf_dir):
     """Log probabilities of every whole text, learned from four folds of five."""
     return lm.score_texts(table(spark, sf_dir, "documents"))
@@ -47,6 +52,7 @@ QUERIES = {
     "op3_toxicity": op3_toxicity,
     "op4_near_dup": op4_near_dup,
     "op7_mix_sources": op7_mix_sources,
+    "op8_nearest_neighbours": op8_nearest_neighbours,
     "op9_lm_score": op9_lm_score,
     "op10_decontaminate": op10_decontaminate,
 }
