@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 TOKEN = re.compile(r"\w+")
 DIM = 1 << 18  # hashed features
 BLOCK = 64  # tokens of one chain; a text is cut into chains of this length
-ROWS_PER_CLASS = 2500  # bound of the labelled sample that the model is fitted on, per class
+ROWS_PER_CLASS = 2000  # bound of the labelled sample that the model is fitted on, per class
 SAMPLE_CHARS = 20_000  # longer texts are left out of that sample (they are scored like any other)
 SEGMENTS = 10_000  # chains used in training
 THRESHOLD = 0.7
@@ -222,10 +222,11 @@ def _train(tokens: list[list[str]], labels: list[np.ndarray], rounds: int = 60)
 def _calibrate(model: ToxicityModel, tokens: list[list[str]], toxic: np.ndarray, weight: np.ndarray) -> tuple[float, float, float]:
     """Ridge logistic regression of the label on the two document features, by Newton steps."""
     memo = _Emissions(model)
+    counts = np.array([len(t) for t in tokens], dtype=np.int64)
+    psi = np.array([memo[w] for t in tokens for w in t])
+    p, ends = _token_marginals(counts, psi, model), np.cumsum(counts)
     x = np.ones((len(tokens), 3))
-    for k, t in enumerate(tokens):
-        psi = np.array([memo[w] for w in t])
-        x[k, 1:] = _document_features(_token_marginals(np.array([len(t)]), psi, model))
+    x[:, 1:] = [_document_features(p[e - n : e]) for e, n in zip(ends, counts, strict=True)]
     beta = np.zeros(3)
     ridge = np.diag([1e-3, 0.05, 0.05])
     for _ in range(25):
@@ -246,10 +247,13 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     Without both labels the model rates every text as clean.
     """
     marks = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).dropna().groupBy("_id").agg(F.max("_y").alias("_y"))
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).filter(F.col("_text").isNotNull() & (F.length("_text") <= SAMPLE_CHARS))
+    # ids are joined and ranked without their texts; the texts of the bounded sample are looked up after that
+    rows = docs.select(F.col(id_col).alias("_id"), F.length(text_col).alias("_n")).filter(F.col("_n") <= SAMPLE_CHARS).drop("_n").distinct()
     rows = rows.join(marks, "_id").withColumn("_h", F.xxhash64(F.col("_id").cast("string")))
-    parts = [rows.filter(F.col("_y") == y).orderBy("_h", "_id").limit(rows_per_class).select("_text", "_y") for y in (1, 0)]
-    sample = parts[0].unionByName(parts[1]).toPandas()
+    parts = [rows.filter(F.col("_y") == y).orderBy("_h", "_id").limit(rows_per_class).select("_id", "_y") for y in (1, 0)]
+    chosen = docs.sparkSession.createDataFrame(parts[0].unionByName(parts[1]).toPandas(), parts[0].schema)
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).filter(F.length("_text") <= SAMPLE_CHARS)
+    sample = texts.join(F.broadcast(chosen), "_id").groupBy("_id", "_y").agg(F.min("_text").alias("_text")).toPandas()
     toxic = sample["_y"].to_numpy(dtype=float) if len(sample) else np.zeros(0)
     if not (0 < toxic.sum() < len(toxic)):
         return ToxicityModel()
