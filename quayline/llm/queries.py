@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quayline.llm import ann, decontam, line_dedup, lm, mixing, near_dup, secrets, toxicity
+from quayline.llm import ann, decontam, licenses, line_dedup, lm, mixing, near_dup, secrets, token_counts, toxicity
 from quayline.storage import table
 
 
@@ -26,6 +26,16 @@ def op4_near_dup(spark, sf_dir):
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_token_counts(spark, sf_dir):
+    """Tokens of every whole text, by the separator scan of flat token streams."""
+    return token_counts.document_token_counts(table(spark, sf_dir, "documents"))
+
+
+def op6_license_scan(spark, sf_dir):
+    """Licence families of all paragraphs of documents."""
+    return licenses.scan_licences(table(spark, sf_dir, "documents"))
+
+
 def op7_mix_sources(spark, sf_dir):
     """All documents mixed to the sources' target weights."""
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
@@ -51,6 +61,8 @@ QUERIES = {
     "op2_substring_dedup": op2_substring_dedup,
     "op3_toxicity": op3_toxicity,
     "op4_near_dup": op4_near_dup,
+    "op5_token_counts": op5_token_counts,
+    "op6_license_scan": op6_license_scan,
     "op7_mix_sources": op7_mix_sources,
     "op8_nearest_neighbours": op8_nearest_neighbours,
     "op9_lm_score": op9_lm_score,
