@@ -93,7 +93,7 @@ def _windows(ids, texts: list[str], memo: _Tokens, bits: np.ndarray | None) -> p
     for k in range(WINDOW):
         there = whole & (k < length)
         step = np.zeros(n, np.uint64)
-        step[: n - k] = codes[k:]
+        step[: max(0, n - k)] = codes[k:]
         mixed = (hashes ^ step) * np.uint64(0x9E3779B97F4A7C15)
         hashes = np.where(there, mixed ^ mixed >> np.uint64(29), hashes)
         words += there & (step > _NAME)

@@ -129,24 +129,26 @@ def redact_secrets(docs: DataFrame, owner_col: str = "source", repo_cols: Sequen
     Overlapping spans are replaced as one; ``length_col`` is set anew where the text changed. Rows
     without candidates pass through without a shuffle. Nulls and empty texts stay as they are.
     """
-    names = docs.columns
-    kept, known = _decided(docs, owner_col, repo_cols, text_col, names)
-    quiet = kept.filter((F.size("_base") == 0) & (F.size("_generic") == 0)).select(names)
+    # the row travels as one struct, so no column name of the input can clash
+    packed = docs.select(F.struct(*docs.columns).alias("_doc"))
+    text = F.col(f"_doc.{text_col}")
+    kept, known = _decided(packed, f"_doc.{owner_col}", [f"_doc.{c}" for c in repo_cols], f"_doc.{text_col}", ["_doc"])
+    quiet = kept.filter((F.size("_base") == 0) & (F.size("_generic") == 0)).select("_doc.*")
     loud = kept.filter((F.size("_base") > 0) | (F.size("_generic") > 0)).join(known, "_row")
     secret = lambda k: (k["owners"] < COPIED_OWNERS) & ((k["_span"]["kind_no"] < 3) | (k["owners"] == 1))
     spans = F.array_sort(F.transform(F.filter("_known", secret), lambda k: k["_span"]))
     kinds = F.array(*[F.lit(f"[{k[0]}]") for k in KINDS])
-    text = F.col(text_col)
     step = lambda a, s: F.when(
         s["start"] >= a["pos"],
         F.struct(F.concat(a["out"], F.substring(text, a["pos"] + 1, s["start"] - a["pos"]), kinds[s["kind_no"]]).alias("out"), s["end"].alias("pos")),
     ).otherwise(F.struct(a["out"].alias("out"), F.greatest(a["pos"], s["end"]).alias("pos")))
     rest = lambda a: F.concat(a["out"], F.substring(text, a["pos"] + 1, F.length(text)))
     loud = loud.withColumn("_spans", spans).withColumn("_text", F.aggregate("_spans", F.struct(F.lit("").alias("out"), F.lit(0).alias("pos")), step, rest))
-    put = {text_col: F.col("_text")}
-    if length_col and length_col in names:
-        put[length_col] = F.when(F.size("_spans") > 0, F.length("_text").cast(docs.schema[length_col].dataType)).otherwise(F.col(length_col))
-    return quiet.unionByName(loud.withColumns(put).select(names))
+    doc = F.col("_doc").withField(text_col, F.col("_text"))
+    if length_col and length_col in docs.columns:
+        length = F.when(F.size("_spans") > 0, F.length("_text").cast(docs.schema[length_col].dataType)).otherwise(F.col(f"_doc.{length_col}"))
+        doc = doc.withField(length_col, length)
+    return quiet.unionByName(loud.select(doc.alias("_doc")).select("_doc.*"))
 
 
 def _oracle() -> str:

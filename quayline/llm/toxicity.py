@@ -287,5 +287,5 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, model: ToxicityModel | No
 def reject_toxic(docs: DataFrame, labels: DataFrame, model: ToxicityModel | None = None) -> DataFrame:
     """docs without those predicted toxic; columns as they came."""
     model = model or fit_toxicity(training_rows(docs), training_rows(labels))
-    names = docs.columns
-    return docs.withColumn("_s", score_column(model, F.col("text"))).filter(F.col("_s.predicted") == 0).select(names)
+    packed = docs.select(F.struct(*docs.columns).alias("_doc"))  # no column name of the input can clash
+    return packed.withColumn("_s", score_column(model, F.col("_doc.text"))).filter(F.col("_s.predicted") == 0).select("_doc.*")
