@@ -105,7 +105,7 @@ def _windows(ids, texts: list[str], memo: _Tokens, bits: np.ndarray | None) -> p
     for k in hit.tolist():
         inside = [(_SLOT_NAMES[c], j) for j, c in enumerate(codes[k : k + length[k]].tolist(), k) if c in _SLOT_NAMES]
         slots.append("\x1f".join(f"{kind}={_slot(kind, raw, int(at[j]))}" for kind, j in inside))
-    return pd.DataFrame({"id": ids.iloc[text[hit]].to_numpy(), "pos": place[hit].astype(np.int32), "hash": hashes[hit].view(np.int64), "slots": slots})
+    return pd.DataFrame({"id": ids.iloc[text[hit]].to_numpy(), "pos": place[hit].astype(np.int32), "hash": hashes[hit].view(np.int64), "slots": pd.Series(slots, dtype=object)})
 
 
 def _slot(kind: str, raw: list[str], k: int) -> str:
