@@ -85,7 +85,7 @@ def words(text):
 
 
 def test_language_model_base_is_exact_and_model_is_normalised(make, messy):
-    docs = make([(k, prose(k % 7 + 4000, 120), "en", "a") for k in range(60)]).unionByName(messy)
+    docs = make([(1000 + k, prose(k % 7 + 4000, 120), "en", "a") for k in range(60)]).unionByName(messy)
     rows = docs.select("doc_id", "text").collect()
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 5 == 1
     c = Counter()
