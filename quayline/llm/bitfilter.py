@@ -10,8 +10,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
+BITS = 1 << 26  # 8 MB
 CHUNK = 1 << 16  # bytes
 
 
@@ -46,3 +48,17 @@ def passes(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     """Which of the hashes may be in the set."""
     at = hashes % np.uint64(len(bits) * 8)
     return (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+
+
+def may_hold(keys: DataFrame, bits: int = BITS):
+    """A test of key columns against the one column of ``keys``: true for all of them and a few others."""
+    name = keys.columns[0]
+    held = keys.sparkSession.sparkContext.broadcast(build(keys.select(F.xxhash64(name).alias("h")), "h", bits))
+    test = F.pandas_udf(lambda h: pd.Series(passes(held.value, h.to_numpy(dtype=np.int64).view(np.uint64))), "boolean")
+    return lambda key: key.isNotNull() & test(F.xxhash64(key))
+
+
+def split(df: DataFrame, key: Column, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """df in two: the rows whose key cannot be in ``keys``, which need no join, and the rest."""
+    test = may_hold(keys)
+    return df.filter(~test(key)), df.filter(test(key))

@@ -12,6 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quayline.llm import bitfilter
 from quayline.storage import materialise
 
 WINDOW = 5  # tokens of a template window
@@ -195,6 +196,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """docs without those that hold a benchmark item; a null id is kept."""
-    leaked = find_leaks(docs, benchmark, id_col=id_col).select(F.col("doc_id").alias("_leaked")).distinct()
-    return docs.join(leaked, F.col(id_col) == F.col("_leaked"), "left_anti")
+    """docs without those that hold a benchmark item; a null id is kept.
+
+    Only rows that may be among the leaked ones are shuffled; the others pass as they are.
+    """
+    leaked = materialise(find_leaks(docs, benchmark, id_col=id_col).select(F.col("doc_id").alias("_leaked")).distinct(), "leaked")
+    clear, rest = bitfilter.split(docs, F.col(id_col), leaked)
+    return clear.unionByName(rest.join(leaked, F.col(id_col) == F.col("_leaked"), "left_anti"))
