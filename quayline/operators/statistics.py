@@ -74,6 +74,22 @@ def bootstrap_mean(df: DataFrame, group: str, value: str, order: str, resamples:
     return out.select(group, "n", *[rounded(c).alias(c) for c in ("mean", "low", "high")])
 
 
+def difference(sample: np.ndarray, population: np.ndarray, resamples: int = 2000, seed: int = 20260801, least: int = 20) -> tuple[float, float, float] | None:
+    """Difference of means with its 95 % interval; each resample draws the sample first, then the population."""
+    n, m = len(sample), len(population)
+    if min(n, m) < least:
+        return None
+    diffs, state = [], seed
+    for lo in range(0, resamples, step := max(1, 2_000_000 // (n + m))):
+        k = min(step, resamples - lo)
+        u = lcg(state, k * (n + m))
+        state = int(u[-1] * 2**32)
+        u = u.reshape(k, n + m)
+        diffs.append(sample[(u[:, :n] * n).astype(np.int64)].mean(1) - population[(u[:, n:] * m).astype(np.int64)].mean(1))
+    ordered = np.sort(np.concatenate(diffs))
+    return float(sample.mean() - population.mean()), float(ordered[int(resamples * 0.025)]), float(ordered[int(resamples * 0.975)])
+
+
 def median_interval(bars: DataFrame) -> DataFrame:
     """Upper median of the gaps in (0.5, 24] hours, snapped to 1, 2, 4 or 8 (ties down); 8 without gaps."""
     gap = (F.unix_timestamp("ts") - F.lag(F.unix_timestamp("ts")).over(Window.partitionBy("symbol").orderBy("ts"))) / 3600

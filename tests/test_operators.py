@@ -109,3 +109,61 @@ def test_suspicious_patterns(spark):
 @pytest.mark.parametrize("raw,want", [("1/2/2026", "2026-01-02"), ("2026-01-02", "2026-01-02")])
 def test_us_dates(spark, raw, want):
     assert spark.createDataFrame([(raw,)], "d string").select(text.us_date("d")).first()[0] == want
+
+
+def test_fills_on_one_bar(spark):
+    from quayline.operators.structure import fill_price
+
+    bar = spark.createDataFrame([(100.0, 105.0, 95.0, 102.0)], "open double, high double, low double, close double")
+    cases = [("market", True, 0, 100), ("limit", True, 97, 97), ("limit", True, 90, None), ("stop", True, 103, 103), ("stop", True, 110, None), ("limit", False, 103, 103), ("limit", False, 110, None), ("stop", False, 97, 97), ("stop", False, 90, None)]
+    row = bar.select(*[fill_price(o, long, F.lit(float(p))).alias(f"c{k}") for k, (o, long, p, _) in enumerate(cases)]).first()
+    assert list(row) == [c[3] for c in cases]
+    gap = bar.withColumn("open", F.lit(96.0)).select(fill_price("limit", True, F.lit(98.0)).alias("x")).first()
+    assert gap["x"] == 96
+
+
+def test_levels_join_the_open_cluster(spark):
+    from quayline.operators.structure import levels
+
+    b = series(spark, [float(x) for x in (100, 105, 110, 105, 100, 95, 90, 95, 100, 105, 110.5, 105, 100, 99, 98)], spread=0.0)
+    out = {(r["side"], r["rank"]): (r["price"], r["touches"]) for r in levels(b, tolerance=1.0).collect()}
+    assert out == {("resistance", 1): (110.25, 2), ("support", 1): (90.0, 1)}
+
+
+def test_thinning_is_greedy(spark):
+    from quayline.operators.structure import thin
+
+    rows = spark.createDataFrame([("a", datetime(2026, 1, 1) + timedelta(seconds=s)) for s in (0, 50, 100, 149, 151, 260)], "k string, ts timestamp")
+    first = int(datetime(2026, 1, 1).timestamp())
+    got = sorted(r["ts"] for r in thin(rows, "k", "ts", 100).collect())
+    assert [g - got[0] for g in got] == [0, 100, 260]
+
+
+def test_difference_of_means_is_reproducible():
+    rng = np.random.default_rng(1)
+    a, b = rng.normal(1, 1, 30), rng.normal(0, 1, 50)
+    s, want = 20260801, []
+    for _ in range(200):
+        means = []
+        for x in (a, b):
+            total = 0.0
+            for _ in x:
+                s = (s * 1664525 + 1013904223) % 2**32
+                total += x[int(s / 2**32 * len(x))]
+            means.append(total / len(x))
+        want.append(means[0] - means[1])
+    want.sort()
+    got = statistics.difference(a, b, resamples=200)
+    assert np.allclose(got, (a.mean() - b.mean(), want[5], want[195]))
+    assert statistics.difference(a[:5], b) is None
+
+
+def test_curve_csv_becomes_rows(spark, tmp_path):
+    from quayline.sources.files import read_curve, read_journal, read_quoted_csv
+
+    (tmp_path / "c.csv").write_text('Date,"1 Mo","10 Yr"\n01/02/2026,4.1,\n01/03/2026,N/A,4.5\n')
+    assert sorted(tuple(r) for r in read_curve(spark, str(tmp_path / "c.csv")).collect()) == [("2026-01-02", "1M", 4.1), ("2026-01-03", "10Y", 4.5)]
+    (tmp_path / "j.jsonl").write_text('{"id": "1", "entry": 2.5}\nnot json\n{"id": "2"}\n')
+    assert [r["id"] for r in read_journal(spark, str(tmp_path / "j.jsonl")).collect()] == ["1", "2"]
+    (tmp_path / "q.csv").write_text('a,b\n"x ""y""","two\nlines"\n')
+    assert tuple(read_quoted_csv(spark, str(tmp_path / "q.csv"), "a string, b string").first()) == ('x "y"', "two\nlines")
