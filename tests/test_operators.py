@@ -125,7 +125,7 @@ def test_fills_on_one_bar(spark):
 def test_levels_join_the_open_cluster(spark):
     from quayline.operators.structure import levels
 
-    b = series(spark, [float(x) for x in (100, 105, 110, 105, 100, 95, 90, 95, 100, 105, 110.5, 105, 100, 99, 98)], spread=0.0)
+    b = series(spark, [float(x) for x in (95, 100, 105, 110, 105, 100, 95, 90, 95, 100, 105, 110.5, 105, 100, 99, 98)], spread=0.0)
     out = {(r["side"], r["rank"]): (r["price"], r["touches"]) for r in levels(b, tolerance=1.0).collect()}
     assert out == {("resistance", 1): (110.25, 2), ("support", 1): (90.0, 1)}
 
