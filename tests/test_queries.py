@@ -22,7 +22,7 @@ def duck():
 
 def normal(df: pd.DataFrame) -> list:
     cols = sorted(df.columns)
-    cell = lambda v: None if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, float) and v != v) else round(float(v), 6) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
+    cell = lambda v: None if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, float) and v != v) else round(float(v), 6) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v).removesuffix(' 00:00:00')
     return sorted((tuple(cell(v) for v in row) for row in df[cols].astype(object).itertuples(index=False)), key=str)
 
 
