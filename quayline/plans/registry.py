@@ -24,4 +24,4 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-from quayline.plans import bars, crosssection, indicators, joins, market_state, retrieval, statistics, structure  # noqa: E402, F401
+from quayline.plans import bars, crosssection, indicators, joins, market_state, retrieval, rules, statistics, structure  # noqa: E402, F401
