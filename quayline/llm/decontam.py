@@ -18,7 +18,7 @@ from quayline.storage import materialise
 WINDOW = 5  # tokens of a template window
 COVERAGE = 0.8  # share of an item's windows that a document must hold
 FILTER_BITS = np.uint64(1 << 24)  # bits of the benchmark's filter: 2 MB, whatever the benchmark's size
-BATCH_CHARS = 4_000_000
+BATCH_CHARS = 2_000_000
 
 #: fixed values: unit words
 UNITS = frozenset(
@@ -38,7 +38,7 @@ class _Tokens(dict):
     """Hash and flags of each token seen by this worker; emptied when it has grown large."""
 
     def __missing__(self, token: str) -> int:
-        if len(self) > 500_000:
+        if len(self) > 150_000:
             self.clear()
         low = token.lower()
         if token in ".!?\n":

@@ -74,7 +74,7 @@ class _Emissions(dict):
         self.model = model
 
     def __missing__(self, word: str) -> float:
-        if len(self) > 400_000:
+        if len(self) > 150_000:
             self.clear()
         value = self[word] = float(np.exp(min(self.model.emission(word), 30.0)))
         return value
@@ -126,7 +126,7 @@ def score_column(model: ToxicityModel, text: Column) -> Column:
             for t in texts:  # a few MB of text at a time
                 held.append(t)
                 size += len(t)
-                if size > 4_000_000:
+                if size > 2_000_000:
                     rows += _score_texts(held, model, memo)
                     held, size = [], 0
             rows += _score_texts(held, model, memo)
