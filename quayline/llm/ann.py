@@ -18,7 +18,7 @@ BLOCK_BITS = 4  # the leaves of a tree are dealt out in 16 blocks
 SAMPLE = 20_000  # vectors the trees are fitted on
 TRIALS = 256  # sample queries that set the leaf budget
 RECALL = 0.97  # recall that the budget has to reach on the sample
-SEARCH_ALL = 4096  # up to so many vectors every leaf is searched
+LEAST = 16  # a query goes on opening leaves until it meets so many times k + 1 vectors
 ROWS_PER_CHUNK, QUERIES_PER_CHUNK = 8192, 16_384
 
 
@@ -30,6 +30,7 @@ class Forest:
     cuts: np.ndarray  # (TREES, nodes)
     norm2: float
     leaves: int = TREES << DEPTH
+    least: int = 0  # vectors of the sample that the opened leaves must hold
 
     def lengthened(self, x: np.ndarray) -> np.ndarray:
         """One more component makes all norms equal, so the largest inner product is the nearest point."""
@@ -48,12 +49,12 @@ class Forest:
             out[:, t] = node - ((1 << DEPTH) - 1)
         return out
 
-    def opened(self, q: np.ndarray, budget: int | None = None) -> np.ndarray:
-        """(queries, TREES, leaves) which leaves a query opens.
+    def ranks(self, q: np.ndarray) -> np.ndarray:
+        """(queries, TREES, leaves) place of each leaf in the query's order of opening.
 
         All trees share one queue. A node's priority falls by the squared distance to each hyperplane
         crossed on the way to it, so along a path priorities only fall and the queue pops the leaves
-        in the order of their own priorities; the first ``leaves`` popped are opened.
+        in the order of their own priorities.
         """
         q = np.concatenate([q, np.zeros((len(q), 1))], 1)
         ranks = []
@@ -66,11 +67,22 @@ class Forest:
                 p = np.stack([p - np.maximum(m, 0) ** 2, p - np.maximum(-m, 0) ** 2], 2).reshape(len(q), -1)
             ranks.append(p)
         p = np.stack(ranks, 1).reshape(len(q), -1)
-        n = min(budget or self.leaves, p.shape[1])
-        out = np.zeros(p.shape, bool)
-        np.put_along_axis(out, np.argsort(-p, axis=1, kind="stable")[:, :n], True, 1)
+        out = np.empty(p.shape, np.int32)
+        np.put_along_axis(out, np.argsort(-p, axis=1, kind="stable"), np.arange(p.shape[1], dtype=np.int32)[None], 1)
         return out.reshape(len(q), TREES, -1)
 
+    def opened(self, q: np.ndarray) -> np.ndarray:
+        """(queries, TREES, leaves) which leaves the budget opens: the first ``leaves`` of the order."""
+        return self.ranks(q) < self.leaves
+
+
+def reached(ranks: np.ndarray, leaf: np.ndarray) -> np.ndarray:
+    """(queries, rows) place in the order of opening at which a query first meets each row."""
+    out = ranks[:, 0][:, leaf[:, 0]]
+    for t in range(1, TREES):
+        np.minimum(out, ranks[:, t][:, leaf[:, t]], out=out)
+    return out
+
 
 def fit_forest(sample: np.ndarray, norm2: float, total: int, k: int, seed: int = 11) -> Forest:
     """Random hyperplanes cut at the sample's medians; the leaf budget is measured on the sample."""
@@ -88,18 +100,18 @@ def fit_forest(sample: np.ndarray, norm2: float, total: int, k: int, seed: int =
             forest.normals[t, node] = normal
             forest.cuts[t, node] = np.median(place) if len(own) else 0.0
             at[own] = 2 * node + 1 + (place > forest.cuts[t, node])
-    if total <= SEARCH_ALL:
+    forest.least = min(LEAST * (k + 1), total)
+    k = min(k, len(sample) - 1)
+    if not k:
         return forest
-    trial = sample[np.linspace(0, len(sample) - 1, min(TRIALS, len(sample))).astype(int)]
-    nearest = np.argpartition(-(trial @ sample.T), k, axis=1)[:, : k + 1]
-    leaf = forest.assign(sample)
-    for share in np.arange(0.02, 1.0, 0.02):
+    trial = np.linspace(0, len(sample) - 1, min(TRIALS, len(sample))).astype(int)
+    score = sample[trial] @ sample.T
+    score[np.arange(len(trial)), trial] = -np.inf  # finding itself is no success
+    nearest = np.argpartition(-score, k - 1, axis=1)[:, :k]
+    place = np.take_along_axis(reached(forest.ranks(sample[trial]), forest.assign(sample)), nearest, 1)
+    for share in np.arange(0.02, 1.01, 0.02):
         forest.leaves = max(TREES, int(share * (TREES << DEPTH)))
-        opened = forest.opened(trial)
-        hits = np.zeros(nearest.shape, bool)
-        for t in range(TREES):
-            hits |= np.take_along_axis(opened[:, t], leaf[nearest, t], 1)
-        if hits.mean() >= RECALL:
+        if (place < forest.leaves).mean() >= RECALL:
             break
     return forest
 
@@ -118,9 +130,11 @@ def nearest_neighbours(vectors: DataFrame, queries: DataFrame | None = None, k:
 
     The forest is fitted on at most SAMPLE vectors, chosen by hash; every vector is indexed. On the
     sample, the number of leaves that a query opens is raised until RECALL of the true neighbours is
-    found. Leaves are searched in blocks: a block's vectors meet the queries that open any of its
-    leaves, in chunks of bounded size, and the double-precision products at least as large as the
-    query's k + 1 best in the sample go on to the merge.
+    found. A query whose leaves hold fewer than LEAST x (k + 1) vectors of the sample opens more, so
+    it never has too few candidates. All answers come out of opened leaves, at every size. Leaves are
+    searched in blocks: a block's vectors meet the queries that open any of its leaves, in chunks of
+    bounded size, and the double-precision products at least as large as the query's k + 1 best among
+    the sample's vectors in its opened leaves, which are met there too, go on to the merge.
 
     Vectors that are null, zero, of another length than most, or hold null, NaN or infinite
     components take no part, as queries either; rows without id neither. Repeated rows of one id
@@ -149,9 +163,9 @@ def nearest_neighbours(vectors: DataFrame, queries: DataFrame | None = None, k:
     out = "q long, rep long, score double"
     if not total or not asked_total:
         return members.select(F.col("id").alias("query_id"), F.lit(1).alias("rank"), F.col("q").alias("vec_id"), F.lit(0.0).alias("score")).limit(0)
-    sample = index.orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).select("rep", "v").toPandas()
-    names, points = sample["rep"].to_numpy(), _matrix(sample["v"])
-    held = vectors.sparkSession.sparkContext.broadcast((fit_forest(points, float(norm2), total, k), names, points))
+    sample = index.orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).select("v").toPandas()
+    points = _matrix(sample["v"])
+    held = vectors.sparkSession.sparkContext.broadcast((fit_forest(points, float(norm2), total, k), points))
     row_chunks = max(1, math.ceil(total / (1 << BLOCK_BITS) / ROWS_PER_CHUNK))
     query_chunks = max(1, math.ceil(asked_total / QUERIES_PER_CHUNK))
 
@@ -163,22 +177,25 @@ def nearest_neighbours(vectors: DataFrame, queries: DataFrame | None = None, k:
                 yield pd.DataFrame({"tree": t, "block": leaf[:, t] >> (DEPTH - BLOCK_BITS), "leaf": leaf[:, t], "rep": part["rep"], "v": part["v"]})
 
     def opened(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Per query: its best in the sample (tree -1), and a row for each block that it opens."""
-        forest, names, points = held.value
-        width = 1 << (DEPTH - BLOCK_BITS)
+        """Per query, a row for each block that it opens."""
+        forest, points = held.value
+        own, width = forest.assign(points), 1 << (DEPTH - BLOCK_BITS)
+        least = min(max(forest.least, 1), len(points))
         for part in parts:
             for lo in range(0, len(part), 256):
                 some = part.iloc[lo : lo + 256]
                 q = _matrix(some["v"])
-                near = q @ points.T
-                n = min(k + 1, near.shape[1])
-                top = np.argpartition(-near, n - 1, axis=1)[:, :n]
-                best = np.take_along_axis(near, top, 1)
-                floor = best.min(1) if n > k else np.full(len(q), -np.inf)
-                leaves = forest.opened(q).reshape(len(q), TREES, -1, width)
+                ranks = forest.ranks(q)
+                place = reached(ranks, own)
+                budget = np.maximum(forest.leaves, np.partition(place, least - 1, axis=1)[:, least - 1] + 1)
+                floor = np.full(len(q), -np.inf)
+                if len(points) > k:
+                    near = np.where(place < budget[:, None], q @ points.T, -np.inf)
+                    # products of other chunks may differ in the last bits
+                    floor = -np.partition(-near, k, axis=1)[:, k] - 1e-9 * np.sqrt(forest.norm2 * (q * q).sum(1))
+                leaves = (ranks < budget[:, None, None]).reshape(len(q), TREES, -1, width)
                 at, tree, block = np.nonzero(leaves.any(3))
-                yield pd.DataFrame({"q": np.repeat(some["q"].to_numpy(), n), "tree": -1, "block": 0, "v": None, "floor": best.ravel(), "leaves": None, "rep": names[top.ravel()]})
-                yield pd.DataFrame({"q": some["q"].to_numpy()[at], "tree": tree, "block": block, "v": some["v"].to_numpy()[at], "floor": floor[at], "leaves": [np.flatnonzero(m).astype(np.int32) for m in leaves[at, tree, block]], "rep": 0})
+                yield pd.DataFrame({"q": some["q"].to_numpy()[at], "tree": tree, "block": block, "v": some["v"].to_numpy()[at], "floor": floor[at], "leaves": [np.flatnonzero(m).astype(np.int32) for m in leaves[at, tree, block]]})
 
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
@@ -200,13 +217,13 @@ def nearest_neighbours(vectors: DataFrame, queries: DataFrame | None = None, k:
         return pd.concat(frames)
 
     distinct = first.select("q", "v")
-    plan = materialise(distinct.mapInPandas(opened, "q long, tree int, block int, v array<double>, floor double, leaves array<int>, rep long"), "ann-plan")
+    plan = materialise(distinct.mapInPandas(opened, "q long, tree int, block int, v array<double>, floor double, leaves array<int>"), "ann-plan")
     left = index.select("rep", "v").mapInPandas(dealt, "tree int, block int, leaf int, rep long, v array<double>")
     left = left.withColumn("ic", F.pmod(F.xxhash64("rep"), F.lit(row_chunks))).withColumn("qc", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(query_chunks - 1).cast("long"))))
-    right = plan.filter("tree >= 0").withColumn("qc", F.pmod(F.xxhash64("q"), F.lit(query_chunks))).withColumn("ic", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(row_chunks - 1).cast("long"))))
+    right = plan.withColumn("qc", F.pmod(F.xxhash64("q"), F.lit(query_chunks))).withColumn("ic", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(row_chunks - 1).cast("long"))))
     keys = ["tree", "block", "ic", "qc"]
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(search, out)
-    found = found.unionByName(plan.filter("tree < 0").select("q", "rep", F.col("floor").alias("score"))).groupBy("q", "rep").agg(F.max("score").alias("score"))
+    found = found.groupBy("q", "rep").agg(F.max("score").alias("score"))
     by_rep, by_id = Window.partitionBy("q").orderBy(F.desc("score"), "rep"), Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
     best = found.withColumn("_n", F.row_number().over(by_rep)).filter(F.col("_n") <= k + 1).join(index.select("rep", "ids"), "rep")
     best = best.select("q", "score", F.explode("ids").alias("vec_id")).withColumn("_n", F.row_number().over(by_id)).filter(F.col("_n") <= k + 1)

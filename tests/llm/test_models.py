@@ -174,3 +174,31 @@ def test_forest_reaches_the_recall_it_measures():
     for t in range(ann.TREES):
         hit |= np.take_along_axis(opened[:, t], leaf[top, t], 1)
     assert hit.mean() > 0.93 and opened.mean() < 0.6
+
+
+def test_neighbours_come_from_the_opened_leaves_alone(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(3000, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(k, x[k].tolist()) for k in range(len(x))], "vec_id long, embedding array<double>")
+    queries = df.filter("vec_id % 100 = 0")
+    fit = ann.fit_forest
+
+    def recall(leaves=None):
+        def fitted(*args):
+            forest = fit(*args)
+            forest.leaves = leaves or forest.leaves
+            return forest
+
+        monkeypatch.setattr(ann, "fit_forest", fitted)
+        out = ann.nearest_neighbours(df, queries).toPandas()
+        assert (out.groupby("query_id").size() == 20).all() and out["query_id"].nunique() == 30
+        hits = 0
+        for q, own in out.groupby("query_id"):
+            s = x @ x[q]
+            s[q] = -9
+            hits += len(set(np.argsort(-s)[:20]) & set(own["vec_id"]))
+        return hits / 600
+
+    assert recall(1) < 0.9 < recall()
+    assert fit(x, 1.0, len(x), 20).leaves < ann.TREES << ann.DEPTH
