@@ -24,6 +24,7 @@ DARTS = COORDINATES * (np.log(COORDINATES) + 4)  # expected darts of a text; an
 BATCH_CHARS = 1_000_000
 WHOLE_BUCKET = 12  # buckets up to this size check every pair
 NEXT_BANDS = (1, 7)  # larger ones are also divided by the bands so many further on
+RARE = 32  # shingles of more crowded texts than this are common ones
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -217,8 +218,9 @@ def components(links: DataFrame) -> DataFrame:
         roots = jumped.select("node", "root")
 
 
-def _bucket_pairs(nodes: DataFrame) -> DataFrame:
-    """Candidate pairs (a < b) of texts that share a bucket, a number in proportion to the members.
+def _bucket_pairs(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Candidate pairs (a < b) of texts that share a bucket, a number in proportion to the members; the
+    texts of large buckets, whose other pairs _crowded_pairs finds.
 
     Buckets of up to WHOLE_BUCKET members give every pair. In a larger one each member is paired with
     the bucket's most central member (the one whose buckets are largest together), with its smallest,
@@ -237,7 +239,65 @@ def _bucket_pairs(nodes: DataFrame) -> DataFrame:
     grouped = large.select("rep", "pull", F.explode(F.array("bucket", *parts)).alias("group"))
     heads = grouped.groupBy("group").agg(F.array(F.max_by("rep", F.struct("pull", "rep")), F.min("rep")).alias("heads"))
     stars = grouped.join(heads, "group").select("rep", F.explode("heads").alias("other")).filter("rep != other")
-    return small.unionByName(stars.select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b"))).distinct()
+    pairs = small.unionByName(stars.select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b"))).distinct()
+    return pairs, shared.filter(F.col("n") > WHOLE_BUCKET).select("rep").distinct()
+
+
+def _shingled(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Shingle set of each text."""
+    memo = _Words()
+    for part in parts:
+        for some in _batches(part):
+            text, element, _ = shingles(some["text"].tolist(), memo)
+            size = np.bincount(text, minlength=len(some))
+            yield pd.DataFrame({"rep": some["rep"].to_numpy(), "size": size, "tokens": np.split(element.view(np.int64), np.cumsum(size)[:-1])})
+
+
+def _crowded_pairs(texts: DataFrame, roots: DataFrame) -> DataFrame:
+    """Pairs (a < b) that link all those of these texts' components that SIMILARITY links: a prefix-filter join.
+
+    Ordered by the number of texts that hold them, the first shingle that two linked texts share stands
+    in both prefixes of size - 0.8 size + 1. If it is a rare one, a bounded posting gives the pair.
+    Otherwise the two share common shingles only, so their similarity follows from these and the sizes
+    and falls with the sizes: of the texts with one set of common shingles and one component, the
+    smallest has all the links; all links within one set go to its smallest text too, and the sets
+    are compared with each other by the common shingles of the prefixes. Pairs within a component
+    are left out, so a group of near copies is not expanded.
+    """
+    sets = texts.mapInPandas(_shingled, "rep long, size long, tokens array<long>")
+    sets = materialise(sets.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "size", "tokens", F.coalesce("root", "rep").alias("comp")), "near-sets")
+    rows = sets.select("rep", F.explode("tokens").alias("s"))
+    counts = rows.groupBy("s").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    ranked = rows.join(counts, "s").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("n", "s"))).alias("t"))
+    # a text's own shingles come first in its prefix and meet no other text
+    length = F.floor(F.col("size") * (1 - SIMILARITY) + 1e-9) + 1 - (F.col("size") - F.size("t"))
+    common = F.filter("t", lambda x: x["n"] > RARE)
+    prefix = F.slice("t", F.lit(1), F.greatest(length, F.lit(0)).cast("int"))
+    ranked = sets.drop("tokens").join(ranked, "rep").select("rep", "size", "comp", F.xxhash64(common["s"]).alias("set"), F.size(common).alias("held"), prefix.alias("prefix"))
+    ranked = materialise(ranked.filter(F.size("prefix") > 0), "near-prefixes")
+
+    def meeting(posted: DataFrame, also) -> DataFrame:
+        """Pairs of different components within a posting that the sizes allow."""
+        mixed = posted.groupBy("s").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("s")
+        posted = posted.join(mixed, "s")
+        x, y = posted.alias("x"), posted.alias("y")
+        near = F.least("x.size", "y.size") >= SIMILARITY * F.greatest("x.size", "y.size") - 1e-9
+        return x.join(y, (F.col("x.s") == F.col("y.s")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.comp") != F.col("y.comp")) & near & also).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
+
+    def enough(held, size_a, size_b):
+        return held >= SIMILARITY * (size_a + size_b - held) - 1e-9
+
+    rare = ranked.select("rep", "size", "comp", F.explode(F.filter("prefix", lambda x: x["n"] <= RARE)["s"]).alias("s"))
+    crowd = ranked.filter(F.exists("prefix", lambda x: x["n"] > RARE))
+    own = [c for c in crowd.columns if c not in ("set", "comp")]
+    heads = crowd.groupBy("set", "comp").agg(F.min_by(F.struct(*own), F.struct("size", "rep")).alias("h")).select("set", "comp", "h.*")
+    heads = materialise(heads, "near-heads")
+    least = heads.groupBy("set").agg(F.min(F.struct("size", "rep")).alias("m"))
+    within = heads.join(least, "set").filter((F.col("rep") != F.col("m.rep")) & enough(F.col("held"), F.col("size"), F.col("m.size")))
+    within = within.select(F.least("rep", "m.rep").alias("a"), F.greatest("rep", "m.rep").alias("b"))
+    posted = heads.select("rep", "size", "comp", "set", "held", F.explode(F.filter("prefix", lambda x: x["n"] > RARE)["s"]).alias("s"))
+    across = meeting(posted, (F.col("x.set") != F.col("y.set")) & enough(F.least("x.held", "y.held"), F.col("x.size"), F.col("y.size")))
+    return meeting(rare, F.lit(True)).unionByName(within).unionByName(across).distinct()
 
 
 def _checked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -257,7 +317,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Copies are never expanded into pairs. A bucket of thousands of similar texts gives a number of
     pairs in proportion to its members, against the most central and the smallest members of the
-    bucket and of its parts (see _bucket_pairs).
+    bucket and of its parts (see _bucket_pairs). What these leave apart is joined exactly among all
+    texts of large buckets (see _crowded_pairs).
 
     A document without words (null, empty) is a class of its own; one to four words are one shingle;
     repeated rows share their class, and each is returned; a null id stays a row with its class;
@@ -267,13 +328,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = materialise(named.mapInPandas(_signed(weighted), "doc_id long, key binary, buckets array<long>"), "near-signed")
     nodes = rows.filter(F.col("key").isNotNull()).groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("buckets").alias("buckets"))
     nodes = materialise(nodes.filter(F.col("rep").isNotNull()), "near-nodes")
-    pairs = materialise(_bucket_pairs(nodes), "near-pairs")
+    pairs, crowded = _bucket_pairs(nodes)
+    pairs = materialise(pairs, "near-pairs")
     wanted = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).distinct()
     # a bit filter of fixed size drops the texts of documents in no pair before anything is shuffled
     texts = named.withColumnRenamed("id", "rep").filter(bitfilter.may_hold(wanted)(F.col("rep")))
     texts = materialise(texts.join(wanted, "rep", "left_semi").dropDuplicates(["rep"]), "near-texts")
     links = materialise(_checked(pairs, texts), "near-links")
     roots = components(links)
+    # the rest of the pairs of large buckets, where they may join two components
+    more = materialise(_crowded_pairs(texts.join(crowded, "rep", "left_semi"), roots), "near-crowded")
+    more = materialise(_checked(more, texts), "near-more")
+    if not more.isEmpty():
+        roots = components(links.unionByName(more))
     classes = nodes.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("key", F.coalesce("root", "rep").alias("class_id"))
     worded = rows.filter(F.col("key").isNotNull()).join(classes, "key", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
     return worded.unionByName(rows.filter(F.col("key").isNull()).select("doc_id", F.col("doc_id").alias("class_id")))

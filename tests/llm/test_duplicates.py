@@ -50,6 +50,27 @@ def test_classes_equal_brute_force(make, messy):
     assert near_dup.near_duplicates(make([])).count() == 0
 
 
+def test_links_within_form_letters_are_found(make):
+    """Strangers on one form lie just below the threshold; pairs, and short letters of another form, above."""
+    rng, rows = random.Random(4), []
+    first, second = [[f"{c}{k}" for k in range(104)] for c in "vw"]
+
+    def own(n):
+        return [f"own{rng.randrange(10**12)}" for _ in range(n)]
+
+    for g in range(400):
+        words = own(10)
+        rows.append((g, " ".join(first[:52] + words + first[52:]), "en", "a"))
+        if g % 4 == 0:
+            rows.append((1000 + g, " ".join(first[:52] + words[:8] + own(2) + first[52:]), "en", "a"))
+    for g in range(120):
+        cut = rng.choice([0, 0, 1, 3])  # some letters lack the form's last words
+        rows.append((2000 + g, " ".join(second[:52] + own(rng.choice([5, 8, 9, 10])) + second[52 : 104 - cut]), "en", "a"))
+    got = {r["doc_id"]: r["class_id"] for r in near_dup.near_duplicates(make(rows)).collect()}
+    want = brute_classes([r[:2] for r in rows])
+    assert got == want and len(set(want.values())) > 400
+
+
 def test_one_of_each_class_stays(messy):
     kept = near_dup.keep_one(messy)
     assert kept.columns == messy.columns
