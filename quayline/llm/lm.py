@@ -17,17 +17,16 @@ from pyspark.sql import functions as F
 from quayline.llm.toxicity import fold
 from quayline.storage import materialise
 
-CLASSES = WIDTH = 64  # 64 classes of 64 words: a vocabulary of 4096, of which one is the unknown word
-VOCAB = CLASSES * WIDTH
+LEVELS = 3  # a word is found by three choices of one in ``side``
+GROWTH, LEAST_SIDE = 0.2, 8  # side is the distinct words to this power: the vocabulary grows with the corpus
 DIM, CONTEXT = 32, 4
 NOISE = 16.0  # noise words to each true one
-STRIDE = 8  # training takes every eighth position of all training texts
+SPLITS = 4  # input splits that train one model
 HOT = 250_000  # words whose counts travel to the tasks; all others are joined
 END = "\n"
-START, UNKNOWN = VOCAB, 0
+UNKNOWN = 0
 CHUNK = 4096  # floats of the model in one row
 FAN_IN = 256  # partial models that one task adds up
-SIZES = {"q": ((VOCAB + 1) * DIM), "c": CONTEXT * DIM * DIM, "rc": CLASSES * DIM, "bc": CLASSES, "rw": VOCAB * DIM, "bw": VOCAB}
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -58,13 +57,21 @@ def count_words(docs: DataFrame, text_col: str) -> DataFrame:
 
 @dataclass
 class Vocabulary:
-    """The HOT commonest words; the first ones, after the unknown word, are the model's own."""
+    """The HOT commonest words; the first ``size`` of them, with the unknown word, are the model's own."""
 
     hot: dict[bytes, int]  # word -> number, from 1
     counts: np.ndarray  # by number
     total: int
     distinct: int
 
+    @property
+    def side(self) -> int:
+        return max(LEAST_SIDE, int(np.ceil(self.distinct**GROWTH)))
+
+    @property
+    def size(self) -> int:
+        return self.side**LEVELS
+
     @property
     def base_norm(self) -> float:
         return self.total + 0.5 * (self.distinct + 1)
@@ -72,116 +79,171 @@ class Vocabulary:
     @property
     def rare_norm(self) -> float:
         """Mass of the words outside the model's vocabulary, with one place for unseen words."""
-        inside = self.counts[1:VOCAB]
+        inside = self.counts[1 : self.size]
         return float(self.total - inside.sum() + 0.5 * (self.distinct - len(inside) + 1))
 
 
+def unigram(vocabulary: Vocabulary) -> np.ndarray:
+    """Smoothed share of each vocabulary entry."""
+    c = np.full(vocabulary.size, 0.5)
+    inside = vocabulary.counts[1 : vocabulary.size]
+    c[1 : 1 + len(inside)] += inside
+    c[UNKNOWN] += vocabulary.total - inside.sum()
+    return c / c.sum()
+
+
+def _choices(p: np.ndarray, side: int) -> list[np.ndarray]:
+    """Share of each choice under every prefix, level by level: (side ** level, side)."""
+    out = []
+    for level in range(LEVELS):
+        sums = p.reshape(side ** (level + 1), -1).sum(1).reshape(-1, side)
+        out.append(sums / sums.sum(1, keepdims=True))
+    return out
+
+
 class Model:
-    """Parameters as one flat array; the named parts are views."""
+    """Parameters as one flat array; the named parts are views.
 
-    def __init__(self, flat: np.ndarray):
-        self.flat, at = flat, 0
-        for name, n in SIZES.items():
-            setattr(self, name, flat[at : at + n])
-            at += n
-        self.q, self.c = self.q.reshape(-1, DIM), self.c.reshape(CONTEXT, DIM, DIM)
-        self.rc, self.rw, self.bw = self.rc.reshape(-1, DIM), self.rw.reshape(CLASSES, WIDTH, DIM), self.bw.reshape(CLASSES, WIDTH)
+    q holds the context vectors (the last row stands for the time before a text), c the weights of
+    the context places, r the vectors of the choices of each level, each with its bias behind it.
+    """
+
+    def __init__(self, flat: np.ndarray, side: int):
+        self.flat, self.side = flat, side
+        shapes = [(side**LEVELS + 1, DIM), (CONTEXT, DIM), *[(side**k, side, DIM + 1) for k in range(LEVELS)]]
+        cuts = np.cumsum([0, *[int(np.prod(x)) for x in shapes]])
+        self.q, self.c, *self.r = [flat[i:j].reshape(x) for i, j, x in zip(cuts, cuts[1:], shapes, strict=False)]
+
+    @staticmethod
+    def length(side: int) -> int:
+        return (side**LEVELS + 1 + CONTEXT) * DIM + sum(side ** (k + 1) * (DIM + 1) for k in range(LEVELS))
 
     @staticmethod
     def initial(vocabulary: Vocabulary) -> Model:
         """Small fixed vectors; biases give the unigram distribution."""
         rng = np.random.default_rng(7)
-        flat = rng.normal(0, 0.1, sum(SIZES.values())).astype(np.float32)
-        model = Model(flat)
-        model.c[:] = np.eye(DIM, dtype=np.float32) * np.array([1.0, 0.8, 0.6, 0.5], np.float32)[:, None, None]
-        p = unigram(vocabulary)
-        model.bc[:] = np.log(p.sum(1))
-        model.bw[:] = np.log(p / p.sum(1, keepdims=True))
+        side = vocabulary.side
+        model = Model(rng.normal(0, 0.1, Model.length(side)).astype(np.float32), side)
+        model.c[:] = np.array([1.0, 0.8, 0.6, 0.5], np.float32)[:, None]
+        for r, p in zip(model.r, _choices(unigram(vocabulary), side), strict=True):
+            r[..., DIM] = np.log(p)
         return model
 
-    def hidden(self, context: np.ndarray) -> np.ndarray:
-        return sum(self.q[context[:, k]] @ self.c[k] for k in range(CONTEXT))
-
-
-def unigram(vocabulary: Vocabulary) -> np.ndarray:
-    """Smoothed share of each vocabulary entry, (CLASSES, WIDTH)."""
-    c = np.full(VOCAB, 0.5)
-    inside = vocabulary.counts[1:VOCAB]
-    c[1 : 1 + len(inside)] += inside
-    c[UNKNOWN] += vocabulary.total - inside.sum()
-    return (c / c.sum()).reshape(CLASSES, WIDTH)
-
-
-def log_probabilities(model: Model, context: np.ndarray, target: np.ndarray) -> np.ndarray:
-    """Natural log of P(class | context) P(word | class, context), both normalised, for each row."""
-    h = model.hidden(context)
-    cls, word = target // WIDTH, target % WIDTH
-    s = h @ model.rc.T + model.bc
-    top = s.max(1, keepdims=True)
-    out = s[np.arange(len(s)), cls] - top[:, 0] - np.log(np.exp(s - top).sum(1))
-    order = np.argsort(cls, kind="stable")
-    ends = np.searchsorted(cls[order], np.arange(CLASSES + 1))
-    for k in range(CLASSES):
-        rows = order[ends[k] : ends[k + 1]]
-        if len(rows):
-            s = h[rows] @ model.rw[k].T + model.bw[k]
-            top = s.max(1, keepdims=True)
-            out[rows] += s[np.arange(len(rows)), word[rows]] - top[:, 0] - np.log(np.exp(s - top).sum(1))
+    def hidden(self, tokens: np.ndarray) -> np.ndarray:
+        """Predicted vector, with a one for the biases, of every place but the first CONTEXT ones."""
+        n = len(tokens) - CONTEXT
+        out = np.ones((n, DIM + 1), np.float32)
+        own = self.q * self.c[0]
+        np.take(own, tokens[CONTEXT - 1 : CONTEXT - 1 + n], axis=0, out=(h := np.empty((n, DIM), np.float32)), mode="clip")
+        more = np.empty_like(h)
+        for k in range(2, CONTEXT + 1):
+            np.take(np.multiply(self.q, self.c[k - 1], out=own), tokens[CONTEXT - k : CONTEXT - k + n], axis=0, out=more, mode="clip")
+            h += more
+        out[:, :DIM] = h
+        return out
+
+
+def padded(ids: np.ndarray, size: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray]:
+    """Consecutive texts' tokens with CONTEXT start marks before each text, and where the tokens are.
+
+    Context k of the token at place p is what stands at p - k, so contexts are shifts and never
+    reach into the text before. size counts the end token.
+    """
+    text = np.repeat(np.arange(len(size)), size)
+    out = np.full(len(ids) + CONTEXT * len(size), start, np.int32)
+    at = np.arange(len(ids)) + CONTEXT * (text + 1)
+    out[at] = ids
+    return out, at
+
+
+def _groups(target: np.ndarray, side: int, level: int) -> Iterator[tuple[int, int, int]]:
+    """Runs of rows that share a prefix of the level; target is sorted."""
+    prefix = target // side ** (LEVELS - level)
+    cuts = np.concatenate([[0], np.flatnonzero(prefix[1:] != prefix[:-1]) + 1, [len(prefix)]])
+    return ((int(prefix[i]), int(i), int(j)) for i, j in zip(cuts, cuts[1:], strict=False) if j > i)
+
+
+def _by_target(target: np.ndarray, side: int) -> np.ndarray:
+    """Stable order by target; short integers are sorted by radix."""
+    return np.argsort(target.astype(np.uint16) if side**LEVELS < 1 << 16 else target, kind="stable")
+
+
+def log_probabilities(model: Model, hidden: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """Natural log of the product of the three normalised choices that lead to each target."""
+    side, order = model.side, _by_target(target, model.side)
+    h, y, at = hidden[order], target[order], np.arange(len(target))
+    total = np.zeros(len(y), np.float32)
+    s = np.empty((len(y), side), np.float32)
+    for level in range(LEVELS):
+        for prefix, i, j in _groups(y, side, level):
+            np.matmul(h[i:j], model.r[level][prefix].T, out=s[i:j])
+        s -= s.max(1, keepdims=True)
+        total += s[at, y // side ** (LEVELS - 1 - level) % side]
+        np.exp(s, out=s)
+        total -= np.log(s.sum(1))
+    out = np.empty(len(y))
+    out[order] = total
     return out
 
 
-def _nce(s: np.ndarray, y: np.ndarray, log_noise: np.ndarray) -> np.ndarray:
-    """Gradient of the NCE loss by the scores; the noise enters by its expectation over all outcomes."""
-    p = 1 / (1 + np.exp(-np.clip(s - log_noise, -30, 30)))
-    grad = np.exp(log_noise) * p
-    grad[np.arange(len(y)), y] -= 1 - p[np.arange(len(y)), y]
-    return grad
-
-
 class _Trainer:
-    """Adagrad on minibatches of one partition's positions."""
+    """Adagrad on batches of one task's positions."""
 
-    def __init__(self, flat: np.ndarray, noise: np.ndarray, rate: float):
-        self.model, self.rate = Model(flat.copy()), rate
-        self.grad, self.square = Model(np.zeros_like(flat)), np.full_like(flat, 1e-8)
-        self.noise_class = np.log(NOISE * noise.sum(1)).astype(np.float32)
-        self.noise_word = np.log(NOISE * noise / noise.sum(1, keepdims=True)).astype(np.float32)
+    def __init__(self, flat: np.ndarray, side: int, noise: np.ndarray, rate: float):
+        self.model, self.rate = Model(flat.copy(), side), np.float32(rate)
+        self.grad, self.square = Model(np.zeros_like(flat), side), np.full_like(flat, 1e-8)
+        self.noise = [(NOISE * p).astype(np.float32) for p in _choices(noise, side)]
+        self.log_noise = [np.log(p) for p in self.noise]
         self.seen = 0
 
-    def step(self, context: np.ndarray, target: np.ndarray) -> None:
-        m, g, n = self.model, self.grad, np.float32(len(target))
+    def step(self, tokens: np.ndarray, at: np.ndarray) -> None:
+        """One batch: tokens with start marks, and the places that are predicted.
+
+        NCE's loss of each choice takes the noise by its expectation over all outcomes: with noise
+        weight k P(o) an outcome's gradient is k P(o) p(o), less 1 - p(o) for the true one, where p
+        is the probability of being data.
+        """
+        m, g = self.model, self.grad
+        side, n = m.side, len(at)
         g.flat[:] = 0
-        h = m.hidden(context)
-        cls, word = target // WIDTH, target % WIDTH
-        d = _nce(h @ m.rc.T + m.bc, cls, self.noise_class) / n
-        g.rc[:], g.bc[:] = d.T @ h, d.sum(0)
-        dh = d @ m.rc
-        order = np.argsort(cls, kind="stable")
-        ends = np.searchsorted(cls[order], np.arange(CLASSES + 1))
-        for k in range(CLASSES):
-            rows = order[ends[k] : ends[k + 1]]
-            if len(rows):
-                d = _nce(h[rows] @ m.rw[k].T + m.bw[k], word[rows], self.noise_word[k]) / n
-                g.rw[k], g.bw[k] = d.T @ h[rows], d.sum(0)
-                dh[rows] += d @ m.rw[k]
-        for k in range(CONTEXT):
-            own = context[:, k]
-            g.c[k] = m.q[own].T @ dh
-            by = np.argsort(own, kind="stable")
-            first = np.flatnonzero(np.concatenate([[True], own[by][1:] != own[by][:-1]]))
-            g.q[own[by][first]] += np.add.reduceat((dh @ m.c[k].T)[by], first)
+        order = _by_target(tokens[at], side)
+        place = at[order]
+        y, h, rows = tokens[place], m.hidden(tokens)[place - CONTEXT], np.arange(n)
+        dh, more, s = np.zeros((n, DIM + 1), np.float32), np.empty((n, DIM + 1), np.float32), np.empty((n, side), np.float32)
+        for level in range(LEVELS):
+            runs = list(_groups(y, side, level))
+            against = m.r[level].copy()
+            against[..., DIM] -= self.log_noise[level]
+            for prefix, i, j in runs:
+                np.matmul(h[i:j], against[prefix].T, out=s[i:j])
+            np.clip(s, -30, 30, out=s)
+            np.negative(s, out=s)
+            np.exp(s, out=s)
+            s += 1
+            np.reciprocal(s, out=s)
+            choice = y // side ** (LEVELS - 1 - level) % side
+            true = 1 - s[rows, choice]
+            for prefix, i, j in runs:
+                s[i:j] *= self.noise[level][prefix]
+            s[rows, choice] -= true
+            for prefix, i, j in runs:
+                np.matmul(s[i:j].T, h[i:j], out=g.r[level][prefix])
+                np.matmul(s[i:j], m.r[level][prefix], out=more[i:j])
+            dh += more
+        # what each place is told by the four that it helped to predict, dimension by dimension
+        spread = np.zeros((DIM, len(tokens) + CONTEXT), np.float32)
+        spread[:, place] = dh[:, :DIM].T
+        for d in range(DIM):
+            own = np.zeros(len(tokens), np.float32)
+            for k in range(1, CONTEXT + 1):
+                own += m.c[k - 1, d] * spread[d, k : k + len(tokens)]
+            g.q[:, d] = np.bincount(tokens, weights=own, minlength=len(m.q))
+            column = m.q[:, d][tokens]
+            g.c[:, d] = [column @ spread[d, k : k + len(tokens)] for k in range(1, CONTEXT + 1)]
+        g.flat /= np.float32(n)
         self.square += g.flat**2
         m.flat -= self.rate * g.flat / np.sqrt(self.square)
-        self.seen += len(target)
-
-
-def _positions(ids: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Contexts (rows, CONTEXT) and targets of consecutive texts' tokens; size counts the end token."""
-    text = np.repeat(np.arange(len(size)), size)
-    padded = np.full(len(ids) + CONTEXT * len(size), START, np.int64)
-    at = np.arange(len(ids)) + CONTEXT * (text + 1)
-    padded[at] = ids
-    return np.stack([padded[at - k] for k in range(1, CONTEXT + 1)], 1), ids
+        self.seen += n
 
 
 def _numbers(texts, hot: dict[bytes, int]) -> tuple[list[list[bytes]], np.ndarray, np.ndarray]:
@@ -218,52 +280,56 @@ def learn_vocabulary(counts: DataFrame) -> Vocabulary:
     top = counts.filter((F.col("c") >= least) | (F.col("word") == END)).toPandas()
     top = top.sort_values(["c", "word"], ascending=[False, True]).reset_index(drop=True)
     first = top.index[top["word"] == END].tolist()
-    if first and first[0] >= VOCAB - 1:  # the end of text is always in the model's own vocabulary
-        order = [*range(VOCAB - 2), first[0], *[k for k in range(VOCAB - 2, len(top)) if k != first[0]]]
+    if first and first[0] >= LEAST_SIDE**LEVELS - 1:  # the end of text is always in the model's own vocabulary
+        order = [first[0], *[k for k in range(len(top)) if k != first[0]]]
         top = top.iloc[order].reset_index(drop=True)
     hot = {w.encode("utf-8", "surrogatepass"): k + 1 for k, w in enumerate(top["word"])}
     return Vocabulary(hot, np.concatenate([[0], top["c"].to_numpy(dtype=np.int64)]), int(total or 0), int(distinct))
 
 
-def train(docs: DataFrame, vocabulary: Vocabulary, text_col: str, rate: float = 0.05, batch: int = 4096) -> np.ndarray:
-    """One pass over the training texts: each partition trains from the same start, models are averaged.
+def train(docs: DataFrame, vocabulary: Vocabulary, text_col: str, rate: float = 0.1, batch: int = 32_768) -> np.ndarray:
+    """One pass over every position of the training texts: each task trains from the same start, models are averaged.
 
-    The average weighs a partition by its positions. Models are added up in two rounds, FAN_IN at a
+    The average weighs a task by its positions. A task trains on SPLITS input splits, so that fewer
+    partial models travel than there are splits. Models are added up in two rounds, FAN_IN at a
     time, in rows of CHUNK floats, so neither a task nor the driver holds more than a few MB of them.
     """
     start = Model.initial(vocabulary).flat
-    small = {w: n for w, n in vocabulary.hot.items() if n < VOCAB}
-    held = docs.sparkSession.sparkContext.broadcast((start, small, unigram(vocabulary)))
+    side, size = vocabulary.side, vocabulary.size
+    small = {w: n for w, n in vocabulary.hot.items() if n < size}
+    context = docs.sparkSession.sparkContext
+    held = context.broadcast((start, small, unigram(vocabulary)))
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         flat, known, noise = held.value
-        trainer = _Trainer(flat, noise, rate)
-        offset = 0
+        trainer = _Trainer(flat, side, noise, rate)
         for part in parts:
             for _, texts in _pieces(part["text"].tolist()):
-                _, ids, size = _numbers(texts, known)
-                context, target = _positions(ids, size)
-                pick = np.arange(offset % STRIDE, len(target), STRIDE)
-                offset += 1
-                pick = np.random.default_rng(len(pick)).permutation(pick)
-                for lo in range(0, len(pick), batch):
-                    trainer.step(context[pick[lo : lo + batch]], target[pick[lo : lo + batch]])
+                _, ids, sizes = _numbers(texts, known)
+                tokens, at = padded(ids, sizes, size)
+                for lo in range(0, len(at), batch):
+                    some = at[lo : lo + batch]
+                    begin = int(some[0]) - CONTEXT
+                    trainer.step(tokens[begin : int(some[-1]) + 1], some - begin)
         if trainer.seen:
-            out = trainer.model.flat * np.float64(trainer.seen)
-            rows = [(k, out[k * CHUNK : (k + 1) * CHUNK].astype(np.float64).tobytes()) for k in range(-(-len(out) // CHUNK))]
+            out = trainer.model.flat * np.float32(trainer.seen)
+            rows = [(k, out[k * CHUNK : (k + 1) * CHUNK].tobytes()) for k in range(-(-len(out) // CHUNK))]
             yield pd.DataFrame({"part": TaskContext.get().partitionId(), "chunk": [r[0] for r in rows], "seen": float(trainer.seen), "sums": [r[1] for r in rows]})
 
     def add(part: pd.DataFrame) -> pd.DataFrame:
-        sums = np.sum([np.frombuffer(b) for b in part["sums"]], axis=0)
+        sums = np.sum([np.frombuffer(b, np.float32) for b in part["sums"]], axis=0, dtype=np.float64).astype(np.float32)
         return pd.DataFrame({"part": [int(part["part"].iloc[0]) // FAN_IN], "chunk": [part["chunk"].iloc[0]], "seen": [part["seen"].sum()], "sums": [sums.tobytes()]})
 
     kind = "part int, chunk int, seen double, sums binary"
-    parts = docs.select(F.col(text_col).alias("text")).mapInPandas(run, kind)
+    texts = docs.select(F.col(text_col).alias("text"))
+    splits = texts.rdd.getNumPartitions()  # of the plan; nothing runs
+    texts = texts.coalesce(max(min(splits, context.defaultParallelism), splits // SPLITS, 1))
+    parts = texts.mapInPandas(run, kind)
     parts = parts.groupBy((F.col("part") / FAN_IN).cast("int").alias("_p"), "chunk").applyInPandas(add, kind)
     summed = parts.groupBy("chunk").applyInPandas(add, kind).toPandas().sort_values("chunk")
     if not len(summed):
         return start
-    return np.concatenate([np.frombuffer(b) / n for b, n in zip(summed["sums"], summed["seen"], strict=True)]).astype(np.float32)
+    return np.concatenate([np.frombuffer(b, np.float32) / np.float32(n) for b, n in zip(summed["sums"], summed["seen"], strict=True)])
 
 
 _OUT = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_hot", pa.int64()), ("base_hot", pa.float64()), ("model_part", pa.float64()), ("rare", pa.list_(pa.string())), ("times", pa.list_(pa.int64()))])
@@ -274,7 +340,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score. Learns from the
     rows whose crc32(id) mod ``folds`` is not 1. Corpus counts cover all of their tokens and the
-    training passes over all of their texts, one position in STRIDE. A word outside the model's
+    training passes over every position of their texts. A word outside the model's
     vocabulary has the probability of the unknown word in its context times its smoothed share of
     such words, with one place for all unseen words, so probabilities of all words sum to one.
 
@@ -293,18 +359,21 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, flat = held.value
-        model = Model(flat)
+        model, size_ = Model(flat, known.side), known.size
         base = np.log10((known.counts + 0.5) / known.base_norm)
         rare = np.log10((known.counts + 0.5) / known.rare_norm)
-        rare[:VOCAB] = 0.0
+        rare[:size_] = 0.0
         for part in parts:
             ids_col, out_col = part.column("doc_id"), part.column("held_out")
             for lo, texts in _pieces(part.column("text").to_pylist()):
                 words, ids, size = _numbers(texts, known.hot)
-                context, target = _positions(np.where(ids < VOCAB, ids, UNKNOWN), size)
-                logs = np.empty(len(target))
-                for k in range(0, len(target), 100_000):
-                    logs[k : k + 100_000] = log_probabilities(model, context[k : k + 100_000], target[k : k + 100_000])
+                tokens, at = padded(np.where(ids < size_, ids, UNKNOWN), size, size_)
+                logs = np.empty(len(at))
+                for k in range(0, len(at), 65_536):
+                    some = at[k : k + 65_536]
+                    begin = int(some[0]) - CONTEXT
+                    h = model.hidden(tokens[begin : int(some[-1]) + 1])
+                    logs[k : k + 65_536] = log_probabilities(model, h[some - begin - CONTEXT], tokens[some])
                 logs = logs / np.log(10) + rare[ids]
                 first = np.cumsum(size) - size
                 hot = ids > 0

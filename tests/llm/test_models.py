@@ -107,11 +107,55 @@ def test_language_model_base_is_exact_and_model_is_normalised(make, messy):
 
 
 def test_log_probabilities_sum_to_one():
-    v = lm.Vocabulary({}, np.zeros(1, np.int64), 100, 10)
+    counts = np.concatenate([[0], np.arange(3000, 0, -1)])
+    v = lm.Vocabulary({}, counts, int(counts.sum()), 3000)
     model = lm.Model.initial(v)
-    context = np.array([[3, 5, lm.START, lm.START]])
-    total = sum(np.exp(lm.log_probabilities(model, np.repeat(context, 512, 0), np.arange(k, k + 512))).sum() for k in range(0, lm.VOCAB, 512))
+    h = model.hidden(np.array([v.size, v.size, 5, 3, 0]))
+    total = np.exp(lm.log_probabilities(model, np.repeat(h, v.size, 0), np.arange(v.size))).sum()
     assert abs(total - 1) < 1e-4
+    assert lm.Vocabulary({}, counts, 1, 10**8).size > lm.Vocabulary({}, counts, 1, 10**6).size > v.size  # grows with the corpus
+
+
+def test_gradient_of_the_training_step_equals_differences():
+    rng = np.random.default_rng(3)
+    side, size = 4, 64
+    noise = rng.random(size) + 0.1
+    trainer = lm._Trainer(rng.normal(0, 0.3, lm.Model.length(side)).astype(np.float32), side, noise / noise.sum(), 0.0)
+    tokens, at = lm.padded(rng.integers(0, size, 40), np.array([15, 1, 24]), size)
+    start = trainer.model.flat.astype(np.float64)
+
+    def loss(flat):
+        m, total = lm.Model(flat, side), 0.0
+        for p in at:
+            h = sum(m.q[tokens[p - k]] * m.c[k - 1] for k in range(1, 5))
+            y = tokens[p]
+            for level in range(3):
+                prefix, choice = y // side ** (3 - level), y // side ** (2 - level) % side
+                r, n = m.r[level][prefix], lm.NOISE * lm._choices(noise / noise.sum(), side)[level][prefix]
+                p1 = 1 / (1 + np.exp(-(r[:, :-1] @ h + r[:, -1] - np.log(n))))
+                total -= np.log(p1[choice]) + (n * np.log(1 - p1)).sum()
+        return total / len(at)
+
+    trainer.step(tokens, at)
+    for k in rng.integers(0, len(start), 60):
+        up, down = start.copy(), start.copy()
+        up[k] += 1e-5
+        down[k] -= 1e-5
+        assert abs((loss(up) - loss(down)) / 2e-5 - trainer.grad.flat[k]) < 1e-3
+
+
+def test_the_model_beats_the_base_on_held_out_texts(make):
+    rng, words = random.Random(12), [prose(k, 1).lower().rstrip(".") for k in range(60)]
+    follow = {w: rng.sample(words, 3) for w in words}
+    rows = []
+    for i in range(1500):
+        t = [rng.choice(words)]
+        while len(t) < 120:
+            t.append(rng.choice(follow[t[-1]]))
+        rows.append((i, " ".join(t), "en", "a"))
+    out = [r for r in lm.score_texts(make(rows)).collect() if r["held_out"]]
+    n = sum(r["n_tokens"] for r in out)
+    assert sum(r["score"] for r in out) / n > sum(r["base_score"] for r in out) / n + 0.2
 
 
 def test_token_counts_equal_the_tokenizer(messy, make):
