@@ -24,9 +24,8 @@ def build(df: DataFrame, hash_col: str, bits: int) -> np.ndarray:
         mine = np.zeros(bits // 8, np.uint8)
         for part in parts:
             h = part[hash_col].to_numpy().view(np.uint64)
-            flags = np.zeros(bits, bool)
-            flags[(h % np.uint64(bits)).astype(np.int64)] = True
-            mine |= np.packbits(flags, bitorder="little")
+            at = h % np.uint64(bits)
+            np.bitwise_or.at(mine, (at >> np.uint64(3)).astype(np.int64), (1 << (at & np.uint64(7))).astype(np.uint8))
         rows = [(k, mine[k * CHUNK : (k + 1) * CHUNK].tobytes()) for k in range(-(-len(mine) // CHUNK))]
         yield pd.DataFrame([r for r in rows if any(r[1])], columns=["chunk", "bits"])
 

@@ -173,28 +173,23 @@ def _signed(weighted: bool):
                     h = _mix(h ^ darts[:, k * BANDS : (k + 1) * BANDS])
                 worded = np.bincount(text, minlength=len(some)) > 0
                 keys = [xxhash.xxh3_128_digest("\x00".join(WORD.findall(t)).lower()) if w else None for t, w in zip(texts, worded, strict=True)]
-                yield pd.DataFrame({"doc_id": some["id"].to_numpy(), "key": keys, "buckets": list(h.view(np.int64))})
+                yield pd.DataFrame({"id": some["id"], "row": some["row"], "key": keys, "buckets": list(h.view(np.int64))})
 
     return run
 
 
-def _similarities(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Pairs whose shingle sets reach SIMILARITY; rows come sorted by the left text."""
-    memo = _Words()
-    held: dict[int, np.ndarray] = {}
-    for part in parts:
-        keep = []
-        for a, b, ta, tb in part[["a", "b", "ta", "tb"]].itertuples(index=False):
-            if a not in held:
-                held = {a: shingles([ta], memo)[1]}
-            x, y = held[a], shingles([tb], memo)[1]
-            small, large = min(len(x), len(y)), max(len(x), len(y))
-            ok = False
-            if small >= SIMILARITY * large:
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                ok = both >= SIMILARITY * (len(x) + len(y) - both) - 1e-9
-            keep.append(ok)
-        yield part.loc[np.array(keep, bool), ["a", "b"]]
+def elements(texts: list[str], memo: _Words, weighted: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Elements of each text, laid end to end, and their number; with weights, one for each occurrence of a shingle.
+
+    The k-th occurrence of a shingle is an element of its own, so the Jaccard similarity of these
+    sets is the weighted one of the shingles' occurrences.
+    """
+    text, element, count = shingles(texts, memo)
+    if weighted:
+        text, element = np.repeat(text, count), np.repeat(element, count)
+        no = (np.arange(len(element)) - np.repeat(np.cumsum(count) - count, count)).astype(np.uint64)
+        element = np.where(no > 0, _mix(element ^ _mix(no)), element)
+    return element.view(np.int64), np.bincount(text, minlength=len(texts))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -227,53 +222,55 @@ def _bucket_pairs(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     and with the most central and the smallest of those members that share one more band with it, for
     each of NEXT_BANDS bands. All of these are aggregates, so no task gathers a bucket.
     """
-    bands = nodes.select("rep", F.posexplode("buckets").alias("no", "bucket"))
+    bands = nodes.select("node", F.posexplode("buckets").alias("no", "bucket"))
     sizes = bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     shared = bands.join(sizes, "bucket")
-    central = shared.groupBy("rep").agg(F.sum("n").alias("pull"))
-    shared = materialise(shared.join(central, "rep"), "near-buckets")
-    small = shared.filter(F.col("n") <= WHOLE_BUCKET).groupBy("bucket").agg(F.sort_array(F.collect_list("rep")).alias("m"))
+    central = shared.groupBy("node").agg(F.sum("n").alias("pull"))
+    shared = materialise(shared.join(central, "node"), "near-buckets")
+    small = shared.filter(F.col("n") <= WHOLE_BUCKET).groupBy("bucket").agg(F.sort_array(F.collect_list("node")).alias("m"))
     small = small.select(F.explode("m").alias("a"), "m").select("a", F.explode("m").alias("b")).filter("a < b")
-    large = shared.filter(F.col("n") > WHOLE_BUCKET).join(nodes.select("rep", "buckets"), "rep")
+    large = shared.filter(F.col("n") > WHOLE_BUCKET).join(nodes.select("node", "buckets"), "node")
     parts = [F.xxhash64("bucket", F.element_at("buckets", (F.col("no") + k) % BANDS + 1)) for k in NEXT_BANDS]
-    grouped = large.select("rep", "pull", F.explode(F.array("bucket", *parts)).alias("group"))
-    heads = grouped.groupBy("group").agg(F.array(F.max_by("rep", F.struct("pull", "rep")), F.min("rep")).alias("heads"))
-    stars = grouped.join(heads, "group").select("rep", F.explode("heads").alias("other")).filter("rep != other")
-    pairs = small.unionByName(stars.select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b"))).distinct()
-    return pairs, shared.filter(F.col("n") > WHOLE_BUCKET).select("rep").distinct()
+    grouped = large.select("node", "pull", F.explode(F.array("bucket", *parts)).alias("group"))
+    heads = grouped.groupBy("group").agg(F.array(F.max_by("node", F.struct("pull", "node")), F.min("node")).alias("heads"))
+    stars = grouped.join(heads, "group").select("node", F.explode("heads").alias("other")).filter("node != other")
+    pairs = small.unionByName(stars.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))).distinct()
+    return pairs, shared.filter(F.col("n") > WHOLE_BUCKET).select("node").distinct()
+
+
+def _sets(weighted: bool):
+    """Elements of each node's text."""
 
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        memo = _Words()
+        for part in parts:
+            for some in _batches(part):
+                element, size = elements(some["text"].tolist(), memo, weighted)
+                yield pd.DataFrame({"node": some["node"].to_numpy(), "size": size, "tokens": np.split(element, np.cumsum(size)[:-1])})
 
-def _shingled(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Shingle set of each text."""
-    memo = _Words()
-    for part in parts:
-        for some in _batches(part):
-            text, element, _ = shingles(some["text"].tolist(), memo)
-            size = np.bincount(text, minlength=len(some))
-            yield pd.DataFrame({"rep": some["rep"].to_numpy(), "size": size, "tokens": np.split(element.view(np.int64), np.cumsum(size)[:-1])})
+    return run
 
 
-def _crowded_pairs(texts: DataFrame, roots: DataFrame) -> DataFrame:
+def _crowded_pairs(sets: DataFrame, roots: DataFrame) -> DataFrame:
     """Pairs (a < b) that link all those of these texts' components that SIMILARITY links: a prefix-filter join.
 
-    Ordered by the number of texts that hold them, the first shingle that two linked texts share stands
+    Ordered by the number of texts that hold them, the first element that two linked texts share stands
     in both prefixes of size - 0.8 size + 1. If it is a rare one, a bounded posting gives the pair.
-    Otherwise the two share common shingles only, so their similarity follows from these and the sizes
-    and falls with the sizes: of the texts with one set of common shingles and one component, the
+    Otherwise the two share common elements only, so their similarity follows from these and the sizes
+    and falls with the sizes: of the texts with one set of common elements and one component, the
     smallest has all the links; all links within one set go to its smallest text too, and the sets
-    are compared with each other by the common shingles of the prefixes. Pairs within a component
+    are compared with each other by the common elements of the prefixes. Pairs within a component
     are left out, so a group of near copies is not expanded.
     """
-    sets = texts.mapInPandas(_shingled, "rep long, size long, tokens array<long>")
-    sets = materialise(sets.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "size", "tokens", F.coalesce("root", "rep").alias("comp")), "near-sets")
-    rows = sets.select("rep", F.explode("tokens").alias("s"))
+    sets = materialise(sets.join(roots, "node", "left").select("node", "size", "tokens", F.coalesce("root", "node").alias("comp")), "near-crowd")
+    rows = sets.select("node", F.explode("tokens").alias("s"))
     counts = rows.groupBy("s").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    ranked = rows.join(counts, "s").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("n", "s"))).alias("t"))
+    ranked = rows.join(counts, "s").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("n", "s"))).alias("t"))
     # a text's own shingles come first in its prefix and meet no other text
     length = F.floor(F.col("size") * (1 - SIMILARITY) + 1e-9) + 1 - (F.col("size") - F.size("t"))
     common = F.filter("t", lambda x: x["n"] > RARE)
     prefix = F.slice("t", F.lit(1), F.greatest(length, F.lit(0)).cast("int"))
-    ranked = sets.drop("tokens").join(ranked, "rep").select("rep", "size", "comp", F.xxhash64(common["s"]).alias("set"), F.size(common).alias("held"), prefix.alias("prefix"))
+    ranked = sets.drop("tokens").join(ranked, "node").select("node", "size", "comp", F.xxhash64(common["s"]).alias("set"), F.size(common).alias("held"), prefix.alias("prefix"))
     ranked = materialise(ranked.filter(F.size("prefix") > 0), "near-prefixes")
 
     def meeting(posted: DataFrame, also) -> DataFrame:
@@ -282,77 +279,105 @@ def _crowded_pairs(texts: DataFrame, roots: DataFrame) -> DataFrame:
         posted = posted.join(mixed, "s")
         x, y = posted.alias("x"), posted.alias("y")
         near = F.least("x.size", "y.size") >= SIMILARITY * F.greatest("x.size", "y.size") - 1e-9
-        return x.join(y, (F.col("x.s") == F.col("y.s")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.comp") != F.col("y.comp")) & near & also).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
+        return x.join(y, (F.col("x.s") == F.col("y.s")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.comp") != F.col("y.comp")) & near & also).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
 
     def enough(held, size_a, size_b):
         return held >= SIMILARITY * (size_a + size_b - held) - 1e-9
 
-    rare = ranked.select("rep", "size", "comp", F.explode(F.filter("prefix", lambda x: x["n"] <= RARE)["s"]).alias("s"))
+    rare = ranked.select("node", "size", "comp", F.explode(F.filter("prefix", lambda x: x["n"] <= RARE)["s"]).alias("s"))
     crowd = ranked.filter(F.exists("prefix", lambda x: x["n"] > RARE))
     own = [c for c in crowd.columns if c not in ("set", "comp")]
-    heads = crowd.groupBy("set", "comp").agg(F.min_by(F.struct(*own), F.struct("size", "rep")).alias("h")).select("set", "comp", "h.*")
+    heads = crowd.groupBy("set", "comp").agg(F.min_by(F.struct(*own), F.struct("size", "node")).alias("h")).select("set", "comp", "h.*")
     heads = materialise(heads, "near-heads")
-    least = heads.groupBy("set").agg(F.min(F.struct("size", "rep")).alias("m"))
-    within = heads.join(least, "set").filter((F.col("rep") != F.col("m.rep")) & enough(F.col("held"), F.col("size"), F.col("m.size")))
-    within = within.select(F.least("rep", "m.rep").alias("a"), F.greatest("rep", "m.rep").alias("b"))
-    posted = heads.select("rep", "size", "comp", "set", "held", F.explode(F.filter("prefix", lambda x: x["n"] > RARE)["s"]).alias("s"))
+    least = heads.groupBy("set").agg(F.min(F.struct("size", "node")).alias("m"))
+    within = heads.join(least, "set").filter((F.col("node") != F.col("m.node")) & enough(F.col("held"), F.col("size"), F.col("m.size")))
+    within = within.select(F.least("node", "m.node").alias("a"), F.greatest("node", "m.node").alias("b"))
+    posted = heads.select("node", "size", "comp", "set", "held", F.explode(F.filter("prefix", lambda x: x["n"] > RARE)["s"]).alias("s"))
     across = meeting(posted, (F.col("x.set") != F.col("y.set")) & enough(F.least("x.held", "y.held"), F.col("x.size"), F.col("y.size")))
     return meeting(rare, F.lit(True)).unionByName(within).unionByName(across).distinct()
 
 
-def _checked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs that reach SIMILARITY on their whole texts."""
-    right = pairs.join(texts.select(F.col("rep").alias("b"), F.col("text").alias("tb")), "b")
-    full = right.join(texts.select(F.col("rep").alias("a"), F.col("text").alias("ta")), "a")
-    return full.sortWithinPartitions("a").select("a", "b", "ta", "tb").mapInPandas(_similarities, "a long, b long")
+def _checked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs whose whole texts reach SIMILARITY; sets travel for pairs of like sizes alone."""
+    for side in "ab":
+        pairs = pairs.join(sets.select(F.col("node").alias(side), F.col("size").alias(f"n{side}")), side)
+    near = pairs.filter(F.least("na", "nb") >= SIMILARITY * F.greatest("na", "nb") - 1e-9)
+    for side in "ab":
+        near = near.join(sets.select(F.col("node").alias(side), F.col("tokens").alias(f"t{side}")), side)
+    both = F.size(F.array_intersect("ta", "tb"))
+    return near.filter(both >= SIMILARITY * (F.col("na") + F.col("nb") - both) - 1e-9).select("a", "b")
+
+
+def _row_key(id_col: str, text_col: str):
+    """Names a row by its id and text; read again, the same row has the same key."""
+    return F.xxhash64(F.col(id_col).cast("long"), F.col(text_col))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", weighted: bool = False) -> DataFrame:
+def _classed(docs: DataFrame, id_col: str, text_col: str, weighted: bool) -> DataFrame:
+    """Every row as doc_id, row, worded, kept_id, kept_row: the row of its class that stays."""
+    named = docs.select(F.col(id_col).cast("long").alias("doc_id"), _row_key(id_col, text_col).alias("row"), F.col(text_col).alias("text"))
+    # ids pass through Python as text, so neither nulls nor large ids change
+    signed = named.select(F.col("doc_id").cast("string").alias("id"), "row", "text").mapInPandas(_signed(weighted), "id string, row long, key binary, buckets array<long>")
+    rows = materialise(signed.select(F.col("id").cast("long").alias("doc_id"), "row", "key", "buckets"), "near-signed")
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    nodes = rows.filter(F.col("key").isNotNull()).groupBy("key").agg(F.min(rank).alias("first"), F.first("buckets").alias("buckets"))
+    nodes = materialise(nodes.withColumn("node", F.monotonically_increasing_id()), "near-nodes")
+    pairs, crowded = _bucket_pairs(nodes)
+    pairs = materialise(pairs, "near-pairs")
+    wanted = nodes.join(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), "node", "left_semi")
+    wanted = materialise(wanted.select("node", F.col("first.doc_id").alias("first_id"), F.col("first.row").alias("first_row")), "near-wanted")
+    # a bit filter of fixed size drops the texts of documents in no pair before anything is shuffled
+    texts = named.filter(bitfilter.may_hold(wanted.select("first_row"))(F.col("row")))
+    texts = texts.join(wanted, (F.col("row") == F.col("first_row")) & F.col("doc_id").eqNullSafe(F.col("first_id"))).dropDuplicates(["node"])
+    sets = materialise(texts.select("node", "text").mapInPandas(_sets(weighted), "node long, size long, tokens array<long>"), "near-sets")
+    links = materialise(_checked(pairs, sets), "near-links")
+    roots = components(links)
+    # the rest of the pairs of large buckets, where they may join two components
+    more = materialise(_crowded_pairs(sets.join(crowded, "node", "left_semi"), roots), "near-crowded")
+    more = materialise(_checked(more, sets), "near-more")
+    if not more.isEmpty():
+        roots = components(links.unionByName(more))
+    rooted = materialise(nodes.select("key", "node", "first").join(roots, "node", "left").select("key", "first", F.coalesce("root", "node").alias("root")), "near-rooted")
+    kept = rooted.groupBy("root").agg(F.min("first").alias("kept"))
+    classes = rooted.join(kept, "root").select("key", F.col("kept.doc_id").alias("kept_id"), F.col("kept.row").alias("kept_row"))
+    rows = rows.select("doc_id", "row", "key")
+    worded = rows.filter(F.col("key").isNotNull()).join(classes, "key").select("doc_id", "row", F.lit(True).alias("worded"), "kept_id", "kept_row")
+    return worded.unionByName(rows.filter(F.col("key").isNull()).select("doc_id", "row", F.lit(False).alias("worded"), F.col("doc_id").alias("kept_id"), F.col("row").alias("kept_row")))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", weighted: bool = True) -> DataFrame:
     """Class of every document: doc_id, class_id.
 
     Texts of the same words form one node. Nodes whose DartMinHash signatures share a band are
-    candidates; those whose five-word shingle sets have a Jaccard similarity of 0.8 or more are
-    linked, and classes are the connected components. class_id is the smallest doc_id of the class.
-    ``weighted`` makes the signature follow the shingles' occurrences; the check is on sets.
+    candidates; those whose five-word shingles, weighted by their occurrences, have a Jaccard
+    similarity of 0.8 or more are linked, and classes are the connected components. class_id is the
+    smallest doc_id of the class. Without ``weighted`` signature and check go by distinct shingles.
 
     Copies are never expanded into pairs. A bucket of thousands of similar texts gives a number of
     pairs in proportion to its members, against the most central and the smallest members of the
     bucket and of its parts (see _bucket_pairs). What these leave apart is joined exactly among all
     texts of large buckets (see _crowded_pairs).
 
-    A document without words (null, empty) is a class of its own; one to four words are one shingle;
-    repeated rows share their class, and each is returned; a null id stays a row with its class;
-    empty tables give no rows. Other columns are ignored.
+    Rows, not ids, are joined: one id on several texts stands in each text's class. A document
+    without words (null, empty) is a class of its own; one to four words are one shingle; repeated
+    rows share their class, and each is returned; a row with a null id keeps it and is in the class
+    of its text (a class of null ids alone has a null class_id); empty tables give no rows. Other
+    columns are ignored.
     """
-    named = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    rows = materialise(named.mapInPandas(_signed(weighted), "doc_id long, key binary, buckets array<long>"), "near-signed")
-    nodes = rows.filter(F.col("key").isNotNull()).groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("buckets").alias("buckets"))
-    nodes = materialise(nodes.filter(F.col("rep").isNotNull()), "near-nodes")
-    pairs, crowded = _bucket_pairs(nodes)
-    pairs = materialise(pairs, "near-pairs")
-    wanted = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).distinct()
-    # a bit filter of fixed size drops the texts of documents in no pair before anything is shuffled
-    texts = named.withColumnRenamed("id", "rep").filter(bitfilter.may_hold(wanted)(F.col("rep")))
-    texts = materialise(texts.join(wanted, "rep", "left_semi").dropDuplicates(["rep"]), "near-texts")
-    links = materialise(_checked(pairs, texts), "near-links")
-    roots = components(links)
-    # the rest of the pairs of large buckets, where they may join two components
-    more = materialise(_crowded_pairs(texts.join(crowded, "rep", "left_semi"), roots), "near-crowded")
-    more = materialise(_checked(more, texts), "near-more")
-    if not more.isEmpty():
-        roots = components(links.unionByName(more))
-    classes = nodes.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("key", F.coalesce("root", "rep").alias("class_id"))
-    worded = rows.filter(F.col("key").isNotNull()).join(classes, "key", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
-    return worded.unionByName(rows.filter(F.col("key").isNull()).select("doc_id", F.col("doc_id").alias("class_id")))
+    return _classed(docs, id_col, text_col, weighted).select("doc_id", F.col("kept_id").alias("class_id"))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """One document of each class, that of the smallest id; documents without id are kept.
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", weighted: bool = True) -> DataFrame:
+    """One row of each class: that of the smallest id (nulls last), then of the smallest row key.
 
-    Only rows that may be copies, or whose id is repeated, are shuffled; the others pass as they are.
+    Rows alike in id and text are one document, of which any one stays; documents without words are
+    no copies of each other. Only rows that may be copies or repeated are shuffled, each packed in
+    one column so that no name can clash; the others pass as they are.
     """
-    gone = materialise(near_duplicates(docs, id_col).filter("doc_id != class_id").select(F.col("doc_id").alias("_gone")).distinct(), "near-gone")
-    repeated = docs.filter(F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("_gone")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("_gone")
-    clear, rest = bitfilter.split(docs, F.col(id_col).cast("long"), gone.unionByName(repeated))
-    rest = rest.join(gone, F.col(id_col) == F.col("_gone"), "left_anti").dropDuplicates([id_col])
-    return clear.unionByName(rest)
+    kept = F.col("row").eqNullSafe(F.col("kept_row")) & F.col("doc_id").eqNullSafe(F.col("kept_id"))
+    gone = materialise(_classed(docs, id_col, text_col, weighted).filter(F.col("worded") & ~kept).select(F.col("doc_id").alias("gone_id"), F.col("row").alias("gone_row")).distinct(), "near-gone")
+    packed = docs.select(F.struct(*docs.columns).alias("doc"), F.col(id_col).cast("long").alias("id"), _row_key(id_col, text_col).alias("row"))
+    repeated = packed.groupBy("id", "row").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    clear, rest = bitfilter.split(packed, F.col("row"), gone.select("gone_row").unionByName(repeated.select(F.col("row").alias("gone_row"))))
+    rest = rest.join(gone, (F.col("row") == F.col("gone_row")) & F.col("id").eqNullSafe(F.col("gone_id")), "left_anti").dropDuplicates(["id", "row"])
+    return clear.select("doc.*").unionByName(rest.select("doc.*"))

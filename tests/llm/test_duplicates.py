@@ -2,6 +2,7 @@
 
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -12,8 +13,15 @@ from .conftest import prose
 
 
 def shingle_set(text):
+    """Shingles with the number of each occurrence: their Jaccard similarity is the weighted one."""
     w = re.findall(r"\w+", text.lower())
-    return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+    seen = Counter()
+    out = set()
+    for k in range(max(1, len(w) - 4) if w else 0):
+        s = tuple(w[k : k + 5])
+        out.add((s, seen[s]))
+        seen[s] += 1
+    return out
 
 
 def brute_classes(rows):
@@ -71,6 +79,49 @@ def test_links_within_form_letters_are_found(make):
     assert got == want and len(set(want.values())) > 400
 
 
+def test_weights_count_occurrences(make):
+    """Sets of shingles that are alike, occurrences that are not; and the other way round."""
+    verse, other = prose(50, 40).replace(".", ""), prose(51, 40).replace(".", "")
+    rows = [
+        (1, f"{verse} {verse} {verse}", "en", "a"),
+        (2, f"{verse} {verse} {verse} {verse} {verse} {verse} {verse}", "en", "a"),
+        (3, f"{other} " * 9 + prose(52, 30), "en", "a"),
+        (4, f"{other} " * 9 + prose(53, 30), "en", "a"),
+    ]
+    got = {r["doc_id"]: r["class_id"] for r in near_dup.near_duplicates(make(rows)).collect()}
+    assert got == brute_classes([r[:2] for r in rows]) == {1: 1, 2: 2, 3: 3, 4: 3}
+    got = {r["doc_id"]: r["class_id"] for r in near_dup.near_duplicates(make(rows), weighted=False).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 4}
+
+
+def test_recall_of_planted_near_copies(make):
+    """Pairs just above the threshold among many documents."""
+    rng, rows, pairs = random.Random(8), [], 0
+    for g in range(300):
+        words = prose(9000 + g, 130).split()
+        changed = list(words)
+        for k in rng.sample(range(len(words)), 2):
+            changed[k] = f"edit{rng.randint(0, 9999)}"
+        rows += [(g, " ".join(words), "en", "a"), (1000 + g, " ".join(changed), "en", "a")]
+    want = brute_classes([r[:2] for r in rows[:120]])
+    got = {r["doc_id"]: r["class_id"] for r in near_dup.near_duplicates(make(rows)).collect()}
+    assert all(got[i] == c for i, c in want.items())
+    pairs = sum(got[1000 + g] == g for g in range(300))
+    assert pairs >= 290
+
+
+def test_rows_not_ids_are_joined(make):
+    """One id on two texts, null ids, ids above 2 ** 53: no text is lost and no id changes."""
+    a, b, c = prose(60, 80), prose(61, 80), prose(62, 80)
+    large = 2**53 + 1
+    rows = [(5, a, "en", "a"), (5, b, "en", "a"), (7, b, "en", "a"), (8, a, "en", "a"), (None, c, "en", "a"), (large, c, "en", "a"), (large + 2, prose(63, 80), "en", "a"), (None, prose(64, 80), "en", "a")]
+    docs = make(rows)
+    out = sorted((r["doc_id"] or 0, r["class_id"] or 0) for r in near_dup.near_duplicates(docs).collect())
+    assert out == sorted([(5, 5), (5, 5), (7, 5), (8, 5), (0, large), (large, large), (large + 2, large + 2), (0, 0)])
+    kept = near_dup.keep_one(docs.withColumn("_gone", docs["rank"]).withColumn("row", docs["rank"])).collect()
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in kept) == sorted([(5, a), (5, b), (large, c), (large + 2, rows[6][1]), (0, rows[7][1])])
+
+
 def test_one_of_each_class_stays(messy):
     kept = near_dup.keep_one(messy)
     assert kept.columns == messy.columns
