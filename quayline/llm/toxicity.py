@@ -14,10 +14,8 @@ from pyspark.sql import functions as F
 
 TOKEN = re.compile(r"\w+")
 DIM = 1 << 18  # hashed features
-BLOCK = 64  # tokens of one chain; a text is cut into chains of this length
+BLOCK = 64  # tokens whose products are taken together when messages pass along a text
 ROWS_PER_CLASS = 2000  # bound of the labelled sample that the model is fitted on, per class
-SAMPLE_CHARS = 20_000  # longer texts are left out of that sample (they are scored like any other)
-SEGMENTS = 10_000  # chains used in training
 THRESHOLD = 0.7
 SCORE = "score double, predicted int, n_toxic int, spans string"
 
@@ -48,21 +46,71 @@ class ToxicityModel:
         return float(self.weights[word_features(word)].sum() + self.bias)
 
 
-def marginals(psi: np.ndarray, trans: np.ndarray, start: float) -> np.ndarray:
-    """Posterior of label 1; psi (chains, length) holds the token potentials of label 1 against 0.
+def messages(psi: np.ndarray, counts: np.ndarray, trans: np.ndarray, start: float) -> tuple[np.ndarray, np.ndarray]:
+    """Forward and backward messages of consecutive texts, each one chain from its first token to its last.
 
-    With two labels forward and backward messages are ratios, so one number a token suffices.
+    psi holds the token potentials of label 1 against 0, counts the tokens of each text. With two
+    labels a message is a ratio, and a token maps (a0, a1) to (t00 a0 + t10 a1, psi (t01 a0 + t11 a1)).
+    The products of BLOCK tokens' maps carry the messages from block to block, then all blocks are
+    filled in at once; the result is that of the token-by-token recursion, at any length.
     """
     (t00, t01), (t10, t11) = trans
-    n = psi.shape[1]
-    ahead, back = np.empty_like(psi), np.ones_like(psi)
-    ahead[:, 0] = psi[:, 0] * start
-    for t in range(1, n):
-        r = ahead[:, t - 1]
-        ahead[:, t] = psi[:, t] * (t01 + r * t11) / (t00 + r * t10)
-    for t in range(n - 2, -1, -1):
-        q = psi[:, t + 1] * back[:, t + 1]
-        back[:, t] = (t10 + t11 * q) / (t00 + t01 * q)
+    blocks = -(-counts // BLOCK)
+    total = int(blocks.sum())
+    begin = np.cumsum(blocks) - blocks  # first block of each text
+    tokens = np.cumsum(counts) - counts
+    at = np.arange(len(psi)) - np.repeat(tokens, counts) + np.repeat(begin * BLOCK, counts)
+    real = np.zeros(total * BLOCK, bool)
+    real[at] = True
+    grid = np.ones(total * BLOCK)
+    grid[at] = psi
+    grid, real = np.ascontiguousarray(grid.reshape(total, BLOCK).T), np.ascontiguousarray(real.reshape(total, BLOCK).T)
+    opens = np.zeros(total, bool)
+    opens[begin[counts > 0]] = True
+
+    # the block's product; a text's first token has no transition before it, places behind its last do nothing
+    p00, p01, p10, p11 = np.ones(total), np.zeros(total), np.zeros(total), np.ones(total)
+    for k in range(BLOCK):
+        g, some = grid[k], real[k] if k else real[k] & ~opens
+        c00, c10 = t00 * p00 + t10 * p10, g * (t01 * p00 + t11 * p10)
+        c01, c11 = t00 * p01 + t10 * p11, g * (t01 * p01 + t11 * p11)
+        scale = c00 + c01 + c10 + c11
+        p00, p01, p10, p11 = (np.where(some, c / scale, p) for c, p in ((c00, p00), (c01, p01), (c10, p10), (c11, p11)))
+        if not k:
+            p11 = np.where(opens, g, p11)
+
+    enter, leave = np.full(total, float(start)), np.ones(total)  # ratio before each block; backward ratio behind it
+    order = np.argsort(-blocks, kind="stable")
+    longest = int(blocks.max(initial=0))
+    alive = np.searchsorted(-blocks[order], -np.arange(1, longest + 1), side="right")  # texts with that many blocks
+    for k in range(1, longest):
+        now = begin[order[: alive[k]]] + k
+        r = enter[now - 1]
+        enter[now] = (p10[now - 1] + p11[now - 1] * r) / (p00[now - 1] + p01[now - 1] * r)
+    for k in range(1, longest):
+        some = order[: alive[k]]
+        now = begin[some] + blocks[some] - 1 - k
+        q = leave[now + 1]
+        leave[now] = (p01[now + 1] + p11[now + 1] * q) / (p00[now + 1] + p10[now + 1] * q)
+
+    ahead, back = np.empty_like(grid), np.empty_like(grid)
+    r = enter
+    for k in range(BLOCK):
+        step = grid[k] * (t01 + r * t11) / (t00 + r * t10)
+        if not k:
+            step = np.where(opens, grid[0] * r, step)
+        ahead[k] = r = np.where(real[k], step, r)
+    b = leave
+    for k in range(BLOCK - 1, -1, -1):
+        back[k] = b
+        q = grid[k] * b
+        b = np.where(real[k], (t10 + t11 * q) / (t00 + t01 * q), b)
+    return ahead.T.ravel()[at], back.T.ravel()[at]
+
+
+def marginals(psi: np.ndarray, counts: np.ndarray, trans: np.ndarray, start: float) -> np.ndarray:
+    """Posterior of label 1 of every token of consecutive texts."""
+    ahead, back = messages(psi, counts, trans, start)
     odds = ahead * back
     return odds / (1 + odds)
 
@@ -80,16 +128,6 @@ class _Emissions(dict):
         return value
 
 
-def _token_marginals(counts: np.ndarray, psi: np.ndarray, model: ToxicityModel) -> np.ndarray:
-    """Marginals of consecutive documents' tokens, each document cut into chains of BLOCK."""
-    blocks = -(-counts // BLOCK)
-    first = (np.cumsum(blocks) - blocks) * BLOCK
-    at = np.arange(len(psi)) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(first, counts)
-    grid = np.zeros(int(blocks.sum()) * BLOCK)
-    grid[at] = psi
-    return marginals(grid.reshape(-1, BLOCK), model.trans, model.start).ravel()[at]
-
-
 def _document_features(p: np.ndarray) -> tuple[float, float]:
     top = float(np.clip(p.max(initial=0.0), 1e-6, 1 - 1e-6))
     return float(np.log(top / (1 - top))), float(np.log1p(p[p > 0.5].sum()))
@@ -99,7 +137,7 @@ def _score_texts(texts: list[str], model: ToxicityModel, memo: _Emissions) -> li
     tokens = [TOKEN.findall(t) for t in texts]
     counts = np.array([len(t) for t in tokens], dtype=np.int64)
     psi = np.fromiter((memo[w] for t in tokens for w in t), dtype=np.float64, count=int(counts.sum()))
-    p = _token_marginals(counts, psi, model)
+    p = marginals(psi, counts, model.trans, model.start)
     a, b, c = model.calibration
     out, end = [], 0
     for text, n in zip(texts, counts, strict=True):
@@ -164,54 +202,39 @@ def _evidence(tokens: list[list[str]], toxic: np.ndarray) -> set[str]:
 
 
 def _train(tokens: list[list[str]], labels: list[np.ndarray], rounds: int = 60) -> ToxicityModel:
-    """Maximum likelihood of the labelled chains by Adam on exact forward-backward gradients."""
-    chains = [(t[k : k + BLOCK], y[k : k + BLOCK]) for t, y in zip(tokens, labels, strict=True) for k in range(0, len(t), BLOCK)]
-    marked = [c for c in chains if c[1].any()]
-    plain = [c for c in chains if not c[1].any()]
-    step = max(1, len(plain) // max(1, SEGMENTS - min(len(marked), SEGMENTS // 2)))
-    chains = marked[: SEGMENTS // 2] + plain[::step]
-    words = sorted({w for c, _ in chains for w in c})
-    number = {w: k for k, w in enumerate(words)}
-    features = np.array([word_features(w) for w in words])
-    ids = np.zeros((len(chains), BLOCK), np.int64)
-    real = np.zeros((len(chains), BLOCK), bool)
-    gold = np.zeros((len(chains), BLOCK))
-    for k, (c, y) in enumerate(chains):
-        ids[k, : len(c)] = [number[w] for w in c]
-        real[k, : len(c)] = True
-        gold[k, : len(c)] = y
-    pair = real[:, 1:]
-    told = np.array([[((1 - gold[:, :-1]) * (1 - gold[:, 1:]) * pair).sum(), ((1 - gold[:, :-1]) * gold[:, 1:] * pair).sum()], [(gold[:, :-1] * (1 - gold[:, 1:]) * pair).sum(), (gold[:, :-1] * gold[:, 1:] * pair).sum()]])
+    """Maximum likelihood of the labelled texts, each a whole chain, by Adam on exact forward-backward gradients."""
+    counts = np.array([len(t) for t in tokens], dtype=np.int64)
+    number: dict[str, int] = {}
+    ids = np.fromiter((number.setdefault(w, len(number)) for t in tokens for w in t), dtype=np.int32, count=int(counts.sum()))
+    features = np.array([word_features(w) for w in number], dtype=np.int32).reshape(len(number), -1)
+    gold = np.concatenate(labels) if labels else np.zeros(0)
+    opens = np.zeros(len(ids), bool)
+    opens[(np.cumsum(counts) - counts)[counts > 0]] = True
+    inner = ~opens
+    before, after = gold[:-1][inner[1:]], gold[1:][inner[1:]]
+    told = np.array([((1 - before) * (1 - after)).sum(), ((1 - before) * after).sum(), (before * (1 - after)).sum(), (before * after).sum()])
+    by_label, firsts = np.bincount(ids, weights=gold, minlength=len(number)), gold[opens].sum()
     model = ToxicityModel(bias=-4.0)
     theta = np.concatenate([np.zeros(DIM), [-4.0, 0.0, 0.0, 0.0, 0.0, 0.0]])  # weights, bias, start, transitions
     m, v = np.zeros_like(theta), np.zeros_like(theta)
-    n = len(chains)
+    scale = max(1.0, len(ids) / BLOCK)
     for r in range(1, rounds + 1):
         w, (bias, start), trans = theta[:DIM], theta[DIM : DIM + 2], np.exp(theta[DIM + 2 :].reshape(2, 2))
-        emission = w[features].sum(1) + bias
-        psi = np.where(real, np.exp(np.minimum(emission[ids], 30)), 0.0)
-        ahead, back = np.empty_like(psi), np.ones_like(psi)
-        ahead[:, 0] = psi[:, 0] * np.exp(start)
+        psi = np.exp(np.minimum(w[features].sum(1) + bias, 30))[ids]
+        ahead, back = messages(psi, counts, trans, float(np.exp(start)))
+        p = ahead * back
+        p /= 1 + p
         (t00, t01), (t10, t11) = trans
-        for t in range(1, BLOCK):
-            x = ahead[:, t - 1]
-            ahead[:, t] = psi[:, t] * (t01 + x * t11) / (t00 + x * t10)
-        for t in range(BLOCK - 2, -1, -1):
-            q = np.where(real[:, t + 1], psi[:, t + 1] * back[:, t + 1], np.nan)
-            back[:, t] = np.where(real[:, t + 1], (t10 + t11 * q) / (t00 + t01 * q), 1.0)
-        odds = ahead * back
-        p = np.where(real, odds / (1 + odds), 0.0)
-        q1 = psi[:, 1:] * back[:, 1:]
-        cells = np.stack([np.full_like(q1, t00), t01 * q1, ahead[:, :-1] * t10, ahead[:, :-1] * t11 * q1])
-        cells = (cells / cells.sum(0)) * pair
+        x, q = ahead[:-1][inner[1:]], (psi * back)[1:][inner[1:]]
+        cells = np.stack([np.full_like(q, t00), t01 * q, x * t10, t11 * x * q])
+        cells /= cells.sum(0)
         grad = np.zeros_like(theta)
-        off = (p - gold) * real
-        by_word = np.bincount(ids.ravel(), weights=off.ravel(), minlength=len(words))
+        by_word = np.bincount(ids, weights=p, minlength=len(number)) - by_label
         np.add.at(grad, features.ravel(), np.repeat(by_word, features.shape[1]))
-        grad[DIM] = off.sum()
-        grad[DIM + 1] = off[:, 0].sum()
-        grad[DIM + 2 :] = cells.sum((1, 2)) - told.ravel()
-        grad = grad / n + 1e-5 * theta
+        grad[DIM] = by_word.sum()
+        grad[DIM + 1] = p[opens].sum() - firsts
+        grad[DIM + 2 :] = cells.sum(1) - told
+        grad = grad / scale + 1e-5 * theta
         m, v = 0.9 * m + 0.1 * grad, 0.98 * v + 0.02 * grad**2
         theta = theta - 0.25 * (m / (1 - 0.9**r)) / (np.sqrt(v / (1 - 0.98**r)) + 1e-6)
     model.weights, model.bias, model.start = theta[:DIM].astype(np.float32), float(theta[DIM]), float(np.exp(theta[DIM + 1]))
@@ -224,7 +247,7 @@ def _calibrate(model: ToxicityModel, tokens: list[list[str]], toxic: np.ndarray,
     memo = _Emissions(model)
     counts = np.array([len(t) for t in tokens], dtype=np.int64)
     psi = np.array([memo[w] for t in tokens for w in t])
-    p, ends = _token_marginals(counts, psi, model), np.cumsum(counts)
+    p, ends = marginals(psi, counts, model.trans, model.start), np.cumsum(counts)
     x = np.ones((len(tokens), 3))
     x[:, 1:] = [_document_features(p[e - n : e]) for e, n in zip(ends, counts, strict=True)]
     beta = np.zeros(3)
@@ -240,19 +263,24 @@ def _calibrate(model: ToxicityModel, tokens: list[list[str]], toxic: np.ndarray,
 def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows_per_class: int = ROWS_PER_CLASS) -> ToxicityModel:
     """Fit the CRF on a bounded sample of labelled rows.
 
-    The sample holds at most ``rows_per_class`` rows of each label, chosen by the hash of their id,
-    with texts of at most SAMPLE_CHARS. Labels mark documents; tokens are labelled from them: in a
+    The sample holds at most ``rows_per_class`` whole texts of each label, chosen by the hash of their
+    id: a threshold found from the number of labelled rows lets through few more, of which the
+    smallest hashes stay, so no task sends many rows. Labels mark documents; tokens are labelled from them: in a
     toxic document those of the words and stems are toxic that set such documents apart. Rows
     without label, id or text take no part; an id labelled twice counts as toxic if either says so.
     Without both labels the model rates every text as clean.
     """
     marks = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).dropna().groupBy("_id").agg(F.max("_y").alias("_y"))
     # ids are joined and ranked without their texts; the texts of the bounded sample are looked up after that
-    rows = docs.select(F.col(id_col).alias("_id"), F.length(text_col).alias("_n")).filter(F.col("_n") <= SAMPLE_CHARS).drop("_n").distinct()
+    rows = docs.filter(F.col(text_col).isNotNull()).select(F.col(id_col).alias("_id")).distinct()
     rows = rows.join(marks, "_id").withColumn("_h", F.xxhash64(F.col("_id").cast("string")))
-    parts = [rows.filter(F.col("_y") == y).orderBy("_h", "_id").limit(rows_per_class).select("_id", "_y") for y in (1, 0)]
+    held = dict(rows.groupBy("_y").count().collect())
+    parts = []
+    for y in (1, 0):
+        share = min(1.0, 1.5 * (rows_per_class + 20) / max(held.get(y, 0), 1))
+        parts.append(rows.filter((F.col("_y") == y) & (F.col("_h") <= min(2**63 - 1, int(share * 2**64) - 2**63))).orderBy("_h", "_id").limit(rows_per_class).select("_id", "_y"))
     chosen = docs.sparkSession.createDataFrame(parts[0].unionByName(parts[1]).toPandas(), parts[0].schema)
-    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).filter(F.length("_text") <= SAMPLE_CHARS)
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).filter(F.col("_text").isNotNull())
     sample = texts.join(F.broadcast(chosen), "_id").groupBy("_id", "_y").agg(F.min("_text").alias("_text")).toPandas()
     toxic = sample["_y"].to_numpy(dtype=float) if len(sample) else np.zeros(0)
     if not (0 < toxic.sum() < len(toxic)):

@@ -14,20 +14,42 @@ from quayline.llm import ann, licenses, lm, token_counts, toxicity
 from .conftest import prose
 
 
-def test_marginals_equal_enumeration():
+def test_marginals_equal_enumeration_and_the_plain_recursion():
     rng = np.random.default_rng(2)
-    psi, trans, start = rng.random((3, 5)) * 2, np.array([[1.2, 0.4], [0.7, 1.9]]), 0.6
-    for row, got in zip(psi, toxicity.marginals(psi, trans, start), strict=True):
-        total, hot = 0.0, np.zeros(5)
-        for labels in itertools.product((0, 1), repeat=5):
-            p = start if labels[0] else 1.0
-            for k, y in enumerate(labels):
-                p *= row[k] if y else 1.0
-                if k:
-                    p *= trans[labels[k - 1], y]
-            total += p
-            hot += p * np.array(labels)
-        assert np.allclose(got, hot / total)
+    trans, start = np.array([[1.2, 0.4], [0.7, 1.9]]), 0.6
+    counts = np.array([5, 0, 3, 1, 64, 65, 300, 128, 2])
+    psi = rng.random(counts.sum()) * 2
+    got, end = toxicity.marginals(psi, counts, trans, start), np.cumsum(counts)
+    for n, e in zip(counts, end, strict=True):
+        row, own = psi[e - n : e], got[e - n : e]
+        ahead, back = np.zeros((n, 2)), np.ones((n, 2))
+        for k in range(n):
+            a = np.array([1.0, start]) if not k else ahead[k - 1] @ trans
+            ahead[k] = a * [1, row[k]]
+            ahead[k] /= ahead[k].sum()
+        for k in range(n - 2, -1, -1):
+            back[k] = trans @ (back[k + 1] * [1, row[k + 1]])
+            back[k] /= back[k].sum()
+        both = ahead * back
+        assert np.allclose(own, both[:, 1] / both.sum(1)) if n else len(own) == 0
+        if 0 < n <= 5:
+            total, hot = 0.0, np.zeros(n)
+            for labels in itertools.product((0, 1), repeat=int(n)):
+                p = start if labels[0] else 1.0
+                for k, y in enumerate(labels):
+                    p *= row[k] if y else 1.0
+                    if k:
+                        p *= trans[labels[k - 1], y]
+                total += p
+                hot += p * np.array(labels)
+            assert np.allclose(own, hot / total)
+
+
+def test_evidence_passes_along_a_long_text():
+    psi = np.ones(200)
+    psi[0] = 50.0
+    sticky = np.array([[1.0, 0.0], [0.0, 1.0]])
+    assert np.allclose(toxicity.marginals(psi, np.array([200]), sticky, 1.0), 50 / 51)
 
 
 @pytest.fixture(scope="module")
