@@ -5,7 +5,8 @@ import re
 from collections import Counter
 
 import numpy as np
-import pandas as pd
+import xxhash
+from pyspark.sql import functions as F
 
 from quayline.llm import bitfilter, decontam, line_dedup, near_dup
 
@@ -140,47 +141,112 @@ def test_signatures_estimate_weighted_jaccard():
     assert (alone[0] == s[0]).all()  # a signature doesn't depend on the batch
 
 
-def brute_repeats(rows):
-    """Unit by unit in order of rank, with the operator's units."""
-    memo, seen, hit = line_dedup._Tokens("passage"), set(), {}
+def _pieces(text, unit):
+    """Units as tuples of words, cut by plain loops; and where each lies."""
+    out = []
+    for line in re.finditer(r"[^\n]+", text):
+        words = [(m.group().lower(), line.start() + m.start(), line.start() + m.end()) for m in re.finditer(r"\w+", line.group())]
+        if not words:
+            continue
+        if unit == "line" or len(words) < line_dedup.MIN_WORDS:
+            out.append((unit != "line", words))
+            continue
+        marks = [line.start() + m.start() for m in re.finditer(r"[.!?]", line.group())]
+        pieces, lo = [], 0
+        for mark in [*marks, line.end()]:
+            piece = [w for w in words[lo:] if w[1] < mark]
+            lo += len(piece)
+            pieces.append(piece)
+        for piece in filter(None, pieces):
+            cuts = set()
+            if len(piece) > line_dedup.LONG:
+                order = [int(line_dedup._mix(np.array([xxhash.xxh3_64_intdigest(w[0]) & ~7], np.uint64) ^ line_dedup._ODD)[0]) for w in piece]
+                for k in range(len(piece) - line_dedup.REACH + 1):
+                    cuts.add(min(range(k, k + line_dedup.REACH), key=lambda i: (order[i], -i)))
+            lo = 0
+            for k in sorted(cuts | {len(piece) - 1}):
+                out.append((False, piece[lo : k + 1]))
+                lo = k + 1
+    return out
+
+
+def brute_repeats(rows, unit="passage"):
+    """Unit by unit in order of rank; a unit is compared by its words."""
+    seen, out = set(), {}
     for i, t in sorted(rows):
-        u = line_dedup.units([t], memo)
-        for k, key in enumerate(zip(u["h1"], u["h2"], strict=True)):
+        runs, prev = [], None
+        for k, (short, words) in enumerate(_pieces(t, unit)):
+            key = (short, tuple(w[0] for w in words))
             if key in seen:
-                hit.setdefault(i, []).append((k, int(u["words"][k])))
+                one = (words[0][1], words[-1][2], len(words))
+                if prev == k - 1:
+                    runs[-1].append((short or unit == "line", one))
+                else:
+                    runs.append([(short or unit == "line", one)])
+                prev = k
             seen.add(key)
-    out = {}
-    for i, units in hit.items():
-        runs, prev = [], None
-        for k, n in units:
-            if prev is not None and k == prev + 1:
-                runs[-1] += n
+        for run in runs:
+            if sum(one[2] for _, one in run) >= line_dedup.MIN_WORDS:
+                out.setdefault(i, set()).add((run[0][1][0], run[-1][1][1]))
             else:
-                runs.append(n)
-            prev = k
-        out[i] = sorted(n for n in runs if n >= line_dedup.MIN_WORDS)
-    return {i: v for i, v in out.items() if v}
+                for whole, one in run:
+                    if whole:
+                        out.setdefault(i, set()).add(one[:2])
+    return out
+
+
+def found_repeats(docs, unit="passage"):
+    out = {}
+    for r in line_dedup.repeated_passages(docs, unit).collect():
+        out.setdefault(r["doc_id"], set()).add((r["start"], r["end"]))
+    return out
 
 
 def test_repeats_equal_brute_force(make, messy):
-    shared, rows = prose(900, 70), []
-    for k in range(30):
+    rng, shared, plain, rows = random.Random(5), prose(900, 70), prose(901, 60).replace(".", "").lower(), []
+    lines = ["short line", "Another line of six words here", "ok", prose(902, 20)]
+    for k in range(45):
         own = prose(k + 500, 80)
-        cut = len(own) // 2
-        rows.append((k, own[:cut] + " " + shared + " " + own[cut:] if k % 3 == 0 else own, "en", "a"))
-    out = line_dedup.repeated_passages(make(rows)).collect()
-    got = {}
-    for r in out:
-        got.setdefault(r["doc_id"], []).append(r["n_words"])
-    assert {i: sorted(v) for i, v in got.items()} == brute_repeats([r[:2] for r in rows])
-    texts = {r[0]: r[1] for r in rows}
-    assert set(got) == {k for k in range(3, 30, 3)} and all(r["kept_doc_id"] == 0 for r in out)
-    assert all(texts[r["doc_id"]][r["start"] : r["end"]].replace(".", "") in texts[r["doc_id"]].replace(".", "") for r in out)
-    assert min(r["n_words"] for r in out) >= 50  # nearly the whole passage
-    assert {r["doc_id"] for r in line_dedup.repeated_passages(messy).collect()} <= {8}
+        cut = own.index(" ", len(own) // 2)
+        if k % 3 == 0:
+            own = own[:cut] + " " + shared + " " + own[cut:]
+        if k % 5 == 0:  # in the middle of a sentence, no marks of its own
+            own = own[:40] + " " + plain + " " + own[40:]
+        if k % 4 == 0:
+            own += "\n" + "\n".join(rng.sample(lines, 3)) + "\n" + prose(k + 700, 12)
+        rows.append((k, own, "en", "a"))
+    texts = [r[:2] for r in rows]
+    for unit in ("passage", "line"):
+        assert found_repeats(make(rows), unit) == brute_repeats(texts, unit)
+    got = found_repeats(make(rows))
+    texts = dict(texts)
+    for k in range(45):
+        covered = " ".join(texts[k][a:b] for a, b in got.get(k, ()))
+        if k % 3 == 0 and k:
+            assert sum(w in covered for w in shared.split()) >= 60
+        if k % 5 == 0 and k:
+            assert sum(w in covered for w in plain.split()) >= 40
+    assert {r["doc_id"] for r in line_dedup.repeated_passages(messy).collect()} <= {8, 9}
     assert line_dedup.repeated_passages(make([])).count() == 0
 
 
+def test_repeated_lines_go_at_any_length_and_rows_stay_apart(make):
+    line = "four words stand here"
+    rows = [(k, f"{prose(40 + k, 20)}\n{line}\n{prose(50 + k, 20)}", "en", "a") for k in range(6)]
+    out = line_dedup.repeated_passages(make(rows)).collect()
+    assert sorted(r["doc_id"] for r in out) == [1, 2, 3, 4, 5] and all(rows[r["doc_id"]][1][r["start"] : r["end"]] == line for r in out)
+    # one id on two texts, a null id, an id above 2 ** 53
+    big, text = 2**53 + 1, prose(70, 40)
+    rows = [(5, prose(71, 30), "en", "a"), (5, prose(72, 30) + "\n" + text, "en", "a"), (big, text, "en", "a"), (None, prose(73, 10) + "\n" + text, "en", "a")]
+    docs = make(rows).withColumn("removed", F.col("rank")).withColumn("row", F.col("rank"))
+    assert sorted(r["doc_id"] for r in line_dedup.repeated_passages(docs).collect()) == [5, big]
+    kept = line_dedup.remove_repeats(docs)
+    assert kept.columns == docs.columns
+    out = {(r["doc_id"], r["text"].strip()) for r in kept.collect()}
+    assert (None, rows[3][1]) in out and (5, rows[0][1]) in out and len(out) == 4
+    assert sum(text.rstrip(".") in t for _, t in out) == 1
+
+
 def test_removal_keeps_the_first_and_the_offsets(make):
     first, other = prose(1, 40), prose(2, 40)
     out = {r["doc_id"]: r for r in line_dedup.remove_repeats(make([(1, first, "en", "a"), (2, other + "\n" + first, "en", "a")])).collect()}
@@ -210,3 +276,114 @@ def test_leaks_verbatim_and_with_other_slots(spark, make, messy):
     assert decontam.find_leaks(messy, bench).count() == 0
     assert decontam.drop_leaks(messy, bench).count() == messy.count()
     assert decontam.find_leaks(make(rows), bench.limit(0)).count() == 0
+
+
+def test_leaks_with_another_opening_name_short_items_and_null_ids(spark, make):
+    item = "Tom has 5 apples. Tom buys 3 more. How many apples does Tom have?"
+    swapped = item.replace("Tom", "Mary").replace("5", "8").replace("3", "6")
+    rows = [
+        (1, prose(1, 50) + ". " + swapped, "en", "a"),
+        (None, prose(2, 50) + ". " + item, "en", "a"),
+        (3, "Guide On How To Count. " + item, "en", "a"),  # an opening word that is a name elsewhere
+        (4, "Mary has 5 apples. Mary buys 3 more. How many apples does Tom have?", "en", "a"),  # one name became two
+        (5, prose(3, 40) + " grault snib florp " + prose(4, 20), "en", "a"),
+        (6, prose(5, 40) + " grault snib " + prose(6, 20), "en", "a"),
+        (7, "blarn", "en", "a"),
+        (8, prose(7, 20) + " blarn", "en", "a"),
+    ]
+    bench = spark.createDataFrame([(1, item), (2, "grault snib florp"), (3, "blarn")], "item_id long, text string")
+    docs = make(rows).withColumnRenamed("value", "_leaked")
+    out = sorted((r["doc_id"] or 0, r["item_id"]) for r in decontam.find_leaks(docs, bench).collect())
+    assert out == [(0, 1), (1, 1), (3, 1), (5, 2), (7, 3)]
+    assert sorted(r["doc_id"] for r in decontam.drop_leaks(docs, bench).collect()) == [4, 6, 8]
+
+
+def brute_leaks(rows, items):
+    """Every document against every item, window by window and slot by slot, without hashes."""
+    token = re.compile(r"\w+(?:[.,]\d+)*|[.!?\n]")
+
+    def read(text, both):
+        found, out, opens = token.findall(text), [], True
+        inside, starts = set(), True
+        for w in found:
+            if w in ".!?\n":
+                starts = True
+                continue
+            if w[0].isupper() and w[1:] == w[1:].lower() and not starts:
+                inside.add(w.lower())
+            starts = False
+        for w in found:
+            if w in ".!?\n":
+                opens = True
+                continue
+            if any(c.isdigit() for c in w):
+                t = ("#number", w.lower())
+            elif w.lower() in decontam.UNITS and out and out[-1][0] == "#number":
+                t = ("#unit", w.lower())
+            elif w[0] != w[0].lower() and w[1:] == w[1:].lower() and (not opens or (both and w.lower() in inside)):
+                t = ("#name", w.lower())
+            else:
+                t = (w.lower(), None)
+            if t[0] == "#name" and out and out[-1][0] == "#name":
+                out[-1] = ("#name", out[-1][1] + " " + t[1])
+            else:
+                out.append(t)
+            opens = False
+        return out
+
+    out = set()
+    for i, text in rows:
+        for j, item in items:
+            for both in (False, True):
+                d, b = read(text, both), read(item, both)
+                at = {}
+                for k in range(len(d) - 4):
+                    at.setdefault(tuple(t for t, _ in d[k : k + 5]), []).append(k)
+                windows = {}
+                for k in range(len(b) - 4):
+                    w = tuple(t for t, _ in b[k : k + 5])
+                    if any(t[0] != "#" for t in w):
+                        windows.setdefault(w, []).append(k)
+                held = [w for w in windows if w in at]
+                if not windows or len(held) < 0.8 * len(windows):
+                    continue
+                shifts = Counter(x - k for w in held for k in windows[w] for x in at[w])
+                shift = max(shifts, key=lambda s: (shifts[s], -s))
+                values = {}
+                for w in held:
+                    for k in windows[w]:
+                        if k + shift in at[w]:
+                            for z in range(5):
+                                if b[k + z][1] is not None:
+                                    values.setdefault(b[k + z], set()).add(d[k + shift + z][1])
+                if all(len(v) == 1 for v in values.values()):
+                    out.add((i, j))
+    return out
+
+
+def test_leaks_equal_brute_force(spark, make):
+    rng, items, rows = random.Random(21), [], []
+    names = ["Anna", "Boris", "Clara", "Dmitri"]
+    for j in range(12):
+        words = prose(7000 + j, 24).lower().replace(".", "").split()
+        words[3], words[9], words[10], words[15], words[20] = "NAME", "NUM", "km", "NAME", "NUM"
+        items.append((j, " ".join(words)))
+    filled = [(j, t.replace("NAME", names[j % 4]).replace("NUM", str(10 + j))) for j, t in items]
+    for i in range(120):
+        j = rng.randrange(12)
+        t = items[j][1].replace("NAME", rng.choice(names)).replace("NUM", str(rng.randint(1, 99)))
+        if i % 5 == 1:
+            w = t.split()
+            w[rng.randrange(len(w))] = "changed"
+            t = " ".join(w)
+        if i % 5 == 2:
+            t = t.replace(" km", " " + rng.choice(["miles", "km", "apples"]))
+        if i % 7 == 3:
+            t = re.sub(r"\d+", lambda m: str(rng.randint(1, 99)), t)
+        if i % 4:
+            t = prose(8000 + i, rng.randint(5, 60)) + rng.choice([" ", ". "]) + t + " " + prose(8500 + i, 20)
+        rows.append((i, t if i % 6 else prose(8800 + i, 50), "en", "a"))
+    bench = spark.createDataFrame(filled, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontam.find_leaks(make(rows), bench).collect()}
+    want = brute_leaks([r[:2] for r in rows], filled)
+    assert got == want and 30 < len(want) < 110
