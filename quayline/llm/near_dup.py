@@ -218,9 +218,9 @@ def _bucket_pairs(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     texts of large buckets, whose other pairs _crowded_pairs finds.
 
     Buckets of up to WHOLE_BUCKET members give every pair. In a larger one each member is paired with
-    the bucket's most central member (the one whose buckets are largest together), with its smallest,
-    and with the most central and the smallest of those members that share one more band with it, for
-    each of NEXT_BANDS bands. All of these are aggregates, so no task gathers a bucket.
+    the bucket's most central member (the one whose buckets are largest together) and with the most
+    central of those members that share one more band with it, for each of NEXT_BANDS bands. All of
+    these are aggregates, so no task gathers a bucket.
     """
     bands = nodes.select("node", F.posexplode("buckets").alias("no", "bucket"))
     sizes = bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
@@ -232,8 +232,8 @@ def _bucket_pairs(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     large = shared.filter(F.col("n") > WHOLE_BUCKET).join(nodes.select("node", "buckets"), "node")
     parts = [F.xxhash64("bucket", F.element_at("buckets", (F.col("no") + k) % BANDS + 1)) for k in NEXT_BANDS]
     grouped = large.select("node", "pull", F.explode(F.array("bucket", *parts)).alias("group"))
-    heads = grouped.groupBy("group").agg(F.array(F.max_by("node", F.struct("pull", "node")), F.min("node")).alias("heads"))
-    stars = grouped.join(heads, "group").select("node", F.explode("heads").alias("other")).filter("node != other")
+    heads = grouped.groupBy("group").agg(F.max_by("node", F.struct("pull", "node")).alias("other"))
+    stars = grouped.join(heads, "group").select("node", "other").filter("node != other").distinct()
     pairs = small.unionByName(stars.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))).distinct()
     return pairs, shared.filter(F.col("n") > WHOLE_BUCKET).select("node").distinct()
 
@@ -354,8 +354,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     smallest doc_id of the class. Without ``weighted`` signature and check go by distinct shingles.
 
     Copies are never expanded into pairs. A bucket of thousands of similar texts gives a number of
-    pairs in proportion to its members, against the most central and the smallest members of the
-    bucket and of its parts (see _bucket_pairs). What these leave apart is joined exactly among all
+    pairs in proportion to its members, against the most central members of the bucket and of its
+    parts (see _bucket_pairs). What these leave apart is joined exactly among all
     texts of large buckets (see _crowded_pairs).
 
     Rows, not ids, are joined: one id on several texts stands in each text's class. A document
