@@ -13,6 +13,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quayline.storage import materialise
+
 #: fixed values: wordings by which licences are named or opened
 TEMPLATES = {
     "apache-2.0": [
@@ -33,8 +35,8 @@ TEMPLATES = {
         "Licensed under the GPL version 3",
         "You should have received a copy of the GNU General Public License along with this program",
     ],
-    "gpl-2.0": ["This program is licensed under the GNU General Public License, version 2", "either version 2 of the License, or at your option any later version", "Licensed under the GPL version 2"],
-    "lgpl": ["Licensed under the GNU Lesser General Public License", "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation"],
+    "gpl-2.0": ["This program is licensed under the GNU General Public License, version 2", "it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or at your option any later version", "Licensed under the GPL version 2"],
+    "lgpl": ["Licensed under the GNU Lesser General Public License", "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation", "it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or at your option any later version"],
     "bsd": [
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
         "Licensed under the BSD 3-Clause License",
@@ -45,6 +47,12 @@ TEMPLATES = {
     "cc-by-nc": ["Licensed under CC BY-NC 4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License", "available under CC BY-NC-SA 4.0"],
     "cc-by": ["Licensed under CC BY 4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License"],
     "cc-by-sa": ["Licensed under CC BY-SA 4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"],
+    "isc": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", "Licensed under the ISC License"],
+    "agpl-3.0": ["Licensed under the GNU Affero General Public License", "it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or at your option any later version"],
+    "unlicense": ["This is free and unencumbered software released into the public domain", "Released under the Unlicense"],
+    "cc0-1.0": ["To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work", "Released under the CC0 1.0 Universal public domain dedication"],
+    "epl-2.0": ["This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0", "Licensed under the Eclipse Public License"],
+    "zlib": ["This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software", "Licensed under the zlib License"],
     "unknown": [
         "All rights reserved",
         "This software is provided under a proprietary license agreement",
@@ -57,13 +65,14 @@ TEMPLATES = {
 CLASSES = ("none", *TEMPLATES)
 TOKEN = re.compile(r"\w+(?:[.\-]\w+)*|[.!?\n]")
 DIM = 1 << 15
-NEGATIVES = 3000  # bound of the sample of corpus paragraphs that teaches what is no licence
-NEGATIVE_CHARS = 400  # paragraphs of that sample are cut to this length
-PRIOR = 50.0  # plain sentences for each licence sentence
+NEGATIVES = 10_000  # bound of the sample of the corpus's sentences that teaches what is no licence
+PRIOR = 50.0  # plain sentences for each licence sentence; counts where no template confirms
 LIKE = 0.3  # share of any template that an unknown licence has to hold
 CONFIRM = 0.6  # share of a template's words and word pairs that a sentence must hold
+ALONE = 0.9  # share that a line must hold to count beside the wrapped sentence, a confirmed one, that it is part of
 BATCH_CHARS = 2_000_000
 _END, _LINE = 1, 2
+SENTENCE = r"[.!?\n]+"
 
 
 class _Tokens(dict):
@@ -82,27 +91,38 @@ class Sentences:
     """Sentences of consecutive texts, with their hashed n-grams laid end to end."""
 
     text: np.ndarray
-    line: np.ndarray  # paragraph number within the text
+    paragraph: np.ndarray  # number of the paragraph within the text
+    lines: np.ndarray  # lines that it spans
     first: np.ndarray  # first and last token of the sentence within the text
     last: np.ndarray
     grams: np.ndarray  # feature numbers, sentence after sentence
     start: np.ndarray  # where each sentence's begin
 
 
-def sentences(texts: list[str], memo: _Tokens) -> Sentences:
-    """Cut at line breaks and sentence marks; features are hashed words and word pairs."""
+def sentences(texts: list[str], memo: _Tokens, wrapped: bool = False) -> Sentences:
+    """Sentences end at sentence marks and line breaks, or, ``wrapped``, at marks and blank lines.
+
+    Paragraphs are the runs of lines between blank lines (lines without words). Features are hashed
+    words and word pairs.
+    """
     found = [TOKEN.findall(t) for t in texts]
     size = np.array([len(f) for f in found], dtype=np.int64)
     codes = np.fromiter(map(memo.__getitem__, chain.from_iterable(found)), dtype=np.uint64, count=int(size.sum()))
     text = np.repeat(np.arange(len(texts)), size)
     place = np.arange(len(codes)) - np.repeat(np.cumsum(size) - size, size)
+    breaks = (codes & np.uint64(_LINE)) > 0
     ends = (codes & np.uint64(_END)) > 0
-    breaks = np.cumsum((codes & np.uint64(_LINE)) > 0)
-    before = np.concatenate([[0], breaks])[np.cumsum(size) - size] if len(texts) else np.zeros(0, np.int64)
-    number = np.cumsum(ends) - ends
     word = ~ends
-    line = (breaks - before[text])[word] if len(codes) else np.zeros(0, np.int64)
-    codes, text, place, number = codes[word], text[word], place[word], number[word]
+    line = np.cumsum(breaks)
+    held = np.flatnonzero(word)
+    blank = np.zeros(len(codes), np.int64)  # a word after two breaks or more without a word between opens a paragraph
+    blank[held[1:]] = (line[held[1:]] - line[held[:-1]] > 1) & (text[held[1:]] == text[held[:-1]])
+    blank = np.cumsum(blank)
+    if wrapped:
+        number = np.cumsum(ends & ~breaks) + blank
+    else:
+        number = np.cumsum(ends) - ends
+    codes, text, place, number, blank, line = codes[word], text[word], place[word], number[word], blank[word], line[word]
     new = np.ones(len(codes), bool)
     new[1:] = (number[1:] != number[:-1]) | (text[1:] != text[:-1])
     at = np.flatnonzero(new)
@@ -113,7 +133,9 @@ def sentences(texts: list[str], memo: _Tokens) -> Sentences:
         pair[at] = codes[at] * np.uint64(0xD1B54A32D192ED03)  # the opening word
     mixed = np.stack([codes, pair], 1).ravel()
     mixed = (mixed ^ (mixed >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    return Sentences(text[at], line[at], place[at], place[at + count - 1], (mixed >> np.uint64(40)).astype(np.int64) % DIM, 2 * at)
+    of = text[at]
+    opening = np.searchsorted(text, of)  # first word of the sentence's text
+    return Sentences(of, blank[at] - blank[opening] if len(at) else blank[at], line[at + count - 1] - line[at] + 1 if len(at) else at, place[at], place[at + count - 1] if len(at) else at, (mixed >> np.uint64(40)).astype(np.int64) % DIM, 2 * at)
 
 
 def _logits(found: Sentences, weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
@@ -149,28 +171,27 @@ def _examples(rng: np.random.Generator, negatives: list[str], copies: int) -> tu
         for template in TEMPLATES[family]:
             for _ in range(copies):
                 words = [w for w in TOKEN.findall(template) if rng.random() > 0.08]
-                around = [stray[k] for k in rng.integers(0, len(stray), int(rng.integers(0, 6)))]
+                around = [stray[k] for k in rng.integers(0, len(stray), int(rng.integers(0, 16)))]
                 words = words + around if rng.random() < 0.5 else around + words
                 text = " ".join(w for w in words if w not in ".!?\n")
                 texts.append(text.upper() if rng.random() < 0.1 else text)
                 labels.append(no)
-    for t in negatives:
-        for s in re.split(r"[.!?\n]+", t)[:4]:
-            if s.strip():
-                texts.append(s)
-                labels.append(0)
-    return texts, np.array(labels)
+    return texts + negatives, np.array(labels + [0] * len(negatives))
 
 
 def fit_licences(docs: DataFrame, text_col: str = "text", negatives: int = NEGATIVES) -> LicenceModel:
-    """Train on the templates and on a bounded sample of paragraphs, calibrate on examples held back.
+    """Train on the templates and on a bounded sample of sentences, calibrate on examples held back.
 
-    The sample is the first ``negatives`` documents by the hash of their text; of each, at most
-    NEGATIVE_CHARS characters teach the class of plain paragraphs. Sentences of it that hold most of
-    a template are left out.
+    The sample is of about ``negatives`` sentences: first whole documents, then sentences of these,
+    each chosen by whether a hash lies below a share found from a count, so no task and no driver
+    holds more than the sample. They teach the class of plain paragraphs, but for those that hold
+    most of a template.
     """
-    rows = docs.select(F.substring(text_col, 1, NEGATIVE_CHARS).alias("t"), F.xxhash64(text_col).alias("h")).filter(F.length("t") > 0)
-    plain = [r["t"] for r in rows.orderBy("h", "t").limit(negatives).collect()]
+    spread = lambda c: F.pmod(F.xxhash64(c, F.lit(11)), F.lit(1 << 30)) / float(1 << 30)
+    rows = docs.select(F.col(text_col).alias("t")).filter(F.length("t") > 0)
+    some = rows.filter(spread("t") < min(1.0, negatives / max(rows.count(), 1)))
+    some = materialise(some.select(F.explode(F.split("t", SENTENCE)).alias("t")).filter(F.length(F.trim("t")) > 0), "licence-sentences")
+    plain = sorted(r["t"] for r in some.filter(spread("t") < min(1.0, negatives / max(some.count(), 1))).collect())
     memo, rng = _Tokens(), np.random.default_rng(5)
     model = LicenceModel(np.zeros((DIM, len(CLASSES)), np.float32), np.zeros(len(CLASSES)))
     for family, texts in TEMPLATES.items():
@@ -212,54 +233,80 @@ def fit_licences(docs: DataFrame, text_col: str = "text", negatives: int = NEGAT
     return model
 
 
-FOUND = "doc_id long, paragraph int, start int, end int, family string, probability double, containment double"
+FOUND = "id string, paragraph int, start int, end int, family string, probability double, containment double"
 
 
-def scan_licences(docs: DataFrame, model: LicenceModel | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Paragraphs (lines) that name a licence: doc_id, paragraph, start, end, family, probability, containment.
+def _judged(found: Sentences, m: LicenceModel) -> list[tuple]:
+    """Sentences that name a licence: text, paragraph, confirmed, probability, first, last, family, containment."""
+    other = CLASSES.index("unknown")
+    p = _softmax(_logits(found, m.weights, m.bias) / m.temperature) if len(found.start) else np.zeros((0, len(CLASSES)))
+    likely = (1 - p[:, 0]) / np.maximum(1 - p[:, 0] + PRIOR * p[:, 0], 1e-300)  # of a licence, before any template is looked at
+    cuts = np.append(found.start, len(found.grams))
+    rows = []
+    for k in np.flatnonzero(p[:, 0] < 0.5).tolist():
+        grams = found.grams[cuts[k] : cuts[k + 1]]
+        top = 1 + int(p[k, 1:].argmax())
+        share = m.containment(CLASSES[top], grams)
+        if top != other and (p[k, top] < 0.5 or share < CONFIRM):
+            top, share = other, max(m.containment(f, grams) for f in TEMPLATES)
+        if top == other and (share < LIKE or likely[k] < 0.5):
+            continue
+        rows.append((int(found.text[k]), int(found.paragraph[k]), top != other, float(likely[k] if top == other else p[k, top]), int(found.first[k]), int(found.last[k]), CLASSES[top], share))
+    return rows
+
+
+def _only(found: Sentences, keep: np.ndarray) -> Sentences:
+    """Those sentences alone."""
+    n = np.diff(np.append(found.start, len(found.grams)))
+    return Sentences(found.text[keep], found.paragraph[keep], found.lines[keep], found.first[keep], found.last[keep], found.grams[np.repeat(keep, n)], np.cumsum(n[keep]) - n[keep])
 
-    Every sentence of every whole text is classified; a paragraph takes the family of its surest
-    licence sentence, whose code points start and end give (end exclusive). A family stands only if
-    the calibrated probability is at least a half and the sentence holds CONFIRM of one of the
-    family's templates; what looks like a licence without that, and
-    holds LIKE of some template, is ``unknown``.
 
-    Null and empty texts give no rows; repeated rows give theirs each; a null id stays null; ties go
-    to the earlier sentence; empty tables give no rows. Other columns are ignored.
+def scan_licences(docs: DataFrame, model: LicenceModel | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Paragraphs that name a licence: doc_id, paragraph, start, end, family, probability, containment.
+
+    A paragraph is a run of lines up to a blank line. Every sentence of every whole text is
+    classified, cut at each line break and, where it goes on over a line break, also as a whole, so
+    hard-wrapped notices are found. A paragraph gives one row for each family that one of its
+    sentences names, with the code points of the surest such sentence (end exclusive); ties go to
+    the earlier one. A line of a confirmed wrapped sentence counts beside it only if it holds ALONE
+    of a template. A family stands only if the calibrated probability is at least a half and the
+    sentence holds CONFIRM of one of the family's templates; a paragraph without such a family that
+    looks like a licence, and holds LIKE of some template, is ``unknown``.
+
+    Null and empty texts give no rows; repeated rows give theirs each; ids pass through as text, so
+    null and large ones stay; empty tables give no rows. Other columns are ignored.
     """
     model = model or fit_licences(docs, text_col)
     held = docs.sparkSession.sparkContext.broadcast(model)
-    other = CLASSES.index("unknown")
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         memo, m = _Tokens(), held.value
-        prior = np.where(np.arange(len(CLASSES)) == 0, np.log(PRIOR), 0.0)
         for part in parts:
             sizes = part["text"].str.len().cumsum() // BATCH_CHARS
             for _, some in part.groupby(sizes.to_numpy(), sort=False):
                 texts = some["text"].tolist()
-                found = sentences(texts, memo)
-                p = _softmax(_logits(found, m.weights, m.bias) / m.temperature + prior)
-                cuts = np.append(found.start, len(found.grams))
-                best: dict[tuple[int, int], tuple] = {}
-                for k in np.flatnonzero(p[:, 0] < 0.5).tolist() if len(p) else []:
-                    grams = found.grams[cuts[k] : cuts[k + 1]]
-                    top = 1 + int(p[k, 1:].argmax())
-                    held_share = m.containment(CLASSES[top], grams)
-                    if top != other and (p[k, top] < 0.5 or held_share < CONFIRM):
-                        top, held_share = other, max(m.containment(f, grams) for f in TEMPLATES)
-                    if top == other and held_share < LIKE:
-                        continue
-                    key = (int(found.text[k]), int(found.line[k]))
-                    row = (top != other, float(1 - p[k, 0] if top == other else p[k, top]), -k, top, held_share)
-                    if key not in best or row[:3] > best[key][:3]:
-                        best[key] = row
+                several = [k for k, t in enumerate(texts) if "\n" in t]
+                whole = sentences([texts[k] for k in several], memo, wrapped=True)
+                wrapped = [(several[r[0]], *r[1:]) for r in _judged(_only(whole, whole.lines > 1), m)]
+                within: dict[int, list[tuple]] = {}
+                for r in wrapped:
+                    if r[2]:
+                        within.setdefault(r[0], []).append(r[4:6])
+                lines = _judged(sentences(texts, memo), m)
+                judged = wrapped + [r for r in lines if r[7] >= ALONE or not any(a <= r[4] and r[5] <= b for a, b in within.get(r[0], ()))]
+                sure = {r[:2] for r in judged if r[2]}
+                best: dict[tuple, tuple] = {}
+                for r in judged:
+                    key = (*r[:2], r[6])
+                    if (r[2] or r[:2] not in sure) and (key not in best or (r[3], -r[4]) > (best[key][3], -best[key][4])):
+                        best[key] = r
                 rows, spans, at = [], [], -1
-                for (t, line), (_, prob, k, top, share) in sorted(best.items()):
+                for t, paragraph, _, prob, first, last, family, share in sorted(best.values(), key=lambda r: (r[0], r[1], r[4])):
                     if t != at:
                         spans, at = [x.span() for x in TOKEN.finditer(texts[t])], t
-                    rows.append((some["id"].iat[t], line, spans[found.first[-k]][0], spans[found.last[-k]][1], CLASSES[top], prob, share))
-                yield pd.DataFrame(rows, columns=["doc_id", "paragraph", "start", "end", "family", "probability", "containment"])
+                    rows.append((some["id"].iat[t], paragraph, spans[first][0], spans[last][1], family, prob, share))
+                yield pd.DataFrame(rows, columns=["id", "paragraph", "start", "end", "family", "probability", "containment"])
 
-    named = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter(F.col("text").isNotNull())
-    return named.mapInPandas(run, FOUND)
+    named = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).filter(F.col("text").isNotNull())
+    found = named.mapInPandas(run, FOUND)
+    return found.select(F.col("id").cast("long").alias("doc_id"), *[c for c in found.columns if c != "id"])

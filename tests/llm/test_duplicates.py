@@ -223,7 +223,7 @@ def test_repeats_equal_brute_force(make, messy):
     for k in range(45):
         covered = " ".join(texts[k][a:b] for a, b in got.get(k, ()))
         if k % 3 == 0 and k:
-            assert sum(w in covered for w in shared.split()) >= 60
+            assert sum(w in covered for w in shared.split()) >= 55
         if k % 5 == 0 and k:
             assert sum(w in covered for w in plain.split()) >= 40
     assert {r["doc_id"] for r in line_dedup.repeated_passages(messy).collect()} <= {8, 9}

@@ -84,24 +84,106 @@ def test_toxic_documents_are_found_and_clean_ones_left(toxic_corpus, messy, make
     assert toxicity.score_toxicity(make([]), labels.limit(0)).count() == 0
 
 
-def test_licence_paragraphs(make, messy):
+BSD = """Copyright (c) 2020, Some Author
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+* Neither the name of the copyright holder nor the names of its
+  contributors may be used to endorse or promote products derived from
+  this software without specific prior written permission."""
+LGPL = """ * This library is free software; you can redistribute it and/or modify it
+ * under the terms of the GNU Lesser General Public License as
+ * published by the Free Software Foundation; either version 2.1 of
+ * the License, or (at your option) any later version."""
+MIT = """Permission is hereby granted, free of charge, to any person obtaining
+a copy of this software and associated documentation files (the "Software"),
+to deal in the Software without restriction."""
+
+
+@pytest.fixture(scope="module")
+def licence_docs(make):
     rows = [(k, prose(3000 + k, 200), "en", "a") for k in range(60)]
     rows += [
-        (100, prose(1, 40) + "\nReleased under the MIT License.\n" + prose(2, 40), "en", "a"),
+        (100, prose(1, 40) + "\n\nReleased under the MIT License.\n" + prose(2, 40), "en", "a"),
         (101, "Licensed under the Apache License, Version 2.0. " + prose(3, 200), "en", "a"),
         (102, "THIS WORK IS LICENSED UNDER THE GNU GENERAL PUBLIC LICENSE, VERSION 3.", "en", "a"),
         (103, prose(4, 30) + "\nAll rights reserved.", "en", "a"),
+        (104, BSD, "en", "a"),
+        (105, prose(5, 50) + "\n" + LGPL, "en", "a"),
+        (106, MIT, "en", "a"),
+        (2**53 + 1, "Released under a BSD license and nothing else", "en", "a"),
+        (None, "Licensed under CC BY 4.0", "en", "a"),
     ]
-    docs = make(rows)
-    model = licenses.fit_licences(docs)
-    out = {r["doc_id"]: r for r in licenses.scan_licences(docs, model).collect()}
-    assert {i: r["family"] for i, r in out.items()} == {100: "mit", 101: "apache-2.0", 102: "gpl-3.0", 103: "unknown"}
-    text = dict(r[:2] for r in rows)
-    assert text[100][out[100]["start"] : out[100]["end"]] == "Released under the MIT License" and out[100]["paragraph"] == 1
+    return make(rows)
+
+
+def test_licence_paragraphs(licence_docs, make, messy):
+    model = licenses.fit_licences(licence_docs)
+    out = {}
+    for r in licenses.scan_licences(licence_docs, model).collect():
+        out.setdefault(r["doc_id"], []).append(r)
+    want = {100: {"mit"}, 101: {"apache-2.0"}, 102: {"gpl-3.0"}, 103: {"unknown"}, 104: {"unknown", "bsd"}, 105: {"lgpl"}, 106: {"mit"}, 2**53 + 1: {"bsd"}, None: {"cc-by"}}
+    assert {i: {r["family"] for r in rows} for i, rows in out.items()} == want
+    assert sorted(r["paragraph"] for r in out[104]) == [0, 1, 2] and len(out[105]) == 1
+    text = {r["doc_id"]: r["text"] for r in licence_docs.collect()}
+    first = out[100][0]
+    assert text[100][first["start"] : first["end"]] == "Released under the MIT License" and first["paragraph"] == 1
     assert licenses.scan_licences(messy, model).count() == 0
     assert licenses.scan_licences(make([])).count() == 0
 
 
+def test_licence_scan_equals_brute_force(licence_docs):
+    """Each sentence by itself, split and weighed by plain loops, with the model's numbers."""
+    import re
+
+    model = licenses.fit_licences(licence_docs)
+    memo = licenses._Tokens()
+
+    def judge(tokens):
+        codes = [memo[w] for w in tokens]
+        grams = []
+        for k, c in enumerate(codes):
+            pair = (codes[k - 1] * 0x9E3779B97F4A7C15 ^ c if k else c * 0xD1B54A32D192ED03) % 2**64
+            for x in (c, pair):
+                x = (x ^ x >> 31) * 0xBF58476D1CE4E5B9 % 2**64
+                grams.append((x >> 40) % licenses.DIM)
+        z = (sum(model.weights[g].astype(float) for g in grams) / len(grams) ** 0.5 + model.bias) / model.temperature
+        p = np.exp(z - z.max())
+        p /= p.sum()
+        likely = (1 - p[0]) / (1 - p[0] + licenses.PRIOR * p[0])
+        top = 1 + int(p[1:].argmax())
+        share = model.containment(licenses.CLASSES[top], np.array(grams))
+        every = max(model.containment(f, np.array(grams)) for f in licenses.TEMPLATES)
+        if p[0] >= 0.5:
+            return None, 0
+        if licenses.CLASSES[top] != "unknown" and p[top] >= 0.5 and share >= licenses.CONFIRM:
+            return licenses.CLASSES[top], share
+        share = share if licenses.CLASSES[top] == "unknown" else every
+        return ("unknown", share) if share >= licenses.LIKE and likely >= 0.5 else (None, 0)
+
+    want = set()
+    for r in licence_docs.collect():
+        for no, paragraph in enumerate(x for x in re.split(r"\n(?:[^\w\n]*\n)+", r["text"]) if re.search(r"\w", x)):
+            found, sentence = set(), [[]]
+            for m in [*licenses.TOKEN.finditer(paragraph), None]:
+                if m is None or m.group() in ".!?":
+                    lines = [x for x in sentence if x]
+                    whole = judge(sum(lines, [])) if len(lines) > 1 else (None, 0)
+                    sure = whole[0] not in (None, "unknown")
+                    found |= {whole[0]} | {f for f, share in map(judge, lines) if not sure or share >= licenses.ALONE}
+                    sentence = [[]]
+                elif m.group() == "\n":
+                    sentence.append([])
+                else:
+                    sentence[-1].append(m.group())
+            found.discard(None)
+            want |= {(r["doc_id"], no, f) for f in (found - {"unknown"} or found)}
+    got = {(r["doc_id"], r["paragraph"], r["family"]) for r in licenses.scan_licences(licence_docs, model).collect()}
+    assert got == want and len(want) >= 11
+
+
 def words(text):
     return (text or "").encode().lower().split()
 
