@@ -173,67 +173,114 @@ def score_column(model: ToxicityModel, text: Column) -> Column:
     return scored(text)
 
 
-def _evidence(tokens: list[list[str]], toxic: np.ndarray) -> set[str]:
-    """Words and stems that toxic documents hold far more often than clean ones.
+@dataclass
+class _Sample:
+    """Labelled texts as word numbers laid end to end."""
+
+    words: list[str]
+    ids: np.ndarray
+    counts: np.ndarray
+    toxic: np.ndarray
+
+    @staticmethod
+    def of(texts: list[str], toxic: np.ndarray) -> _Sample:
+        number: dict[str, int] = {}
+        counts = np.zeros(len(texts), np.int64)
+        parts = []
+        for k, t in enumerate(texts):
+            parts.append(np.array([number.setdefault(w, len(number)) for w in TOKEN.findall(t.lower())], np.int32))
+            counts[k] = len(parts[-1])
+        return _Sample(list(number), np.concatenate([*parts, np.zeros(0, np.int32)]), counts, toxic)
+
+    def runs(self, most: int = 400_000) -> Iterator[tuple[int, int, int, int]]:
+        """Texts and tokens of runs of whole texts of about so many tokens."""
+        ends = np.cumsum(self.counts)
+        lo = 0
+        while lo < len(self.counts):
+            begin = int(ends[lo] - self.counts[lo])
+            hi = max(lo + 1, int(np.searchsorted(ends, begin + most, side="right")))
+            yield lo, hi, begin, int(ends[hi - 1])
+            lo = hi
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(31))
+
+
+def _evidence(sample: _Sample) -> np.ndarray:
+    """Which words toxic documents hold, they or their stems, far more often than clean ones.
 
     Occurrences count once for each pair of neighbours, so copies of a text don't add evidence.
     A unit must pass a likelihood-ratio test whose level allows for the number of units tested.
     """
-    seen: tuple[dict, dict] = ({}, {})
-    for words, label in zip(tokens, toxic, strict=True):
-        side = seen[int(label)]
-        for k, w in enumerate(words):
-            near = (words[k - 1] if k else "", words[k + 1] if k + 1 < len(words) else "")
-            h = hash(near)
-            for unit in (w, w[:5] + "*") if len(w) > 5 else (w,):
-                side.setdefault(unit, set()).add(h)
-    n1, n0 = (sum(len(t) for t, x in zip(tokens, toxic, strict=True) if x == y) or 1 for y in (1, 0))
-    tested = sum(len(s) >= 3 for s in seen[1].values())
-    level = 2 * np.log(max(tested, 1)) + 6
-    good = set()
-    for unit, near in seen[1].items():
-        a, b = len(near), len(seen[0].get(unit, ()))
-        if a < 3 or b * 20 * n1 > a * n0:
-            continue
+    ids, edge = sample.ids.astype(np.uint64) + np.uint64(1), np.zeros(len(sample.ids), bool)
+    first = (np.cumsum(sample.counts) - sample.counts)[sample.counts > 0]
+    edge[first] = True
+    before, after = np.zeros_like(ids), np.zeros_like(ids)
+    before[1:], after[:-1] = ids[:-1], ids[1:]
+    before[edge] = 0
+    after[:-1][edge[1:]] = 0
+    near = _mixed(_mixed(before) + after)
+    y = np.repeat(sample.toxic > 0, sample.counts)
+    stems: dict[str, int] = {}
+    stem = np.array([stems.setdefault(w[:5], len(stems)) if len(w) > 5 else -1 for w in sample.words], np.int64)
+    n1, n0 = max(int(y.sum()), 1), max(int((~y).sum()), 1)
+    seen = []  # words, then stems: distinct neighbours in clean and in toxic documents
+    for unit, n in ((sample.ids.astype(np.int64), len(sample.words)), (stem[sample.ids], len(stems))):
+        row = []
+        for label in (False, True):
+            own = (y == label) & (unit >= 0)
+            _, at = np.unique(_mixed(near[own] ^ _mixed(unit[own].astype(np.uint64) + np.uint64(7))), return_index=True)
+            row.append(np.bincount(unit[own][at], minlength=n))
+        seen.append(row)
+    level = 2 * np.log(max(sum(int((row[1] >= 3).sum()) for row in seen), 1)) + 6
+    good = []
+    for b, a in seen:
         e1, e0 = (a + b) * n1 / (n1 + n0), (a + b) * n0 / (n1 + n0)
-        if 2 * (a * np.log(a / e1) + (b * np.log(b / e0) if b else 0)) > level:
-            good.add(unit)
-    return good
+        with np.errstate(divide="ignore", invalid="ignore"):
+            ratio = 2 * (np.where(a > 0, a * np.log(a / e1), 0) + np.where(b > 0, b * np.log(b / e0), 0))
+        good.append((a >= 3) & (b * 20 * n1 <= a * n0) & (ratio > level))
+    return good[0] | ((stem >= 0) & np.append(good[1], False)[stem])
 
 
-def _train(tokens: list[list[str]], labels: list[np.ndarray], rounds: int = 60) -> ToxicityModel:
+def _train(sample: _Sample, gold: np.ndarray, rounds: int = 60) -> ToxicityModel:
     """Maximum likelihood of the labelled texts, each a whole chain, by Adam on exact forward-backward gradients."""
-    counts = np.array([len(t) for t in tokens], dtype=np.int64)
-    number: dict[str, int] = {}
-    ids = np.fromiter((number.setdefault(w, len(number)) for t in tokens for w in t), dtype=np.int32, count=int(counts.sum()))
-    features = np.array([word_features(w) for w in number], dtype=np.int32).reshape(len(number), -1)
-    gold = np.concatenate(labels) if labels else np.zeros(0)
+    ids, counts, words = sample.ids, sample.counts, len(sample.words)
+    features = np.array([word_features(w) for w in sample.words], dtype=np.int32).reshape(words, -1)
     opens = np.zeros(len(ids), bool)
     opens[(np.cumsum(counts) - counts)[counts > 0]] = True
-    inner = ~opens
-    before, after = gold[:-1][inner[1:]], gold[1:][inner[1:]]
-    told = np.array([((1 - before) * (1 - after)).sum(), ((1 - before) * after).sum(), (before * (1 - after)).sum(), (before * after).sum()])
-    by_label, firsts = np.bincount(ids, weights=gold, minlength=len(number)), gold[opens].sum()
+    inner = ~opens[1:]
+    before, after = gold[:-1][inner], gold[1:][inner]
+    told = np.array([(~before & ~after).sum(), (~before & after).sum(), (before & ~after).sum(), (before & after).sum()], float)
+    by_label, firsts = np.bincount(ids, weights=gold, minlength=words), gold[opens].sum()
+    del before, after, inner
     model = ToxicityModel(bias=-4.0)
     theta = np.concatenate([np.zeros(DIM), [-4.0, 0.0, 0.0, 0.0, 0.0, 0.0]])  # weights, bias, start, transitions
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     scale = max(1.0, len(ids) / BLOCK)
     for r in range(1, rounds + 1):
         w, (bias, start), trans = theta[:DIM], theta[DIM : DIM + 2], np.exp(theta[DIM + 2 :].reshape(2, 2))
-        psi = np.exp(np.minimum(w[features].sum(1) + bias, 30))[ids]
-        ahead, back = messages(psi, counts, trans, float(np.exp(start)))
-        p = ahead * back
-        p /= 1 + p
         (t00, t01), (t10, t11) = trans
-        x, q = ahead[:-1][inner[1:]], (psi * back)[1:][inner[1:]]
-        cells = np.stack([np.full_like(q, t00), t01 * q, x * t10, t11 * x * q])
-        cells /= cells.sum(0)
-        grad = np.zeros_like(theta)
-        by_word = np.bincount(ids, weights=p, minlength=len(number)) - by_label
+        potential = np.exp(np.minimum(w[features].sum(1) + bias, 30))
+        grad, by_word = np.zeros_like(theta), -by_label
+        for lo, hi, i, j in sample.runs():
+            own, first = ids[i:j], opens[i:j]
+            psi = potential[own]
+            ahead, back = messages(psi, counts[lo:hi], trans, float(np.exp(start)))
+            psi *= back
+            back *= ahead
+            p = back / (1 + back)
+            follows = ~first[1:]
+            x, q = ahead[:-1][follows], psi[1:][follows]
+            cells = np.stack([np.full_like(q, t00), t01 * q, x * t10, t11 * x * q])
+            grad[DIM + 2 :] += (cells / cells.sum(0)).sum(1)
+            grad[DIM + 1] += p[first].sum()
+            by_word += np.bincount(own, weights=p, minlength=words)
         np.add.at(grad, features.ravel(), np.repeat(by_word, features.shape[1]))
         grad[DIM] = by_word.sum()
-        grad[DIM + 1] = p[opens].sum() - firsts
-        grad[DIM + 2 :] = cells.sum(1) - told
+        grad[DIM + 1] -= firsts
+        grad[DIM + 2 :] -= told
         grad = grad / scale + 1e-5 * theta
         m, v = 0.9 * m + 0.1 * grad, 0.98 * v + 0.02 * grad**2
         theta = theta - 0.25 * (m / (1 - 0.9**r)) / (np.sqrt(v / (1 - 0.98**r)) + 1e-6)
@@ -242,20 +289,21 @@ def _train(tokens: list[list[str]], labels: list[np.ndarray], rounds: int = 60)
     return model
 
 
-def _calibrate(model: ToxicityModel, tokens: list[list[str]], toxic: np.ndarray, weight: np.ndarray) -> tuple[float, float, float]:
+def _calibrate(model: ToxicityModel, sample: _Sample, weight: np.ndarray) -> tuple[float, float, float]:
     """Ridge logistic regression of the label on the two document features, by Newton steps."""
-    memo = _Emissions(model)
-    counts = np.array([len(t) for t in tokens], dtype=np.int64)
-    psi = np.array([memo[w] for t in tokens for w in t])
-    p, ends = marginals(psi, counts, model.trans, model.start), np.cumsum(counts)
-    x = np.ones((len(tokens), 3))
-    x[:, 1:] = [_document_features(p[e - n : e]) for e, n in zip(ends, counts, strict=True)]
+    potential = np.array([np.exp(min(model.emission(w), 30.0)) for w in sample.words])
+    x = np.ones((len(sample.counts), 3))
+    for lo, hi, i, j in sample.runs():
+        p, end = marginals(potential[sample.ids[i:j]], sample.counts[lo:hi], model.trans, model.start), 0
+        for k in range(lo, hi):
+            begin, end = end, end + int(sample.counts[k])
+            x[k, 1:] = _document_features(p[begin:end])
     beta = np.zeros(3)
     ridge = np.diag([1e-3, 0.05, 0.05])
     for _ in range(25):
         p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
         h = (x * (weight * p * (1 - p))[:, None]).T @ x + ridge
-        beta += np.linalg.solve(h, x.T @ (weight * (toxic - p)) - ridge @ beta)
+        beta += np.linalg.solve(h, x.T @ (weight * (sample.toxic - p)) - ridge @ beta)
     beta[1:] = np.maximum(beta[1:], 0.0)
     return tuple(float(b) for b in beta)
 
@@ -285,13 +333,12 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     toxic = sample["_y"].to_numpy(dtype=float) if len(sample) else np.zeros(0)
     if not (0 < toxic.sum() < len(toxic)):
         return ToxicityModel()
-    tokens = [[w.lower() for w in TOKEN.findall(t)] for t in sample["_text"]]
-    good = _evidence(tokens, toxic)
-    marked = [np.array([y > 0 and (w in good or w[:5] + "*" in good) for w in t], dtype=float) for t, y in zip(tokens, toxic, strict=True)]
-    model = _train(tokens, marked)
+    sample = _Sample.of(sample["_text"].tolist(), toxic)
+    good = _evidence(sample)
+    model = _train(sample, good[sample.ids] & np.repeat(toxic > 0, sample.counts))
     totals = dict(marks.groupBy("_y").count().collect())
     weight = np.where(toxic > 0, totals.get(1, 1) / toxic.sum(), totals.get(0, 1) / (len(toxic) - toxic.sum()))
-    model.calibration = _calibrate(model, tokens, toxic, weight * len(toxic) / (weight.sum() or 1))
+    model.calibration = _calibrate(model, sample, weight * len(toxic) / (weight.sum() or 1))
     return model
 
 
