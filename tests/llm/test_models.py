@@ -267,13 +267,15 @@ def test_token_counts_equal_the_tokenizer(messy, make):
 
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(f"{token_counts.TOKENIZERS}/{token_counts.VOCABULARY}", "rb"))}
     plain = tiktoken.Encoding("t", pat_str=token_counts.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    docs = messy.filter("doc_id <> 9 or doc_id is null")
+    docs = messy.filter("doc_id <> 9 or doc_id is null").unionByName(make([(2**53 + 1, "a b", "en", "a"), (None, "c d e", "en", "a")]))
     want = sorted((str(r["doc_id"]), len(plain.encode_ordinary(r["text"] or ""))) for r in docs.collect())
     assert sorted((str(r["doc_id"]), r["n_tokens"]) for r in token_counts.document_token_counts(docs).collect()) == want
     assert token_counts.document_token_counts(make([])).count() == 0
 
 
-def test_separator_scan_stitches_blocks(spark, tmp_path):
+@pytest.mark.parametrize("group", [2, 4096])
+def test_separator_scan_stitches_blocks(spark, tmp_path, monkeypatch, group):
+    monkeypatch.setattr(token_counts, "GROUP", group)
     rng = np.random.default_rng(4)
     for k, size in enumerate((0, 1, 999, 5000)):
         ids = rng.integers(0, 9, size).astype("<u2")
