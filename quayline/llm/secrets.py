@@ -57,7 +57,7 @@ def _joined(spans: Column) -> Column:
 
 
 def scan_candidates(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with _base (found spans) and _generic (mixed long tokens outside them)."""
+    """docs with _base (found spans) and _generic (mixed long tokens outside them); values as SHA-256."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     df = docs
     for no, (_, pattern, group, _) in enumerate(KINDS):
@@ -68,6 +68,9 @@ def scan_candidates(docs: DataFrame, text_col: str = "text") -> DataFrame:
     mixed = lambda s: s["value"].rlike("[a-z]") & s["value"].rlike("[A-Z]") & s["value"].rlike("[0-9]")
     apart = lambda s: ~F.exists("_base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
     df = df.withColumn("_generic", F.filter("_generic", lambda s: mixed(s) & apart(s)))
+    # from here on values are their digests: no secret is written anywhere
+    hidden = lambda s: s.withField("value", F.sha2(s["value"], 256))
+    df = df.withColumn("_base", F.transform("_base", hidden)).withColumn("_generic", F.transform("_generic", hidden))
     return df.drop(*[f"_{x}{no}" for no in range(len(KINDS)) for x in "mgp"])
 
 
@@ -89,7 +92,7 @@ def _decided(docs: DataFrame, owner_col: str, repo_cols: Sequence[str], text_col
     scanned = scan_candidates(docs.withColumns({"_owner": owner, "_repo": repo}), text_col)
     kept = materialise(scanned.select(*keep, "_owner", "_repo", "_base", "_generic", F.monotonically_increasing_id().alias("_row")), "secrets-scan")
     found = kept.select("_row", "_owner", "_repo", F.explode(F.concat("_base", "_generic")).alias("_span"))
-    found = found.withColumn("_value", F.sha2(F.col("_span.value"), 256))
+    found = found.withColumn("_value", F.col("_span.value"))
     known = found.join(ownership(found), "_value").groupBy("_row").agg(F.collect_list(F.struct("_span", "owners", "repos")).alias("_known"))
     return kept, known
 
