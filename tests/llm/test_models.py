@@ -307,11 +307,19 @@ def test_neighbours_equal_brute_force_on_a_small_table(spark):
         got = sorted((r["rank"], r["vec_id"], r["score"]) for r in out if r["query_id"] == q)
         assert [g[1] for g in got] == order and np.allclose([g[2] for g in got], s[order])
     assert {r["query_id"] for r in out} == set(range(0, 400, 20))
+    twice = spark.createDataFrame([*rows, (7, [9.0] * 8, 1)], df.schema)  # one id on two vectors: the smaller counts
+    assert ann.nearest_neighbours(twice).orderBy("query_id", "rank").collect() == ann.nearest_neighbours(spark.createDataFrame(rows, df.schema)).orderBy("query_id", "rank").collect()
     few = spark.createDataFrame(rows[:3], df.schema)
     assert ann.nearest_neighbours(few).count() == 2
     assert ann.nearest_neighbours(few.limit(0)).count() == 0
 
 
+def test_trees_grow_with_the_table():
+    x = np.random.default_rng(1).normal(size=(4000, 8))
+    depths = [ann.fit_forest(x, 100.0, n, 20).depth for n in (10, 1000, 10_000, 100_000)]
+    assert depths == sorted(depths) and depths[0] == 2 and depths[1] == 4 and depths[-1] == 9
+
+
 def test_forest_reaches_the_recall_it_measures():
     rng = np.random.default_rng(8)
     x = rng.normal(size=(6000, 16))
@@ -351,4 +359,5 @@ def test_neighbours_come_from_the_opened_leaves_alone(spark, monkeypatch):
         return hits / 600
 
     assert recall(1) < 0.9 < recall()
-    assert fit(x, 1.0, len(x), 20).leaves < ann.TREES << ann.DEPTH
+    forest = fit(x, 1.0, len(x), 20)
+    assert forest.leaves < ann.TREES << forest.depth
