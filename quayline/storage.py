@@ -12,10 +12,19 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: dict[str, str] = {}
+BATCH_BYTES = 8 << 20  # of rows that a Python worker is handed at once
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Bound the bytes of the batches that Python workers get, unless the session bounds them lower; long texts then come few at a time."""
+    if not spark.conf.get(_BATCH).isdigit() or int(spark.conf.get(_BATCH)) > BATCH_BYTES:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The named input table."""
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
@@ -39,6 +48,7 @@ def new_path(spark: SparkSession, label: str) -> str:
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write df as Parquet in the workspace and read it back: one evaluation, no lineage."""
+    bound_batches(df.sparkSession)
     path = new_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
