@@ -21,7 +21,7 @@ SIMILARITY = 0.8
 BANDS, ROWS = 25, 5  # a pair at 0.8 misses all bands with probability 5e-5
 COORDINATES = BANDS * ROWS
 DARTS = COORDINATES * (np.log(COORDINATES) + 4)  # expected darts of a text; an empty coordinate is rare
-BATCH_CHARS = 1_000_000
+BATCH_CHARS = 400_000
 WHOLE_BUCKET = 12  # buckets up to this size check every pair
 NEXT_BANDS = (1, 7)  # larger ones are also divided by the bands so many further on
 RARE = 32  # shingles of more crowded texts than this are common ones
@@ -109,7 +109,7 @@ def dart_signatures(text: np.ndarray, element: np.ndarray, weight: np.ndarray, n
             for lo in range(0, len(tt), 100_000):
                 cut = slice(lo, lo + 100_000)
                 cells = end[cut] - begin[cut]
-                for sub in _slices(cells, 400_000):
+                for sub in _slices(cells, 150_000):
                     c = cells[sub]
                     at = np.repeat(np.arange(len(c)), c)
                     rank_cell = np.arange(len(at)) - np.repeat(np.cumsum(c) - c, c) + np.repeat(begin[cut][sub], c)
