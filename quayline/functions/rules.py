@@ -9,21 +9,50 @@ from pyspark.sql import functions as F
 
 from quayline.functions.numeric import col, rounded
 
-#: fixed values: text of an error -> its class, first match wins
-ERROR_CLASSES = (
-    (r"rate.?limit|too many requests|429", "rate_limit"),
-    (r"timeout|timed out|etimedout", "timeout"),
-    (r"unauthori[sz]ed|invalid api key|401|403", "auth"),
-    (r"billing|quota|insufficient", "billing"),
-    (r"overloaded|503|529", "overloaded"),
-)
+#: fixed values: class of an error -> patterns and texts that tell it; the first class that is told wins
+ERROR_CLASSES = {
+    "context_overflow": (
+        (),
+        (
+            "context length exceeded",
+            "maximum context length",
+            "this model's maximum context length",
+            "prompt is too long",
+            "request_too_large",
+            "exceeds model context window",
+            "context overflow",
+            "exceed context limit",
+            "model token limit",
+            "your request exceeded model token limit",
+            "上下文过长",
+            "上下文超出",
+            "超出最大上下文",
+        ),
+    ),
+    "rate_limit": (
+        (r"rate[_ ]limit|too many requests|429",),
+        ("model_cooldown", "cooling down", "exceeded your current quota", "resource has been exhausted", "quota exceeded", "resource_exhausted", "usage limit", "tpm", "tokens per minute"),
+    ),
+    "billing": ((r"""["']?(?:status|code)["']?\s*[:=]\s*402\b""", r"\bhttp\s*402\b"), ("payment required", "insufficient credits", "credit balance", "insufficient balance")),
+    "auth": ((r"invalid[_ ]?api[_ ]?key", r"\b401\b", r"\b403\b"), ("incorrect api key", "invalid token", "authentication", "unauthorized", "forbidden", "access denied", "no api key found")),
+    "timeout": ((), ("timeout", "timed out", "deadline exceeded", "context deadline exceeded")),
+    "overloaded": ((r'overloaded_error|"type"\s*:\s*"overloaded_error"',), ("overloaded", "service unavailable", "high demand")),
+}
+#: fixed values: texts that tell an overflow together, and texts that rule it out
+OVERFLOW_TOGETHER = (("request size exceeds", "context"), ("max_tokens", "exceed", "context"), ("input length", "exceed", "context"), ("413", "too large"))
+NO_OVERFLOW = ("tpm", "tokens per minute")
 BACKOFF_SECONDS = (30, 60, 300, 900, 3600)  # wait after so many errors in a row
 
 
-def first_match(text: Column | str, rules, otherwise: str = "unknown") -> Column:
-    """The label of the first pattern that a text matches, whatever the case."""
-    x = col(text)
-    return reduce(lambda acc, r: acc.when(x.rlike("(?i)" + r[0]), r[1]), rules[1:], F.when(x.rlike("(?i)" + rules[0][0]), rules[0][1])).otherwise(otherwise)
+def error_class(text: Column | str) -> Column:
+    """The class that an error's text tells, whatever its case; ``unknown`` for none, null and empty."""
+    low = F.lower(col(text))
+    any_of = lambda tests: reduce(lambda a, b: a | b, tests)
+    told = {name: any_of([*[low.rlike("(?i)" + p) for p in patterns], *[low.contains(t) for t in texts]]) for name, (patterns, texts) in ERROR_CLASSES.items()}
+    together = any_of([reduce(lambda a, b: a & b, [low.contains(t) for t in texts]) for texts in OVERFLOW_TOGETHER])
+    told["context_overflow"] = (told["context_overflow"] | together) & ~any_of([low.contains(t) for t in NO_OVERFLOW])
+    ladder = reduce(lambda acc, name: acc.when(told[name], name), told, F.when(F.coalesce(low, F.lit("")) == "", "unknown"))
+    return ladder.otherwise("unknown")
 
 
 def resolve_symbol(name: Column | str, coins=("BTC", "ETH", "SOL")) -> Column:

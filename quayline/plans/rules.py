@@ -21,11 +21,40 @@ def symbol_resolution(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", rules.resolve_symbol(name).alias("r")).select("p_partkey", "r.market", "r.symbol")
 
 
-@query("SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'rate_limit' WHEN 1 THEN 'timeout' WHEN 2 THEN 'auth' WHEN 3 THEN 'billing' WHEN 4 THEN 'overloaded' ELSE 'unknown' END AS class FROM events")
+_ERRORS = (
+    "HTTP 429 Too Many Requests",
+    "upstream request Timed Out",
+    "Invalid API key given",
+    "status: 402 for this account",
+    "server Overloaded, try again",
+    "boom",
+    "This model's maximum context length is 8192",
+    "tokens per minute: maximum context length reached",
+    "max_tokens would exceed the context window",
+    "error 413: payload too large",
+    "code 4031 raised",
+    "403 Forbidden",
+    "context deadline exceeded",
+    "",
+)
+
+
+def _told(patterns: str, *texts: str) -> str:
+    tests = [f"regexp_matches(t, '{patterns}')"] if patterns else []
+    return "(" + " OR ".join(tests + [f"contains(t, '{x}')" for x in texts]) + ")"
+
+
+@query(
+    f"""WITH x AS (SELECT event_id, lower([{', '.join("'" + e.replace("'", "''") + "'" for e in _ERRORS)}][event_id % {len(_ERRORS)} + 1] || ' ' || CASE WHEN event_id % 3 = 0 AND event_id % {len(_ERRORS)} <> 13 THEN event_type ELSE '' END) AS t FROM events)
+SELECT event_id, CASE WHEN NOT (contains(t, 'tpm') OR contains(t, 'tokens per minute')) AND ({_told('', 'maximum context length', 'prompt is too long', 'context overflow')} OR (contains(t, 'max_tokens') AND contains(t, 'exceed') AND contains(t, 'context')) OR (contains(t, '413') AND contains(t, 'too large'))) THEN 'context_overflow'
+  WHEN {_told('rate[_ ]limit|too many requests|429', 'quota exceeded', 'tpm', 'tokens per minute')} THEN 'rate_limit' WHEN {_told('(status|code)[^a-z0-9]*[:=][ ]*402\\b', 'payment required')} THEN 'billing'
+  WHEN {_told('invalid[_ ]?api[_ ]?key|\\b401\\b|\\b403\\b', 'unauthorized', 'forbidden')} THEN 'auth' WHEN {_told('', 'timeout', 'timed out', 'deadline exceeded')} THEN 'timeout' WHEN {_told('', 'overloaded', 'service unavailable')} THEN 'overloaded' ELSE 'unknown' END AS class FROM x"""
+)
 def error_classes(spark, sf_dir):
-    """Class of an error by its text, first match wins."""
-    texts = F.array(*[F.lit(t) for t in ("HTTP 429 Too Many Requests", "request Timed Out", "Invalid API key", "insufficient quota", "server Overloaded", "boom")])
-    return table(spark, sf_dir, "events").select("event_id", rules.first_match(F.element_at(texts, (F.col("event_id") % 6 + 1).cast("int")), rules.ERROR_CLASSES).alias("class"))
+    """Class of an error by its text, first class told wins."""
+    k = F.col("event_id") % len(_ERRORS)
+    text = F.concat(F.element_at(F.array(*[F.lit(t) for t in _ERRORS]), (k + 1).cast("int")), F.when((F.col("event_id") % 3 == 0) & (k != 13), F.concat(F.lit(" "), "event_type")).otherwise(" "))
+    return table(spark, sf_dir, "events").select("event_id", rules.error_class(text).alias("class"))
 
 
 @query("SELECT event_id FROM events WHERE dayofweek(ts) BETWEEN 1 AND 5 AND strftime(ts, '%H:%M') BETWEEN '09:00' AND '17:30'")
