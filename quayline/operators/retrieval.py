@@ -73,35 +73,54 @@ def vector_scores(items: DataFrame, query_vector: list[float], vector_col: str =
     return items.withColumn("vector_score", numeric.cosine(F.col(vector_col), q))
 
 
-def _equals(word: str):
-    return lambda token: token == word
+WORD = r"[\p{L}\p{N}_]"
 
 
 def keyword_matches(items: DataFrame, words: list[str], text_col: str = "text") -> DataFrame:
-    """The items that hold every word, with BM25 in ``bm25`` (k1 1.2, b 0.75)."""
-    tokens = texts.unicode_words(text_col)
-    counted = items.withColumn("_tokens", tokens).withColumn("_len", F.size("_tokens"))
-    for k in range(len(words)):
-        counted = counted.withColumn(f"_tf{k}", F.size(F.filter("_tokens", _equals(words[k].lower()))))
-    totals = counted.agg(F.count(F.lit(1)).alias("_n"), F.avg("_len").alias("_avg"), *[F.count_if(F.col(f"_tf{k}") > 0).alias(f"_df{k}") for k in range(len(words))])
-    joined = counted.crossJoin(F.broadcast(totals))  # one row of totals
-    score = F.lit(0.0)
-    hit = F.lit(True)
-    for k in range(len(words)):
+    """The items that hold every word, with BM25 in ``bm25`` (k1 1.2, b 0.75).
+
+    Words are counted where they stand, without splitting texts; only texts that contain every word
+    as a substring are looked at a second time.
+    """
+    low, names = F.lower(text_col), [w.lower() for w in words]
+    length = F.regexp_count(low, F.lit(WORD + "+"))
+    often = [F.when(low.contains(n), F.regexp_count(low, F.lit(rf"(?<!{WORD})\Q{n}\E(?!{WORD})"))).otherwise(0) for n in names]
+    seen = items.select(length.alias("n"), *[(c > 0).alias(f"w{k}") for k, c in enumerate(often)])
+    totals = seen.agg(F.count(F.lit(1)).alias("_n"), F.avg("n").alias("_avg"), *[F.count_if(f"w{k}").alias(f"_df{k}") for k in range(len(names))])
+    held = items
+    for n in names:
+        held = held.filter(low.contains(n))
+    held = held.withColumns({"_len": length, **{f"_tf{k}": c for k, c in enumerate(often)}}).crossJoin(F.broadcast(totals))  # one row of totals
+    score, hit = F.lit(0.0), F.lit(True)
+    for k in range(len(names)):
         tf, df = F.col(f"_tf{k}"), F.col(f"_df{k}")
         hit = hit & (tf > 0)
         idf = F.log((F.col("_n") - df + 0.5) / (df + 0.5) + 1)
         score = score + idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * F.col("_len") / F.col("_avg")))
-    drop = ["_tokens", "_len", "_n", "_avg", *[f"_{c}{k}" for c in ("tf", "df") for k in range(len(words))]]
-    return joined.filter(hit).withColumn("bm25", score).drop(*drop)
+    drop = ["_len", "_n", "_avg", *[f"_{c}{k}" for c in ("tf", "df") for k in range(len(names))]]
+    return held.filter(hit).withColumn("bm25", score).drop(*drop)
+
+
+def best_keywords(items: DataFrame, words: list[str], key: str, most: int, text_col: str = "text") -> DataFrame:
+    """The ``most`` best matches by BM25, ties to the smaller key: key, bm25, keyword_score (1 for every match)."""
+    hits = keyword_matches(items.select(key, text_col), words, text_col).orderBy(F.desc("bm25"), key).limit(most)
+    return hits.select(key, "bm25", F.lit(1.0).alias("keyword_score"))
 
 
 def hybrid(vector: DataFrame, keyword: DataFrame, key: str, weights: tuple[float, float] = (0.7, 0.3), least: float = 0.1) -> DataFrame:
-    """key, score, found_by: weighted sum of both scores, where it reaches ``least``."""
+    """key, score, found_by: weighted sum of both scores, where it reaches ``least``.
+
+    Where one search found nothing the other has the whole weight. The candidates are few: both
+    searches are cut to a number.
+    """
     a, b = weights if sum(weights) > 0 else (0.7, 0.3)
-    merged = vector.select(key, "vector_score").join(keyword.select(key, "keyword_score"), key, "full_outer").fillna(0.0, ["vector_score", "keyword_score"])
+    merged = vector.select(key, "vector_score").join(keyword.select(key, "keyword_score"), key, "full_outer")
+    every = Window.partitionBy()
+    ran = lambda c, w: F.when(F.count(c).over(every) > 0, F.lit(float(w))).otherwise(0.0)
+    merged = merged.withColumns({"_a": ran("vector_score", a), "_b": ran("keyword_score", b)}).fillna(0.0, ["vector_score", "keyword_score"])
     label = F.when((F.col("vector_score") > 0) & (F.col("keyword_score") > 0), "both").when(F.col("vector_score") > 0, "vector").otherwise("keyword")
-    return merged.select(key, ((F.col("vector_score") * a + F.col("keyword_score") * b) / (a + b)).alias("score"), label.alias("found_by")).filter(F.col("score") >= least)
+    score = (F.col("vector_score") * F.col("_a") + F.col("keyword_score") * F.col("_b")) / (F.col("_a") + F.col("_b"))
+    return merged.select(key, score.alias("score"), label.alias("found_by")).filter(F.col("score") >= least)
 
 
 def rerank_mmr(hits: DataFrame, group: str, key: str, score: str, text: str, k: int = 6, weight: float = 0.7) -> DataFrame:

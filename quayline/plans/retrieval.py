@@ -53,11 +53,24 @@ def similar_turns(spark, sf_dir):
     return p.select("conv_id", "turn", rounded(numeric.jaccard("s", "b")).alias("similarity"))
 
 
-@query("SELECT doc_id, 1.0::DOUBLE AS keyword_score FROM documents WHERE list_contains(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+'), 'the') AND list_contains(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+'), 'idiot')")
+_BM25 = r"""tok AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS t FROM documents),
+tf AS (SELECT doc_id, len(t) AS n, len(list_filter(t, lambda w: w = 'the')) AS a, len(list_filter(t, lambda w: w = 'idiot')) AS b FROM tok),
+tot AS (SELECT count(*) AS n, avg(n) AS m, count(*) FILTER (a > 0) AS da, count(*) FILTER (b > 0) AS db FROM tf),
+bm AS (SELECT doc_id, ln((tot.n - da + 0.5) / (da + 0.5) + 1) * a * 2.2 / (a + 1.2 * (0.25 + 0.75 * tf.n / m)) + ln((tot.n - db + 0.5) / (db + 0.5) + 1) * b * 2.2 / (b + 1.2 * (0.25 + 0.75 * tf.n / m)) AS s FROM tf, tot WHERE a > 0 AND b > 0)"""
+
+
+@query(f"WITH {_BM25} SELECT doc_id, {_r('s', 6)} AS bm25, 1.0::DOUBLE AS keyword_score FROM bm")
 def keyword_and(spark, sf_dir):
-    """Documents that hold all words; every match scores 1, the order is by BM25."""
+    """Documents that hold all words, with BM25; every match scores 1."""
     hits = ops.keyword_matches(table(spark, sf_dir, "documents").select("doc_id", "text"), ["the", "idiot"])
-    return hits.orderBy(F.desc("bm25")).select("doc_id", F.lit(1.0).alias("keyword_score"))
+    return hits.select("doc_id", rounded("bm25", 6).alias("bm25"), F.lit(1.0).alias("keyword_score"))
+
+
+@query(f"WITH {_BM25} SELECT doc_id, row_number() OVER (ORDER BY bm.s DESC, doc_id) AS rank FROM bm QUALIFY row_number() OVER (ORDER BY bm.s DESC, doc_id) <= 24")
+def keyword_topk(spark, sf_dir):
+    """The 24 best matches by BM25."""
+    best = ops.best_keywords(table(spark, sf_dir, "documents"), ["the", "idiot"], "doc_id", 24)
+    return best.select("doc_id", F.row_number().over(Window.orderBy(F.desc("bm25"), "doc_id")).cast("long").alias("rank"))  # of 24 rows
 
 
 @query(
@@ -72,9 +85,9 @@ def cosine_topk(spark, sf_dir):
     return s.orderBy(F.desc("s"), "vec_id").limit(20).select("vec_id", rounded("s", 6).alias("score"))
 
 
-_HYBRID = """q AS (SELECT embedding AS e FROM embeddings WHERE vec_id = 0),
+_HYBRID = f"""{_BM25}, q AS (SELECT embedding AS e FROM embeddings WHERE vec_id = 0),
 v AS (SELECT vec_id AS id, list_cosine_similarity(embedding::DOUBLE[], e::DOUBLE[]) AS s FROM embeddings, q ORDER BY s DESC, id LIMIT 24),
-k AS (SELECT doc_id AS id, 1.0 AS s FROM documents WHERE text LIKE '%idiot%' ORDER BY doc_id LIMIT 24),
+k AS (SELECT doc_id AS id, 1.0 AS s FROM bm ORDER BY bm.s DESC, doc_id LIMIT 24),
 h AS (SELECT coalesce(v.id, k.id) AS id, coalesce(v.s, 0) * 0.7 + coalesce(k.s, 0) * 0.3 AS score, CASE WHEN v.s > 0 AND k.s > 0 THEN 'both' WHEN v.s > 0 THEN 'vector' ELSE 'keyword' END AS found_by FROM v FULL JOIN k ON v.id = k.id)"""
 
 
@@ -82,7 +95,7 @@ def _hybrid(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
     q = e.filter("vec_id = 0").select("embedding").first()[0]
     v = ops.vector_scores(e, q).select(F.col("vec_id").alias("id"), "vector_score").orderBy(F.desc("vector_score"), "id").limit(24)
-    k = table(spark, sf_dir, "documents").filter(F.col("text").contains("idiot")).orderBy("doc_id").limit(24).select(F.col("doc_id").alias("id"), F.lit(1.0).alias("keyword_score"))
+    k = ops.best_keywords(table(spark, sf_dir, "documents").withColumnRenamed("doc_id", "id"), ["the", "idiot"], "id", 24)
     return ops.hybrid(v, k, "id")
 
 
