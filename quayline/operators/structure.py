@@ -19,23 +19,24 @@ def swings(bars: DataFrame, k: int = 3) -> DataFrame:
     return found.select("*", F.explode("_p").alias("_s")).select(*bars.columns, "_s.price", "_s.kind")
 
 
-def levels(bars: DataFrame, tolerance: float = 1.5, half_life: float = 50.0, most: int = 4, k: int = 3) -> DataFrame:
+def levels(bars: DataFrame, tolerance: float | None = None, half_life: float = 50.0, most: int = 5, k: int = 3) -> DataFrame:
     """Nearest support and resistance of each symbol: symbol, side, rank, price, touches, strength.
 
     Swing prices in ascending order join the open cluster while they lie within ``tolerance`` percent
-    of its first price. Old touches keep a quarter of their weight. The fold runs over one symbol's
+    of its first price: by default the newest ``atr_pct``, from 0.5 to 4, or 1.5 without one. Old touches keep a quarter of their weight. The fold runs over one symbol's
     swings of the given bars: pass a tail of the series, not all of it.
     """
     numbered = with_index(bars)
-    ends = numbered.groupBy("symbol").agg(F.max("bar_idx").alias("end"), F.max_by("close", "bar_idx").alias("now"))
-    points = swings(numbered, k).groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct("price", "bar_idx"))).alias("points"))
+    noise = F.lit(float(tolerance)) if tolerance is not None else F.least(F.greatest(F.coalesce(F.max_by("atr_pct", "bar_idx"), F.lit(1.5)), F.lit(0.5)), F.lit(4.0)) if "atr_pct" in bars.columns else F.lit(1.5)
+    ends = numbered.groupBy("symbol").agg(F.max("bar_idx").alias("end"), F.max_by("close", "bar_idx").alias("now"), noise.alias("tolerance"))
+    points = swings(numbered, k).groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct("price", "bar_idx"))).alias("points")).join(ends.select("symbol", "tolerance"), "symbol")
     kind = "array<struct<anchor:double,n:int,total:double,last:bigint>>"
 
     def step(acc: Column, p: Column) -> Column:
         top = F.try_element_at(acc, F.lit(-1))
         grown = F.struct(top["anchor"].alias("anchor"), (top["n"] + 1).alias("n"), (top["total"] + p["price"]).alias("total"), F.greatest(top["last"], p["bar_idx"].cast("long")).alias("last"))
         new = F.struct(p["price"].alias("anchor"), F.lit(1).alias("n"), p["price"].alias("total"), p["bar_idx"].cast("long").alias("last"))
-        near = F.coalesce(F.abs(p["price"] - top["anchor"]) / top["anchor"] * 100 <= tolerance, F.lit(False))
+        near = F.coalesce(F.abs(p["price"] - top["anchor"]) / top["anchor"] * 100 <= F.col("tolerance"), F.lit(False))
         return F.when(near, F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(grown))).otherwise(F.concat(acc, F.array(new))).cast(kind)
 
     clusters = points.select("symbol", F.explode(F.aggregate("points", F.array().cast(kind), step)).alias("c")).join(ends, "symbol")

@@ -23,21 +23,24 @@ def _swings(source: str, k: int = 3) -> str:
     return f"{side('high', 'max', 'min', '>=', '>')} UNION ALL {side('low', 'min', 'max', '<=', '<')}"
 
 
+_TAIL = SQL_DAILY.replace("FROM daily)", "FROM (SELECT * FROM daily QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) <= 260))")
+
+
 @query(
-    f"""WITH RECURSIVE {SQL_DAILY}, r AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS back FROM daily), x AS (SELECT * FROM r WHERE back <= 260),
-sw AS (SELECT symbol, price, back, row_number() OVER (PARTITION BY symbol ORDER BY price, back DESC) AS k FROM ({_swings('x')})),
+    f"""{_IDX.replace(SQL_DAILY, _TAIL)}, tr AS (SELECT symbol, i, CASE WHEN pc IS NULL THEN high - low ELSE greatest(high - low, abs(high - pc), abs(low - pc)) END AS tr FROM z), {_recursive('a14', 'tr', 'tr', 14, '1.0/14')},
+x AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS back FROM bars), n AS (SELECT x.symbol, close AS now, least(greatest(a14.v / close * 100, 0.5), 4) AS tol FROM x JOIN a14 ON a14.symbol = x.symbol AND a14.i = x.bar_idx WHERE back = 1),
+sw AS (SELECT symbol, price, back, tol, row_number() OVER (PARTITION BY symbol ORDER BY price, back DESC) AS k FROM ({_swings('x')}) JOIN n USING (symbol)),
 c AS (SELECT symbol, k, price, back, price AS anchor, 1 AS cl FROM sw WHERE k = 1 UNION ALL
-  SELECT s.symbol, s.k, s.price, s.back, CASE WHEN abs(s.price - c.anchor) / c.anchor * 100 <= 1.5 THEN c.anchor ELSE s.price END, CASE WHEN abs(s.price - c.anchor) / c.anchor * 100 <= 1.5 THEN c.cl ELSE c.cl + 1 END
+  SELECT s.symbol, s.k, s.price, s.back, CASE WHEN abs(s.price - c.anchor) / c.anchor * 100 <= s.tol THEN c.anchor ELSE s.price END, CASE WHEN abs(s.price - c.anchor) / c.anchor * 100 <= s.tol THEN c.cl ELSE c.cl + 1 END
   FROM c JOIN sw s ON s.symbol = c.symbol AND s.k = c.k + 1),
 g AS (SELECT symbol, cl, sum(price) / count(*) AS p, count(*) AS touches, min(back) - 1 AS age FROM c GROUP BY symbol, cl),
-n AS (SELECT symbol, close AS now FROM x WHERE back = 1),
 l AS (SELECT symbol, CASE WHEN p < now THEN 'support' ELSE 'resistance' END AS side, floor(p * 10000.0 + 0.5) / 10000.0 AS price, touches, floor(touches * (0.25 + 0.75 * power(0.5::DOUBLE, age / 50.0)) * 1000.0 + 0.5) / 1000.0 AS strength FROM g JOIN n USING (symbol)),
 k AS (SELECT *, row_number() OVER (PARTITION BY symbol, side ORDER BY CASE WHEN side = 'support' THEN -price ELSE price END) AS rank FROM l)
-SELECT symbol, side, price, touches, strength, rank FROM k WHERE rank <= 4"""
+SELECT symbol, side, price, touches, strength, rank FROM k WHERE rank <= 5"""
 )
 def support_resistance(spark, sf_dir):
-    """The four nearest levels on either side, from the last 260 bars."""
-    return ops.levels(tail(daily_bars(spark, sf_dir), 260))
+    """The five nearest levels on either side, from the last 260 bars; the average range sets how near prices join."""
+    return ops.levels(recurrences.indicators(tail(daily_bars(spark, sf_dir), 260)))
 
 
 @query(
