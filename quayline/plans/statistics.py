@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quayline.functions.numeric import rounded
 from quayline.operators import statistics as ops
 from quayline.operators import windows as w
+from quayline.operators.structure import thin
 from quayline.plans.registry import query
 from quayline.sources.market import SQL_DAILY, SQL_HOURLY, daily_bars, hourly_bars
 from quayline.storage import table
@@ -64,6 +65,26 @@ def bootstrap_ci(spark, sf_dir):
     return ops.bootstrap_mean(_trades(spark, sf_dir), "strategy", "result_r", "id")
 
 
+@query()
+def funding_study(spark, sf_dir):
+    """Moves of five bars after extreme values, thinned over all symbols, against all moves: cells, intervals, which exclude zero.
+
+    The extremes of each side are thinned greedily, 36 hours apart, whatever their symbol; a cell is a
+    side and a symbol's rows are pooled.
+    """
+    series = Window.partitionBy("symbol").orderBy("ts")
+    back = series.rowsBetween(-59, 0)
+    h = hourly_bars(spark, sf_dir)
+    z = F.when(F.count("close").over(back) == 60, (F.col("close") - F.avg("close").over(back)) / F.nullif(F.stddev_samp("close").over(back), F.lit(0.0)))
+    x = h.select("symbol", "ts", z.alias("z"), ((F.lead("close", 5).over(series) - F.col("close")) / F.col("close") * 100).alias("move")).filter("z IS NOT NULL AND move IS NOT NULL")
+    x = x.withColumn("cell", F.when(F.col("z") > 1.5, "high").when(F.col("z") < -1.5, "low"))
+    kept = thin(x.filter("cell IS NOT NULL").select("cell", "ts"), "cell", "ts", 36 * 3600).select("cell", F.col("ts").alias("_at")).distinct()
+    hit = x.withColumn("_at", F.col("ts").cast("long")).join(F.broadcast(kept.withColumn("_hit", F.lit(True))), ["cell", "_at"], "left")
+    every = hit.withColumn("side", F.explode(F.array(F.lit("high"), F.lit("low"))))
+    found = ops.bootstrap_difference(every.withColumn("_o", F.concat(F.col("ts").cast("string"), "symbol")), "side", "move", "_o", (F.col("cell") == F.col("side")) & F.coalesce("_hit", F.lit(False)))
+    return found.withColumn("apart", (F.col("low") > 0) | (F.col("high") < 0))
+
+
 @query()
 def bootstrap_by_outcome(spark, sf_dir):
     """The same with 2,000 resamples for each outcome; twenty values are needed."""

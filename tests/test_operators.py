@@ -167,3 +167,16 @@ def test_curve_csv_becomes_rows(spark, tmp_path):
     assert [r["id"] for r in read_journal(spark, str(tmp_path / "j.jsonl")).collect()] == ["1", "2"]
     (tmp_path / "q.csv").write_text('a,b\n"x ""y""","two\nlines"\n')
     assert tuple(read_quoted_csv(spark, str(tmp_path / "q.csv"), "a string, b string").first()) == ('x "y"', "two\nlines")
+
+
+def test_dealt_resamples_equal_one_walk(spark):
+    rng = np.random.default_rng(4)
+    rows = [(g, k, float(x)) for g in "ab" for k, x in enumerate(rng.normal(size=60))]
+    df = spark.createDataFrame(rows, "g string, k int, v double")
+    for r in statistics.bootstrap_mean(df, "g", "v", "k", resamples=333).collect():
+        v = np.array([x for g, _, x in rows if g == r["g"]])
+        low, high = statistics.bootstrap(v, 333)
+        assert np.allclose((r["low"], r["high"]), (low, high), atol=1e-4)
+    for r in statistics.bootstrap_difference(df, "g", "v", "k", F.col("k") % 2 == 0, resamples=200).collect():
+        v = np.array([x for g, _, x in rows if g == r["g"]])
+        assert r["n"] == 30 and np.allclose((r["mean"], r["low"], r["high"]), statistics.difference(v[::2], v, 200), atol=1e-4)
