@@ -214,8 +214,8 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _bucket_pairs(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Candidate pairs (a < b) of texts that share a bucket, a number in proportion to the members; the
-    texts of large buckets, whose other pairs _crowded_pairs finds.
+    """Candidate pairs (a < b) of texts that share a bucket, a number in proportion to the members; and
+    node, bucket of the large buckets, whose other pairs _crowded_pairs finds.
 
     Buckets of up to WHOLE_BUCKET members give every pair. In a larger one each member is paired with
     the bucket's most central member (the one whose buckets are largest together) and with the most
@@ -235,7 +235,14 @@ def _bucket_pairs(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     heads = grouped.groupBy("group").agg(F.max_by("node", F.struct("pull", "node")).alias("other"))
     stars = grouped.join(heads, "group").select("node", "other").filter("node != other").distinct()
     pairs = small.unionByName(stars.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))).distinct()
-    return pairs, shared.filter(F.col("n") > WHOLE_BUCKET).select("node").distinct()
+    return pairs, shared.filter(F.col("n") > WHOLE_BUCKET).select("node", "bucket")
+
+
+def _apart(large: DataFrame, roots: DataFrame) -> DataFrame:
+    """The nodes of those large buckets whose members are not all in one component yet."""
+    member = large.join(roots, "node", "left").select("node", "bucket", F.coalesce("root", "node").alias("comp"))
+    mixed = member.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high")
+    return member.join(mixed, "bucket", "left_semi").select("node").distinct()
 
 
 def _sets(weighted: bool):
@@ -322,7 +329,7 @@ def _classed(docs: DataFrame, id_col: str, text_col: str, weighted: bool) -> Dat
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
     nodes = rows.filter(F.col("key").isNotNull()).groupBy("key").agg(F.min(rank).alias("first"), F.first("buckets").alias("buckets"))
     nodes = materialise(nodes.withColumn("node", F.monotonically_increasing_id()), "near-nodes")
-    pairs, crowded = _bucket_pairs(nodes)
+    pairs, large = _bucket_pairs(nodes)
     pairs = materialise(pairs, "near-pairs")
     wanted = nodes.join(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), "node", "left_semi")
     wanted = materialise(wanted.select("node", F.col("first.doc_id").alias("first_id"), F.col("first.row").alias("first_row")), "near-wanted")
@@ -333,7 +340,7 @@ def _classed(docs: DataFrame, id_col: str, text_col: str, weighted: bool) -> Dat
     links = materialise(_checked(pairs, sets), "near-links")
     roots = components(links)
     # the rest of the pairs of large buckets, where they may join two components
-    more = materialise(_crowded_pairs(sets.join(crowded, "node", "left_semi"), roots), "near-crowded")
+    more = materialise(_crowded_pairs(sets.join(_apart(large, roots), "node", "left_semi"), roots), "near-crowded")
     more = materialise(_checked(more, sets), "near-more")
     if not more.isEmpty():
         roots = components(links.unionByName(more))
@@ -355,8 +362,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Copies are never expanded into pairs. A bucket of thousands of similar texts gives a number of
     pairs in proportion to its members, against the most central members of the bucket and of its
-    parts (see _bucket_pairs). What these leave apart is joined exactly among all
-    texts of large buckets (see _crowded_pairs).
+    parts (see _bucket_pairs). The texts of buckets that these leave in several components are then
+    joined exactly (see _crowded_pairs).
 
     Rows, not ids, are joined: one id on several texts stands in each text's class. A document
     without words (null, empty) is a class of its own; one to four words are one shingle; repeated
