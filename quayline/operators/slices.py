@@ -111,11 +111,11 @@ def _divergences(high: np.ndarray, low: np.ndarray, highs: np.ndarray, lows: np.
     return out
 
 
-def _read(part: pd.DataFrame, size: int) -> pd.DataFrame:
+def _read(part: pd.DataFrame, size: int, block: int) -> pd.DataFrame:
     """Reads of the bars of one block; the bars before it only serve the slices."""
     part = part.sort_values("bar_idx").reset_index(drop=True)
     x = {c: part[c].to_numpy(dtype=float) for c in ("open", "high", "low", "close", "volume")}
-    ends = np.flatnonzero((part["bar_idx"] // BLOCK == part["block"]).to_numpy())
+    ends = np.flatnonzero((part["bar_idx"] // block == part["block"]).to_numpy())
     names = [c.split()[0] for c in READ.split(", ")]
     if not len(ends):
         return pd.DataFrame(columns=["symbol", "ts", "bar_idx", *names])
@@ -180,16 +180,16 @@ def _read(part: pd.DataFrame, size: int) -> pd.DataFrame:
     return pd.concat([keys, pd.DataFrame({c: out[c] for c in names})], axis=1)
 
 
-def slice_reads(bars: DataFrame, size: int = SLICE, least: int = 30) -> DataFrame:
+def slice_reads(bars: DataFrame, size: int = SLICE, least: int = 30, block: int = BLOCK) -> DataFrame:
     """symbol, ts, bar_idx and the numbers of the read of every bar on its last ``size`` bars.
 
     Slices of fewer than ``least`` bars give no read; numbers are null until their look-back is full.
     """
     kind = f"{bars.schema['symbol'].dataType.simpleString()}"
     numbered = with_index(bars).select("symbol", "ts", F.col("bar_idx").cast("long").alias("bar_idx"), "open", "high", "low", "close", F.col("volume").cast("double").alias("volume"))
-    reach = F.sequence(F.floor(F.col("bar_idx") / BLOCK), F.floor((F.col("bar_idx") + size - 1) / BLOCK))
+    reach = F.sequence(F.floor(F.col("bar_idx") / block), F.floor((F.col("bar_idx") + size - 1) / block))
     dealt = numbered.withColumn("block", F.explode(reach))
     schema = f"symbol {kind}, ts {bars.schema['ts'].dataType.simpleString()}, bar_idx long, {READ}"
-    out = dealt.groupBy("symbol", "block").applyInPandas(lambda part: _read(part, size), schema)
+    out = dealt.groupBy("symbol", "block").applyInPandas(lambda part: _read(part, size, block), schema)
     doubles = [f.name for f in out.schema if f.dataType.simpleString() == "double"]
     return out.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in doubles}).filter(F.col("bars") >= least)

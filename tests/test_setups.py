@@ -45,10 +45,9 @@ def test_signature_of_the_engine(series):
     assert sorted(got["by_strategy"].values()) == [1, 29, 41]
 
 
-def test_reads_of_blocks_equal_reads_of_single_slices(series, monkeypatch):
+def test_reads_of_blocks_equal_reads_of_single_slices(series):
     one = series.filter("symbol = 's11'")
-    monkeypatch.setattr(slices, "BLOCK", 64)
-    got = {r["bar_idx"]: r for r in slices.slice_reads(one).filter("bar_idx in (30, 100, 259, 260, 400, 599)").collect()}
+    got = {r["bar_idx"]: r for r in slices.slice_reads(one, block=64).filter("bar_idx in (30, 100, 259, 260, 400, 599)").collect()}
     rows = one.orderBy("ts").collect()
     for k, r in got.items():
         tail = series.sparkSession.createDataFrame(rows[max(0, k - 259) : k + 1], series.schema)
