@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quayline.llm import ann, decontam, licenses, line_dedup, lm, mixing, near_dup, secrets, token_counts, toxicity
+from quayline.llm import ann, decontam, importance, licenses, line_dedup, lm, mixing, near_dup, secrets, token_counts, toxicity
 from quayline.storage import table
 
 
@@ -56,6 +56,11 @@ def op10_decontaminate(spark, sf_dir):
     return decontam.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_importance_resample(spark, sf_dir):
+    """Importance of every document for the benchmark's texts, and the tenth that is drawn."""
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_substring_dedup": op2_substring_dedup,
@@ -67,9 +72,11 @@ QUERIES = {
     "op8_nearest_neighbours": op8_nearest_neighbours,
     "op9_lm_score": op9_lm_score,
     "op10_decontaminate": op10_decontaminate,
+    "op11_importance_resample": op11_importance_resample,
 }
 
 ORACLES = {
     "op1_secret_scan": secrets.ORACLE_SQL,
     "op7_mix_sources": mixing.ORACLE_SQL,
+    "op11_importance_resample": importance.ORACLE_SQL,
 }
