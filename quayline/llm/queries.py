@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quayline.llm import ann, decontam, importance, licenses, line_dedup, lm, mixing, near_dup, secrets, token_counts, toxicity
+from quayline.llm import ann, decontam, importance, licenses, line_dedup, lm, mixing, near_dup, prefix_trie, secrets, token_counts, toxicity
 from quayline.storage import table
 
 
@@ -61,6 +61,11 @@ def op11_importance_resample(spark, sf_dir):
     return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_prefix_trie(spark, sf_dir):
+    """The trie of all rebuilt conversations."""
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_substring_dedup": op2_substring_dedup,
@@ -73,10 +78,12 @@ QUERIES = {
     "op9_lm_score": op9_lm_score,
     "op10_decontaminate": op10_decontaminate,
     "op11_importance_resample": op11_importance_resample,
+    "op12_prefix_trie": op12_prefix_trie,
 }
 
 ORACLES = {
     "op1_secret_scan": secrets.ORACLE_SQL,
     "op7_mix_sources": mixing.ORACLE_SQL,
     "op11_importance_resample": importance.ORACLE_SQL,
+    "op12_prefix_trie": prefix_trie.ORACLE_SQL,
 }
