@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quayline.llm import ann, decontam, importance, licenses, line_dedup, lm, mixing, near_dup, prefix_trie, secrets, token_counts, toxicity
+from quayline.llm import ann, decontam, html_text, importance, licenses, line_dedup, lm, mixing, near_dup, prefix_trie, secrets, token_counts, toxicity
 from quayline.storage import table
 
 
@@ -66,6 +66,11 @@ def op12_prefix_trie(spark, sf_dir):
     return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
 
 
+def op13_html_text(spark, sf_dir):
+    """The main text of every page."""
+    return html_text.extract_text(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_substring_dedup": op2_substring_dedup,
@@ -79,6 +84,7 @@ QUERIES = {
     "op10_decontaminate": op10_decontaminate,
     "op11_importance_resample": op11_importance_resample,
     "op12_prefix_trie": op12_prefix_trie,
+    "op13_html_text": op13_html_text,
 }
 
 ORACLES = {
