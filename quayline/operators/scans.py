@@ -56,7 +56,7 @@ def _sums(batches: Iterator[pd.DataFrame], group: str, values: Sequence[str]) ->
 def running_sums(df: DataFrame, group: str, order: Sequence[Column | str], values: Sequence[str], keep: Sequence[str], label: str) -> DataFrame:
     """The columns ``keep`` with run_<value>: the sum of each of ``values`` over the group's rows up to this one.
 
-    Groups are whole numbers. The rows lie in range partitions of (group, order), so a group may
+    Groups are not null, values whole numbers. The rows lie in range partitions of (group, order), so a group may
     reach over many of them; each is summed for itself, and one row a partition carries sums on.
     """
     cols = list(dict.fromkeys([group, *values, *keep]))
@@ -73,6 +73,7 @@ def running_sums(df: DataFrame, group: str, order: Sequence[Column | str], value
         sums = [a + b for a, b in zip(sums, own)] if first == last == now else own
         last = now
     names = [f"_more{k}" for k in range(len(runs))]
-    more = df.sparkSession.createDataFrame(carried, ", ".join(["_part int, _group long", *(f"{c} long" for c in names)]))
-    whole = kept.join(F.broadcast(more), (kept["_part"] == more["_part"]) & (kept[group] == more["_group"]), "left")
+    kinds = [("_part", T.IntegerType()), ("_of_group", df.schema[group].dataType), *((c, T.LongType()) for c in names)]
+    more = df.sparkSession.createDataFrame(carried, T.StructType([T.StructField(*k) for k in kinds]))
+    whole = kept.join(F.broadcast(more), (kept["_part"] == more["_part"]) & (kept[group] == more["_of_group"]), "left")
     return whole.select(*keep, *[(F.col(r) + F.coalesce(F.col(m), F.lit(0))).alias(r) for r, m in zip(runs, names)])

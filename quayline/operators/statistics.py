@@ -1,11 +1,9 @@
-"""Trade metrics, deterministic bootstraps and interval inference."""
+"""Trade metrics and interval inference."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,100 +32,6 @@ def trade_metrics(trades: DataFrame, group: str, order: Sequence[str], result: s
     )
 
 
-def lcg(seed: int, n: int) -> np.ndarray:
-    """n states of s <- (1664525 s + 1013904223) mod 2^32, each times 2^-32; by doubling jumps."""
-    a, c = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
-    a[0], c[0], done = 1664525, 1013904223, 1
-    mask = np.uint64(0xFFFFFFFF)
-    while done < n:
-        m = min(done, n - done)
-        a[done : done + m] = a[:m] * a[done - 1] & mask
-        c[done : done + m] = (a[:m] * c[done - 1] + c[:m]) & mask
-        done += m
-    return ((a * np.uint64(seed) + c) & mask).astype(np.float64) / 2.0**32
-
-
-def jumped(seed: int, steps: int) -> int:
-    """The generator's state after so many steps, by squaring the step."""
-    a, c, out_a, out_c = 1664525, 1013904223, 1, 0
-    while steps:
-        if steps & 1:
-            out_a, out_c = out_a * a % 2**32, (out_c * a + c) % 2**32
-        a, c, steps = a * a % 2**32, (c * a + c) % 2**32, steps >> 1
-    return (out_a * seed + out_c) % 2**32
-
-
-def resampled(seed: int, first: int, count: int, sample: np.ndarray, population: np.ndarray | None = None) -> np.ndarray:
-    """Means of the resamples ``first`` to ``first + count``, less those of the population, drawn in blocks of bounded size.
-
-    Each resample draws the sample first, then the population.
-    """
-    n, m = len(sample), len(population) if population is not None else 0
-    out, state = [np.zeros(0)], jumped(seed, first * (n + m))
-    for lo in range(0, count, step := max(1, 2_000_000 // (n + m))):
-        k = min(step, count - lo)
-        u = lcg(state, k * (n + m))
-        state = int(u[-1] * 2**32)
-        u = u.reshape(k, n + m)
-        means = sample[(u[:, :n] * n).astype(np.int64)].mean(1)
-        out.append(means - population[(u[:, n:] * m).astype(np.int64)].mean(1) if m else means)
-    return np.concatenate(out)
-
-
-def bootstrap(values: np.ndarray, resamples: int = 1000, seed: int = 42) -> tuple[float, float]:
-    """2.5 and 97.5 % points of the resampled means."""
-    ordered = np.sort(resampled(seed, 0, resamples, values))
-    return float(ordered[int(0.025 * resamples)]), float(ordered[int(0.975 * resamples)])
-
-
-SHARES = 20  # tasks that a group's resamples are dealt to
-
-
-def _interval(df: DataFrame, group: str, value: str, order: str, resamples: int, seed: int, least: int, sampled: Column | None) -> DataFrame:
-    """group, n, value, low, high: each share of the resamples begins where a jump of the generator leads."""
-    kind, against = df.schema[group].dataType.simpleString(), sampled is not None
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("_o")
-        v, share = part["_v"].to_numpy(dtype=float), int(part["_share"].iloc[0])
-        some = v[part["_s"].to_numpy(dtype=bool)]
-        rest = v if against else None
-        first, last = share * resamples // SHARES, (share + 1) * resamples // SHARES
-        enough = min(len(some), len(v)) >= least
-        drawn = resampled(seed, first, last - first, some, rest) if enough else np.zeros(0)
-        mean = (some.mean() if len(some) else np.nan) - (v.mean() if rest is not None else 0.0)
-        return pd.DataFrame({group: [part[group].iloc[0]], "n": [len(some)], "mean": [mean], "drawn": [drawn]})
-
-    named = df.select(group, F.col(value).cast("double").alias("_v"), F.col(order).alias("_o"), (sampled if sampled is not None else F.lit(True)).alias("_s"))
-    dealt = named.withColumn("_share", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))))
-    parts = dealt.groupBy(group, "_share").applyInPandas(run, f"{group} {kind}, n long, mean double, drawn array<double>")
-    out = parts.groupBy(group).agg(F.first("n").alias("n"), F.first("mean").alias("mean"), F.sort_array(F.flatten(F.collect_list("drawn"))).alias("_d"))
-    at = lambda share: F.when(F.size("_d") > 0, F.try_element_at("_d", F.lit(int(share * resamples) + 1)))
-    return out.select(group, "n", rounded("mean").alias("mean"), rounded(at(0.025)).alias("low"), rounded(at(0.975)).alias("high"))
-
-
-def bootstrap_mean(df: DataFrame, group: str, value: str, order: str, resamples: int = 1000, seed: int = 42, least: int = 10) -> DataFrame:
-    """Mean and bootstrap interval of each group; no interval below ``least`` values.
-
-    The resamples of a group are dealt to SHARES tasks, which jump the generator ahead to theirs; a
-    task holds the group's values, 8 bytes each, because any draw may ask for any of them.
-    """
-    return _interval(df, group, value, order, resamples, seed, least, None)
-
-
-def bootstrap_difference(df: DataFrame, group: str, value: str, order: str, sampled: Column, resamples: int = 2000, seed: int = 20260801, least: int = 20) -> DataFrame:
-    """Mean of the sampled rows of each group less that of all its rows, with its bootstrap interval."""
-    return _interval(df, group, value, order, resamples, seed, least, sampled)
-
-
-def difference(sample: np.ndarray, population: np.ndarray, resamples: int = 2000, seed: int = 20260801, least: int = 20) -> tuple[float, float, float] | None:
-    """Difference of means with its 95 % interval."""
-    if min(len(sample), len(population)) < least:
-        return None
-    ordered = np.sort(resampled(seed, 0, resamples, sample, population))
-    return float(sample.mean() - population.mean()), float(ordered[int(resamples * 0.025)]), float(ordered[int(resamples * 0.975)])
-
-
 def median_interval(bars: DataFrame) -> DataFrame:
     """Upper median of the gaps in (0.5, 24] hours, snapped to 1, 2, 4 or 8 (ties down); 8 without gaps."""
     gap = (F.unix_timestamp("ts") - F.lag(F.unix_timestamp("ts")).over(Window.partitionBy("symbol").orderBy("ts"))) / 3600

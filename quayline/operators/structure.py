@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from quayline.functions.numeric import rounded
 from quayline.operators import windows as w
 from quayline.operators.bars import with_index
+from quayline.operators.scans import running_sums
+from quayline.storage import materialise
 
 
 def swings(bars: DataFrame, k: int = 3) -> DataFrame:
@@ -77,22 +79,56 @@ def divergences(bars: DataFrame, oscillator: str = "rsi14", k: int = 3) -> DataF
     return found.select("symbol", F.when(F.col("side") == "high", "bearish").otherwise("bullish").alias("type"), "kind", (F.col("end") - F.col("at")).alias("bars_ago"))
 
 
-def thin(rows: DataFrame, key: str, time: str, spacing_seconds: int) -> DataFrame:
-    """Rows of each key kept greedily so that kept times lie at least so far apart.
+def _left_block(part: pd.DataFrame) -> pd.DataFrame:
+    """Where each row's pointers first leave the block: pointers inside it are doubled until none is left."""
+    part = part.sort_values("_at")
+    at, to = part["_at"].to_numpy(), part["_to"].to_numpy()
+    first, out = at[0], to.copy()
+    while (inside := out <= at[-1]).any():
+        out[inside] = out[out[inside] - first]
+    return part.assign(_to=out).drop(columns="_block")
 
-    Each step depends on the last kept row, so a key's times go through one task: 8 bytes a row.
-    """
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(time, kind="stable")
-        seconds = part[time].astype("int64").to_numpy()
-        keep, k = [], 0
-        while k < len(seconds):
-            keep.append(k)
-            k = int(np.searchsorted(seconds, seconds[k] + spacing_seconds, side="left"))
-        return part.iloc[keep]
+def _marked_block(part: pd.DataFrame) -> pd.DataFrame:
+    """The rows of a block that its entry leads to."""
+    part = part.sort_values("_at")
+    at, to = part["_at"].to_numpy(), part["_to"].to_numpy()
+    kept, k = [], int(np.argmax(part["_entry"].to_numpy())) if part["_entry"].any() else len(at)
+    while k < len(at):
+        kept.append(k)
+        k = int(to[k] - at[0])
+    return part.iloc[kept].drop(columns=["_block", "_to", "_entry"])
+
 
-    return rows.select(key, F.col(time).cast("long").alias(time)).groupBy(key).applyInPandas(run, f"{key} {rows.schema[key].dataType.simpleString()}, {time} long")
+def thin(rows: DataFrame, key: str, time: str, spacing_seconds: int | Column, block: int = 1 << 16) -> DataFrame:
+    """key, time (seconds): the times of each key kept greedily so that they lie at least so far apart.
+
+    ``spacing_seconds`` may be a column that the key fixes. A kept time points to the first one that
+    may follow it, found by counting the times before it. Pointers are followed inside blocks of
+    times; between blocks what hangs from the first time is marked by pointer doubling: each round
+    doubles how far the pointers reach and how many entries are marked, so the rounds grow with the
+    logarithm of the blocks, and no task holds more than a block.
+    """
+    gap = F.lit(spacing_seconds) if isinstance(spacing_seconds, int) else spacing_seconds
+    times = rows.select(key, F.col(time).cast("long").alias("_t"), gap.cast("long").alias("_gap")).distinct()
+    asks = F.array(F.struct(F.col("_t").alias("x"), F.lit(1).cast("long").alias("counts")), F.struct((F.col("_t") + F.col("_gap")).alias("x"), F.lit(0).cast("long").alias("counts")))
+    both = times.select(key, "_t", F.explode(asks).alias("_a")).select(key, "_t", F.col("_a.x").alias("_x"), F.col("_a.counts").alias("_counts"))
+    placed = running_sums(both, key, ["_x", "_counts"], ["_counts"], [key, "_t", "_counts"], "thin-places")
+    rank, after = F.max(F.when(F.col("_counts") == 1, F.col("run__counts"))), F.max(F.when(F.col("_counts") == 0, F.col("run__counts") + 1))
+    links = placed.groupBy(key, "_t").agg(rank.alias("_at"), after.alias("_to")).withColumn("_block", F.floor((F.col("_at") - 1) / block))
+    links = materialise(links, "thin-links")
+
+    kind = rows.schema[key].dataType.simpleString()
+    entries = links.filter("_at = 1").select(key, "_at")
+    if not links.filter("_block > 0").isEmpty():
+        far = links.drop("_t").groupBy(key, "_block").applyInPandas(_left_block, f"{key} {kind}, _at long, _to long")
+        known = links.select(key, F.col("_at").alias("_to"))
+        while not (far := materialise(far.join(known, [key, "_to"], "left_semi"), "thin-far")).isEmpty():
+            entries = materialise(entries.unionByName(entries.join(far, [key, "_at"]).select(key, F.col("_to").alias("_at"))), "thin-entries")
+            far = far.join(far.select(key, F.col("_at").alias("_to"), F.col("_to").alias("_next")), [key, "_to"]).select(key, "_at", F.col("_next").alias("_to"))
+    flagged = links.join(entries.withColumn("_entry", F.lit(True)), [key, "_at"], "left").withColumn("_entry", F.coalesce("_entry", F.lit(False)))
+    kept = flagged.select(key, "_t", "_at", "_to", "_entry", "_block").groupBy(key, "_block").applyInPandas(_marked_block, f"{key} {kind}, _t long, _at long")
+    return kept.select(key, F.col("_t").alias(time))
 
 
 def fill_price(order: str, long: bool, price: Column) -> Column:

@@ -278,6 +278,10 @@ def _recursive(name: str, source: str, x: str, n: int, alpha: str, first: int =
 
 _IDX = f"WITH RECURSIVE {SQL_DAILY}, z AS (SELECT symbol, ts, bar_idx AS i, open, high, low, close, volume, lag(close) OVER ({S}) AS pc, lag(high) OVER ({S}) AS ph, lag(low) OVER ({S}) AS pl FROM bars)"
 
+SQL_ATR = f"""{_IDX}, t AS (SELECT symbol, i, CASE WHEN pc IS NULL THEN high - low ELSE greatest(high - low, abs(high - pc), abs(low - pc)) END AS tr FROM z),
+{_recursive('a14', 't', 'tr', 14, '1.0/14')},
+atr AS (SELECT z.symbol, z.ts, z.i AS bar_idx, z.high, z.low, z.close, a14.v / z.close * 100 AS atr_pct FROM z LEFT JOIN a14 USING (symbol, i))"""
+
 
 @query(
     f"""{_IDX}, {_recursive('e12', 'z', 'close', 12, '2.0/13')}, {_recursive('e26', 'z', 'close', 26, '2.0/27')},

@@ -24,4 +24,4 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-from quayline.plans import bars, crosssection, engine, feeds, indicators, joins, market_state, retrieval, rules, scores, statistics, structure, wording  # noqa: E402, F401
+from quayline.plans import bars, crosssection, engine, feeds, indicators, joins, market_state, retrieval, rules, scores, statistics, structure, studies, wording  # noqa: E402, F401

@@ -8,31 +8,13 @@ from pyspark.sql import functions as F
 from quayline.functions.numeric import rounded
 from quayline.operators import statistics as ops
 from quayline.operators import windows as w
-from quayline.operators.structure import thin
+from quayline.operators.bootstrap import bootstrap_difference, bootstrap_mean, sql_bootstrap
 from quayline.plans.registry import query
-from quayline.sources.market import SQL_DAILY, SQL_HOURLY, daily_bars, hourly_bars
+from quayline.sources.market import SQL_DAILY, SQL_HOURLY, SQL_TRADES, daily_bars, hourly_bars, trades
 from quayline.storage import table
 
 WITH = f"WITH {SQL_DAILY}"
 
-# trades: one order is a simulated trade, its result in R from the price's last digits
-SQL_TRADES = """trades AS (SELECT o_orderkey AS id, o_orderpriority AS strategy, o_orderdate AS entry, ((o_orderkey * 7919) % 401 - 180) / 100.0 AS result_r,
-  CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE (o_orderkey * 31) % 101 END AS confidence, CASE WHEN (o_orderkey * 7919) % 401 > 200 THEN 'target' WHEN (o_orderkey * 7919) % 401 < 150 THEN 'stop' ELSE 'timeout' END AS outcome FROM orders)"""
-
-
-def _trades(spark, sf_dir):
-    key = F.col("o_orderkey")
-    draw = (key * 7919) % 401
-    return table(spark, sf_dir, "orders").select(
-        key.alias("id"),
-        F.col("o_orderpriority").alias("strategy"),
-        F.col("o_orderdate").alias("entry"),
-        ((draw - 180) / 100.0).alias("result_r"),
-        F.when(key % 7 != 0, (key * 31) % 101).alias("confidence"),
-        F.when(draw > 200, "target").when(draw < 150, "stop").otherwise("timeout").alias("outcome"),
-    )
-
-
 @query(
     f"""WITH {SQL_TRADES}, e AS (SELECT *, sum(result_r::DOUBLE) OVER (PARTITION BY strategy ORDER BY entry, id) AS equity FROM trades),
 p AS (SELECT *, greatest(0, max(equity) OVER (PARTITION BY strategy ORDER BY entry, id)) AS peak FROM e)
@@ -45,7 +27,7 @@ FROM p GROUP BY strategy"""
 )
 def backtest_metrics(spark, sf_dir):
     """Metrics of each strategy's trades, with the drawdown of their running sum."""
-    return ops.trade_metrics(_trades(spark, sf_dir), "strategy", ("entry", "id"))
+    return ops.trade_metrics(trades(spark, sf_dir), "strategy", ("entry", "id"))
 
 
 @query(
@@ -56,39 +38,38 @@ def confidence_calibration(spark, sf_dir):
     """Expectancy of confident trades against the others; three of each are needed."""
     high, low = F.col("confidence") >= 65, F.col("confidence") < 65
     part = lambda t: F.when(F.count_if(t) >= 3, rounded(F.avg(F.when(t, F.col("result_r"))), 3))
-    return _trades(spark, sf_dir).agg(part(high).alias("high_confidence"), part(low).alias("low_confidence"))
+    return trades(spark, sf_dir).agg(part(high).alias("high_confidence"), part(low).alias("low_confidence"))
 
 
-@query()
+@query(
+    f"""WITH {SQL_TRADES}, samples AS (SELECT strategy AS g, 0 AS s, row_number() OVER (PARTITION BY strategy ORDER BY id) - 1 AS i, result_r AS v FROM trades),
+{sql_bootstrap(1000, 42, 10)}
+SELECT g AS strategy, n, mean, hit_rate, low, high FROM drawn"""
+)
 def bootstrap_ci(spark, sf_dir):
     """Deterministic bootstrap interval of each strategy's mean result."""
-    return ops.bootstrap_mean(_trades(spark, sf_dir), "strategy", "result_r", "id")
-
-
-@query()
-def funding_study(spark, sf_dir):
-    """Moves of five bars after extreme values, thinned over all symbols, against all moves: cells, intervals, which exclude zero.
-
-    The extremes of each side are thinned greedily, 36 hours apart, whatever their symbol; a cell is a
-    side and a symbol's rows are pooled.
-    """
-    series = Window.partitionBy("symbol").orderBy("ts")
-    back = series.rowsBetween(-59, 0)
-    h = hourly_bars(spark, sf_dir)
-    z = F.when(F.count("close").over(back) == 60, (F.col("close") - F.avg("close").over(back)) / F.nullif(F.stddev_samp("close").over(back), F.lit(0.0)))
-    x = h.select("symbol", "ts", z.alias("z"), ((F.lead("close", 5).over(series) - F.col("close")) / F.col("close") * 100).alias("move")).filter("z IS NOT NULL AND move IS NOT NULL")
-    x = x.withColumn("cell", F.when(F.col("z") > 1.5, "high").when(F.col("z") < -1.5, "low"))
-    kept = thin(x.filter("cell IS NOT NULL").select("cell", "ts"), "cell", "ts", 36 * 3600).select("cell", F.col("ts").alias("_at")).distinct()
-    hit = x.withColumn("_at", F.col("ts").cast("long")).join(F.broadcast(kept.withColumn("_hit", F.lit(True))), ["cell", "_at"], "left")
-    every = hit.withColumn("side", F.explode(F.array(F.lit("high"), F.lit("low"))))
-    found = ops.bootstrap_difference(every.withColumn("_o", F.concat(F.col("ts").cast("string"), "symbol")), "side", "move", "_o", (F.col("cell") == F.col("side")) & F.coalesce("_hit", F.lit(False)))
-    return found.withColumn("apart", (F.col("low") > 0) | (F.col("high") < 0))
-
-
-@query()
+    return bootstrap_mean(trades(spark, sf_dir), "strategy", "result_r", "id")
+
+
+@query(
+    f"""WITH {SQL_TRADES}, samples AS (SELECT outcome AS g, 0 AS s, row_number() OVER (PARTITION BY outcome ORDER BY id) - 1 AS i, result_r AS v FROM trades),
+{sql_bootstrap(2000, 20260801, 20)}
+SELECT g AS outcome, n, mean, hit_rate, low, high FROM drawn"""
+)
 def bootstrap_by_outcome(spark, sf_dir):
     """The same with 2,000 resamples for each outcome; twenty values are needed."""
-    return ops.bootstrap_mean(_trades(spark, sf_dir), "outcome", "result_r", "id", resamples=2000, seed=20260801, least=20)
+    return bootstrap_mean(trades(spark, sf_dir), "outcome", "result_r", "id", resamples=2000, seed=20260801, least=20)
+
+
+@query(
+    f"""WITH {SQL_TRADES}, samples AS (SELECT strategy AS g, s, row_number() OVER (PARTITION BY strategy, s ORDER BY id) - 1 AS i, result_r AS v
+  FROM (SELECT *, 1 AS s FROM trades UNION ALL SELECT *, 0 FROM trades WHERE confidence >= 65)),
+{sql_bootstrap(500, 20260801, 20)}
+SELECT g AS strategy, n, mean, hit_rate, low, high FROM drawn"""
+)
+def confidence_excess(spark, sf_dir):
+    """Confident trades' mean result less that of all trades of the strategy, with its two-sample interval."""
+    return bootstrap_difference(trades(spark, sf_dir), "strategy", "result_r", "id", F.coalesce(F.col("confidence") >= 65, F.lit(False)), resamples=500)
 
 
 @query(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quayline.operators import bars
@@ -48,6 +48,31 @@ def fundamentals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.join(s, "ticker")
 
 
+def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, strategy, entry, result_r, confidence, outcome: an order closes the trade that the customer's order before it opened.
+
+    The result is the log of the prices' ratio; the customer's balance is the confidence, unknown for pending orders.
+    """
+    own = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    o = table(spark, sf_dir, "orders").filter("o_totalprice > 0").withColumn("before", F.lag("o_totalprice").over(own)).filter("before IS NOT NULL")
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal")
+    r = F.log(F.col("o_totalprice") / F.col("before"))
+    return o.join(c, F.col("o_custkey") == F.col("c_custkey")).select(
+        F.col("o_orderkey").alias("id"),
+        F.col("o_orderpriority").alias("strategy"),
+        F.col("o_orderdate").alias("entry"),
+        r.alias("result_r"),
+        F.when(F.col("o_orderstatus") != "P", F.floor((F.col("c_acctbal") + 1000) / 110)).alias("confidence"),
+        F.when(r > 0.5, "target").when(r < -0.5, "stop").otherwise("timeout").alias("outcome"),
+    )
+
+
+SQL_TRADES = """
+turns AS (SELECT *, lag(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS before FROM orders WHERE o_totalprice > 0),
+trades AS (SELECT o_orderkey AS id, o_orderpriority AS strategy, o_orderdate AS entry, ln(o_totalprice / before) AS result_r, CASE WHEN o_orderstatus <> 'P' THEN floor((c_acctbal + 1000) / 110) END AS confidence,
+  CASE WHEN ln(o_totalprice / before) > 0.5 THEN 'target' WHEN ln(o_totalprice / before) < -0.5 THEN 'stop' ELSE 'timeout' END AS outcome
+  FROM turns JOIN customer ON o_custkey = c_custkey WHERE before IS NOT NULL)"""
+
 SQL_DAILY = """
 ticks AS (SELECT l_returnflag AS symbol, CAST(l_shipdate AS DATE) AS ts, l_extendedprice / l_quantity AS price, l_quantity AS volume,
                  l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice FROM lineitem),

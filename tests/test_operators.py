@@ -1,6 +1,5 @@
 """Hand-worked values of single operators."""
 
-import math
 from datetime import datetime, timedelta
 
 import numpy as np
@@ -56,26 +55,6 @@ def test_weekly_duplicate_keeps_the_heavier(spark):
     assert [r["close"] for r in bars.drop_weekly_duplicate(same).collect()] == [1.0]
 
 
-def test_lcg_jumps_equal_the_plain_walk():
-    s, want = 42, []
-    for _ in range(1000):
-        s = (s * 1664525 + 1013904223) % 2**32
-        want.append(s / 2**32)
-    assert statistics.lcg(42, 1000).tolist() == want
-
-
-def test_bootstrap_equals_the_plain_walk():
-    values, s, means = np.array([2.0, -1.0, -1.0, 2.0, 0.5, 1.0, -0.5, 3.0, -1.0, 0.25]), 42, []
-    for _ in range(1000):
-        total = 0.0
-        for _ in values:
-            s = (s * 1664525 + 1013904223) % 2**32
-            total += values[math.floor(s / 2**32 * len(values))]
-        means.append(total / len(values))
-    means.sort()
-    assert np.allclose(statistics.bootstrap(values), (means[25], means[975]))
-
-
 def test_metrics_of_four_trades(spark):
     rows = [("s", k, r, "target" if r > 0 else "stop") for k, r in enumerate([3.0, -1.0, -1.0, 2.0])]
     row = statistics.trade_metrics(spark.createDataFrame(rows, "strategy string, k int, result_r double, outcome string"), "strategy", ["k"]).first()
@@ -139,25 +118,6 @@ def test_thinning_is_greedy(spark):
     assert [g - got[0] for g in got] == [0, 100, 260]
 
 
-def test_difference_of_means_is_reproducible():
-    rng = np.random.default_rng(1)
-    a, b = rng.normal(1, 1, 30), rng.normal(0, 1, 50)
-    s, want = 20260801, []
-    for _ in range(200):
-        means = []
-        for x in (a, b):
-            total = 0.0
-            for _ in x:
-                s = (s * 1664525 + 1013904223) % 2**32
-                total += x[int(s / 2**32 * len(x))]
-            means.append(total / len(x))
-        want.append(means[0] - means[1])
-    want.sort()
-    got = statistics.difference(a, b, resamples=200)
-    assert np.allclose(got, (a.mean() - b.mean(), want[5], want[195]))
-    assert statistics.difference(a[:5], b) is None
-
-
 def test_curve_csv_becomes_rows(spark, tmp_path):
     from quayline.sources.files import read_curve, read_journal, read_quoted_csv
 
@@ -167,16 +127,3 @@ def test_curve_csv_becomes_rows(spark, tmp_path):
     assert [r["id"] for r in read_journal(spark, str(tmp_path / "j.jsonl")).collect()] == ["1", "2"]
     (tmp_path / "q.csv").write_text('a,b\n"x ""y""","two\nlines"\n')
     assert tuple(read_quoted_csv(spark, str(tmp_path / "q.csv"), "a string, b string").first()) == ('x "y"', "two\nlines")
-
-
-def test_dealt_resamples_equal_one_walk(spark):
-    rng = np.random.default_rng(4)
-    rows = [(g, k, float(x)) for g in "ab" for k, x in enumerate(rng.normal(size=60))]
-    df = spark.createDataFrame(rows, "g string, k int, v double")
-    for r in statistics.bootstrap_mean(df, "g", "v", "k", resamples=333).collect():
-        v = np.array([x for g, _, x in rows if g == r["g"]])
-        low, high = statistics.bootstrap(v, 333)
-        assert np.allclose((r["low"], r["high"]), (low, high), atol=1e-4)
-    for r in statistics.bootstrap_difference(df, "g", "v", "k", F.col("k") % 2 == 0, resamples=200).collect():
-        v = np.array([x for g, _, x in rows if g == r["g"]])
-        assert r["n"] == 30 and np.allclose((r["mean"], r["low"], r["high"]), statistics.difference(v[::2], v, 200), atol=1e-4)
