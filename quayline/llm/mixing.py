@@ -19,9 +19,9 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def hash60(key: Column) -> Column:
-    """The first 60 bits of the key's MD5; a null key hashes as the empty string."""
-    return F.conv(F.substring(F.md5(F.coalesce(key.cast("string"), F.lit(""))), 1, 15), 16, 10).cast("long")
+def hash60(key: Column, text: Column) -> Column:
+    """The first 60 bits of the MD5 of the key, or of the text where there is no key."""
+    return F.conv(F.substring(F.md5(F.coalesce(key.cast("string"), text, F.lit(""))), 1, 15), 16, 10).cast("long")
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[float], share: float, most: float) -> DataFrame:
@@ -66,12 +66,12 @@ def mix_sources(
     each pass after the first keeps one row in 4096.
 
     Null text counts no words and takes none; a null source is a source of its own, after all
-    others; a null id hashes as the empty string. Rows with one id share a hash and go in or out
-    together. Documents of no words, sources of no words and empty tables give zeros or no rows.
+    others; a row without an id is told by its text. Rows with one id, or without one and with one
+    text, share a hash and go in or out together. Documents of no words, sources of no words and empty tables give zeros or no rows.
     Other columns are ignored.
     """
     sized = materialise(
-        docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), hash60(F.col(id_col)).alias("_hash")),
+        docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), hash60(F.col(id_col), F.col(text_col)).alias("_hash")),
         "mix-sized",
     )
     targets = materialise(source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most), "mix-targets")
@@ -111,7 +111,7 @@ def mix_sources(
 
 ORACLE_SQL = r"""
 WITH sized AS (
-  SELECT doc_id, source, ('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15))::BIGINT AS h,
+  SELECT doc_id, source, ('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), text, '')), 1, 15))::BIGINT AS h,
          coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size
   FROM documents),
 sources AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),

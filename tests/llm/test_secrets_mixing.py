@@ -73,6 +73,12 @@ def test_mix_meets_targets(make, messy, spark):
     assert mixing.mix_sources(docs.limit(0)).count() == 0
 
 
+def test_mix_of_documents_without_ids_meets_targets(make):
+    docs = make([(None if k % 10 else k, f"text {k} " * (1 + k % 9), "en", f"s{k % 3}") for k in range(3000)])
+    taken = mixing.mix_sources(docs).groupBy("source_size", "target").sum("taken").collect()
+    assert len(taken) == 3 and all(abs(r["sum(taken)"] - r["target"]) <= 18 for r in taken)
+
+
 def test_mix_of_empty_texts_is_zero(make):
     rows = mixing.mix_sources(make([(1, "", "en", "a"), (2, None, "en", None)])).collect()
     assert sorted((r["doc_id"], r["size"], r["target"], r["taken"]) for r in rows) == [(1, 0, 0.0, 0), (2, 0, 0.0, 0)]
