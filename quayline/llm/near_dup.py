@@ -320,8 +320,8 @@ def _row_key(id_col: str, text_col: str):
     return F.xxhash64(F.col(id_col).cast("long"), F.col(text_col))
 
 
-def _classed(docs: DataFrame, id_col: str, text_col: str, weighted: bool) -> DataFrame:
-    """Every row as doc_id, row, worded, kept_id, kept_row: the row of its class that stays."""
+def _classed(docs: DataFrame, id_col: str, text_col: str, weighted: bool, counted: bool = False) -> DataFrame:
+    """Every row as doc_id, row, worded, kept_id, kept_row (the row of its class that stays) and n_links, if they are counted."""
     named = docs.select(F.col(id_col).cast("long").alias("doc_id"), _row_key(id_col, text_col).alias("row"), F.col(text_col).alias("text"))
     # ids pass through Python as text, so neither nulls nor large ids change
     signed = named.select(F.col("doc_id").cast("string").alias("id"), "row", "text").mapInPandas(_signed(weighted), "id string, row long, key binary, buckets array<long>")
@@ -343,22 +343,29 @@ def _classed(docs: DataFrame, id_col: str, text_col: str, weighted: bool) -> Dat
     more = materialise(_crowded_pairs(sets.join(_apart(large, roots), "node", "left_semi"), roots), "near-crowded")
     more = materialise(_checked(more, sets), "near-more")
     if not more.isEmpty():
-        roots = components(links.unionByName(more))
-    rooted = materialise(nodes.select("key", "node", "first").join(roots, "node", "left").select("key", "first", F.coalesce("root", "node").alias("root")), "near-rooted")
+        links = links.unionByName(more).distinct()
+        roots = components(links)
+    ends = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
+    at = roots.join(ends, "node", "left") if counted else roots.withColumn("n_links", F.lit(None).cast("long"))
+    rooted = nodes.select("key", "node", "first").join(at, "node", "left")
+    rooted = materialise(rooted.select("key", "first", F.coalesce("root", "node").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "near-rooted")
     kept = rooted.groupBy("root").agg(F.min("first").alias("kept"))
-    classes = rooted.join(kept, "root").select("key", F.col("kept.doc_id").alias("kept_id"), F.col("kept.row").alias("kept_row"))
+    classes = rooted.join(kept, "root").select("key", F.col("kept.doc_id").alias("kept_id"), F.col("kept.row").alias("kept_row"), "n_links")
     rows = rows.select("doc_id", "row", "key")
-    worded = rows.filter(F.col("key").isNotNull()).join(classes, "key").select("doc_id", "row", F.lit(True).alias("worded"), "kept_id", "kept_row")
-    return worded.unionByName(rows.filter(F.col("key").isNull()).select("doc_id", "row", F.lit(False).alias("worded"), F.col("doc_id").alias("kept_id"), F.col("row").alias("kept_row")))
+    worded = rows.filter(F.col("key").isNotNull()).join(classes, "key").select("doc_id", "row", F.lit(True).alias("worded"), "kept_id", "kept_row", "n_links")
+    alone = rows.filter(F.col("key").isNull()).select("doc_id", "row", F.lit(False).alias("worded"), F.col("doc_id").alias("kept_id"), F.col("row").alias("kept_row"), F.lit(0).cast("long").alias("n_links"))
+    return worded.unionByName(alone)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", weighted: bool = True) -> DataFrame:
-    """Class of every document: doc_id, class_id.
+    """Class of every document and its links: doc_id, class_id, n_links.
 
     Texts of the same words form one node. Nodes whose DartMinHash signatures share a band are
     candidates; those whose five-word shingles, weighted by their occurrences, have a Jaccard
     similarity of 0.8 or more are linked, and classes are the connected components. class_id is the
-    smallest doc_id of the class. Without ``weighted`` signature and check go by distinct shingles.
+    smallest doc_id of the class; n_links counts the different texts to which a verified link leads.
+    All links that classes rest on are among them; of the pairs of one large bucket only those with
+    its heads and those that join components are verified, so there the count is of these. Without ``weighted`` signature and check go by distinct shingles.
 
     Copies are never expanded into pairs. A bucket of thousands of similar texts gives a number of
     pairs in proportion to its members, against the most central members of the bucket and of its
@@ -371,7 +378,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     of its text (a class of null ids alone has a null class_id); empty tables give no rows. Other
     columns are ignored.
     """
-    return _classed(docs, id_col, text_col, weighted).select("doc_id", F.col("kept_id").alias("class_id"))
+    return _classed(docs, id_col, text_col, weighted, counted=True).select("doc_id", F.col("kept_id").alias("class_id"), "n_links")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", weighted: bool = True) -> DataFrame:

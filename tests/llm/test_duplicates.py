@@ -52,8 +52,13 @@ def test_classes_equal_brute_force(make, messy):
             for _ in range(rng.randint(0, 4)):
                 changed[rng.randrange(len(changed))] = f"edit{rng.randint(0, 9999)}"
             rows.append((10_000 + 100 * g + c, " ".join(changed), "en", "a"))
-    got = {r["doc_id"]: r["class_id"] for r in near_dup.near_duplicates(make(rows)).collect()}
+    found = near_dup.near_duplicates(make(rows)).collect()
+    got = {r["doc_id"]: r["class_id"] for r in found}
     assert got == brute_classes([r[:2] for r in rows])
+    texts = {i: t for i, t, *_ in rows}
+    for r in found:  # links lead to other texts of the class
+        others = {texts[i] for i, c in got.items() if c == r["class_id"]} - {texts[r["doc_id"]]}
+        assert min(1, len(others)) <= r["n_links"] <= len(others)
     out = near_dup.near_duplicates(messy).collect()
     assert len(out) == messy.count() and {r["class_id"] for r in out if r["doc_id"] in (2, 3, 4)} == {2, 3, 4}
     assert near_dup.near_duplicates(make([])).count() == 0
