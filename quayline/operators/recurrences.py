@@ -1,97 +1,173 @@
-"""Indicators whose value depends on the value before: one grouped pass gives all of them.
+"""Indicators whose value depends on the value before: affine maps, scanned inside blocks of a symbol's bars and then over its blocks.
 
-A group is one symbol's bars, which the calendar bounds (a century of days is 25,000 rows).
+A smoothed value is a factor times the value before plus a summand, so a block of bars is such a map
+too. Tasks hold one block of one symbol; one row a block and series carries on to the next.
 """
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from quayline.operators import windows as w
+from quayline.storage import materialise
 
 NAMES = ("ema12", "ema26", "macd", "signal", "histogram", "rsi14", "stoch_rsi_k", "stoch_rsi_d", "atr14", "atr_pct", "keltner_upper", "keltner_lower", "adx14", "plus_di", "minus_di")
+BLOCK = 1 << 14  # bars of a symbol that one task scans
+_WIDTH = 64
+#: name: input, values in the seed, weight of the newest value, first bar with an input
+FIRST = {
+    "_e12": ("close", 12, 2 / 13, 0),
+    "_e26": ("close", 26, 2 / 27, 0),
+    "_e20": ("close", 20, 2 / 21, 0),
+    "_gain": ("_up", 14, 1 / 14, 1),
+    "_loss": ("_down", 14, 1 / 14, 1),
+    "_atr14": ("_range", 14, 1 / 14, 0),
+    "_atr10": ("_range", 10, 1 / 10, 0),
+    "_plus": ("_plus_move", 14, 1 / 14, 1),
+    "_minus": ("_minus_move", 14, 1 / 14, 1),
+    "_wide": ("_moved_range", 14, 1 / 14, 1),
+}
+SECOND = {"_signal": ("_macd", 9, 2 / 10, 25), "_adx": ("_dx", 14, 1 / 14, "_dx_from")}
+
+
+def affine_scan(b: np.ndarray, a: float) -> np.ndarray:
+    """v[k] = a v[k-1] + b[k] from 0: rows of WIDTH values at once, then their ends in the same way."""
+    n = len(b)
+    if n <= _WIDTH:
+        k = np.arange(n)
+        return np.tril(a ** np.maximum(k[:, None] - k, 0)) @ b
+    rows = np.zeros(-(-n // _WIDTH) * _WIDTH)
+    rows[:n] = b
+    rows = rows.reshape(-1, _WIDTH)
+    k = np.arange(_WIDTH)
+    local = rows @ np.tril(a ** np.maximum(k[:, None] - k, 0)).T
+    carry = np.append(0.0, affine_scan(local[:, -1], a**_WIDTH)[:-1])
+    return (local + carry[:, None] * a ** (k + 1)).ravel()[:n]
+
+
+def smooth_map(x: np.ndarray, n: int, alpha: float, first: float, start: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Factors and summands that give the smoothed values of bars ``start`` on from the value before them.
+
+    The mean of the n values from bar ``first`` on seeds the smoothing: until it is complete a value is the
+    sum so far over n. What is missing inside stays missing from there on.
+    """
+    at = np.arange(start, start + len(x))
+    lost = np.logical_or.accumulate(np.isnan(x) & (at >= first))
+    x = np.where(np.isnan(x), 0.0, x)
+    seeding = at <= first + n - 1
+    m = int(seeding.sum())
+    factor, summand = np.ones(len(x)), np.cumsum(np.where(seeding & (at >= first), x / n, 0.0))
+    if m < len(x):
+        rest = 1 - alpha
+        factor[m:] = rest ** np.arange(1, len(x) - m + 1)
+        summand[m:] = affine_scan(alpha * x[m:], rest) + factor[m:] * (summand[m - 1] if m else 0.0)
+    summand[lost] = np.nan
+    return factor, summand
 
 
 def smooth(x: np.ndarray, n: int, alpha: float) -> np.ndarray:
-    """Exponential smoothing of the defined part of x, seeded by the mean of its first n values."""
-    out = np.full(len(x), np.nan)
+    """Exponential smoothing of one whole array from its first value on, seeded by the mean of n."""
     there = np.flatnonzero(~np.isnan(x))
-    if len(there) < n:
-        return out
-    at = there[0] + n - 1
-    value = out[at] = x[there[0] : at + 1].mean()
-    for k in range(at + 1, len(x)):
-        value = out[k] = value + alpha * (x[k] - value)
-    return out
-
-
-def ema(x: np.ndarray, n: int) -> np.ndarray:
-    return smooth(x, n, 2 / (n + 1))
-
-
-def wilder(x: np.ndarray, n: int) -> np.ndarray:
-    return smooth(x, n, 1 / n)
-
-
-def true_range(high: np.ndarray, low: np.ndarray, close: np.ndarray) -> np.ndarray:
-    out = high - low
-    out[1:] = np.maximum(out[1:], np.maximum(np.abs(high[1:] - close[:-1]), np.abs(low[1:] - close[:-1])))
+    first = there[0] if len(there) else np.inf
+    _, out = smooth_map(x, n, alpha, first)
+    out[: int(min(len(x), first + n - 1))] = np.nan
     return out
 
 
-def rsi(close: np.ndarray, n: int = 14) -> np.ndarray:
-    move = np.append(np.nan, np.diff(close))
-    up, down = wilder(np.where(np.isnan(move), np.nan, np.maximum(move, 0)), n), wilder(np.where(np.isnan(move), np.nan, np.maximum(-move, 0)), n)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        return np.where(np.isnan(down), np.nan, np.where(down == 0, 100.0, 100 - 100 / (1 + up / down)))
-
-
-def stoch_rsi(values: np.ndarray, n: int = 14, k: int = 3, d: int = 3) -> tuple[np.ndarray, np.ndarray]:
-    """Place of the RSI in its range of n values, smoothed twice; a flat range counts as 50."""
-    s = pd.Series(values)
-    high, low = s.rolling(n).max(), s.rolling(n).min()
-    raw = pd.Series(np.where(high.isna(), np.nan, np.where(high == low, 50.0, (s - low) / (high - low).replace(0, np.nan) * 100)))
-    first = raw.rolling(k).mean()
-    return first.to_numpy(), first.rolling(d).mean().to_numpy()
-
-
-def directional(high: np.ndarray, low: np.ndarray, close: np.ndarray, n: int = 14) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """ADX, +DI, -DI; null where the smoothed range is 0, and wholly below 2n bars."""
-    none = np.full(len(close), np.nan)
-    if len(close) < 2 * n:
-        return none, none, none
-    up, down = np.append(np.nan, np.diff(high)), np.append(np.nan, -np.diff(low))
-    plus = np.where((up > down) & (up > 0), up, 0.0)
-    minus = np.where((down > up) & (down > 0), down, 0.0)
-    tr = true_range(high, low, close)
-    for x in (plus, minus, tr):
-        x[0] = np.nan
-    p, m, t = wilder(plus, n), wilder(minus, n), wilder(tr, n)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        pdi, mdi = np.where(t != 0, 100 * p / t, np.nan), np.where(t != 0, 100 * m / t, np.nan)
-        dx = np.where(np.isnan(pdi), np.nan, np.where(pdi + mdi == 0, 0.0, 100 * np.abs(pdi - mdi) / (pdi + mdi)))
-    return wilder(dx, n), pdi, mdi
-
-
-def _all(bars: pd.DataFrame) -> pd.DataFrame:
-    bars = bars.sort_values("ts").reset_index(drop=True)
-    high, low, close = (bars[c].to_numpy(dtype=float) for c in ("high", "low", "close"))
-    fast, slow = ema(close, 12), ema(close, 26)
-    macd = fast - slow
-    signal = ema(macd, 9)
-    tr = true_range(high.copy(), low, close)
-    atr, band, mid = wilder(tr, 14), wilder(tr, 10), ema(close, 20)
-    strength = rsi(close)
-    k, d = stoch_rsi(strength)
-    adx, pdi, mdi = directional(high, low, close)
-    values = (fast, slow, macd, signal, macd - signal, strength, k, d, atr, atr / close * 100, mid + 1.5 * band, mid - 1.5 * band, adx, pdi, mdi)
-    return bars.assign(**dict(zip(NAMES, values, strict=True)))
-
-
-def indicators(bars: DataFrame) -> DataFrame:
+def _maps(part: pd.DataFrame, series: Mapping[str, tuple]) -> pd.DataFrame:
+    """One block's bars with the maps of every series."""
+    part = part.sort_values("_idx")
+    start, out = int(part["_idx"].iloc[0]), {}
+    for name, (source, n, alpha, first) in series.items():
+        since = part[first].iloc[0] if isinstance(first, str) else first
+        since = np.inf if pd.isna(since) else float(since)
+        out[f"{name}_a"], out[f"{name}_b"] = smooth_map(part[source].to_numpy(dtype=float), n, alpha, since, start)
+    return part.assign(**out)
+
+
+def _over_blocks(part: pd.DataFrame, series: Mapping[str, tuple]) -> pd.DataFrame:
+    """What every block but the first starts from: the maps of the blocks before, one after the other."""
+    part = part.sort_values("_block").iloc[:-1]
+    out = {"_key": part["_key"], "_block": part["_block"] + 1}
+    for name in series:
+        value, values = 0.0, []
+        for a, b in zip(part[f"{name}_a"], part[f"{name}_b"]):
+            value = a * value + b
+            values.append(value)
+        out[f"{name}_in"] = values
+    return pd.DataFrame(out)
+
+
+def smoothed(rows: DataFrame, series: Mapping[str, tuple], label: str) -> DataFrame:
+    """rows (with _key, _idx, _block) and the smoothed value of every series, null until its seed is complete."""
+    doubles = [f"{n}_{x}" for n in series for x in "ab"]
+    schema = T.StructType([*rows.schema.fields, *(T.StructField(c, T.DoubleType()) for c in doubles)])
+    mapped = materialise(rows.groupBy("_key", "_block").applyInPandas(lambda part: _maps(part, series), schema), label)
+    begins = {n: F.lit(0.0) for n in series}
+    whole = mapped
+    if not mapped.filter("_block > 0").isEmpty():
+        ends = mapped.groupBy("_key", "_block").agg(*[F.max_by(c, "_idx").alias(c) for c in doubles])
+        kind = ", ".join(["_key string, _block long", *(f"{n}_in double" for n in series)])
+        whole = mapped.join(ends.groupBy("_key").applyInPandas(lambda part: _over_blocks(part, series), kind), ["_key", "_block"], "left")
+        begins = {n: F.coalesce(f"{n}_in", F.lit(0.0)) for n in series}
+    value = lambda n, first, size: F.when(F.col("_idx") >= (F.col(first) if isinstance(first, str) else F.lit(first)) + size - 1, F.col(f"{n}_a") * begins[n] + F.col(f"{n}_b"))
+    found = {n: value(n, first, size) for n, (_, size, _, first) in series.items()}
+    return whole.select(*rows.columns, *[F.when(~F.isnan(v), v).alias(n) for n, v in found.items()])
+
+
+def _directional_moves() -> dict[str, Column]:
+    up, down = F.col("high") - F.col("_ph"), F.col("_pl") - F.col("low")
+    moved = F.col("_pc").isNotNull()
+    return {
+        "_up": F.greatest(F.col("close") - F.col("_pc"), F.lit(0.0)),
+        "_down": F.greatest(F.col("_pc") - F.col("close"), F.lit(0.0)),
+        "_range": w.true_range(),
+        "_plus_move": F.when(moved, F.when((up > down) & (up > 0), up).otherwise(0.0)),
+        "_minus_move": F.when(moved, F.when((down > up) & (down > 0), down).otherwise(0.0)),
+        "_moved_range": F.when(moved, w.true_range()),
+    }
+
+
+def indicators(bars: DataFrame, block: int = BLOCK) -> DataFrame:
     """bars with the columns NAMES, null until each look-back is full."""
-    from pyspark.sql import functions as F
-
-    kind = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in bars.schema] + [f"{n} double" for n in NAMES])
-    out = bars.groupBy("symbol").applyInPandas(_all, kind)
-    return out.withColumns({n: F.when(~F.isnan(n), F.col(n)) for n in NAMES})
+    series = w.series()
+    key = F.to_json(F.struct("symbol")).alias("_key")  # a symbol that is null has bars too
+    placed = bars.select("*", key, (F.row_number().over(series) - 1).cast("long").alias("_idx"), F.count(F.lit(1)).over(Window.partitionBy("symbol")).alias("_bars"), *[F.lag(c).over(series).alias(f"_p{c[0]}") for c in ("close", "high", "low")])
+    placed = placed.withColumns(_directional_moves()).withColumn("_block", F.floor(F.col("_idx") / block).cast("long")).drop("_pc", "_ph", "_pl")
+    x = smoothed(placed, FIRST, "recurrences-first").drop(*{s[0] for s in FIRST.values() if s[0] != "close"})
+
+    ratio = lambda a, b: F.when(b != 0, 100 * a / b)
+    pdi, mdi = F.col("_pdi"), F.col("_mdi")
+    x = x.withColumns({"_macd": F.col("_e12") - F.col("_e26"), "_pdi": ratio(F.col("_plus"), F.col("_wide")), "_mdi": ratio(F.col("_minus"), F.col("_wide"))})
+    x = x.withColumn("_dx", F.when(pdi + mdi == 0, 0.0).otherwise(100 * F.abs(pdi - mdi) / (pdi + mdi)))
+    x = x.withColumn("_dx_from", F.min(F.when(F.col("_dx").isNotNull(), F.col("_idx"))).over(Window.partitionBy("symbol")))
+    x = smoothed(x, SECOND, "recurrences-second")
+
+    rsi = F.when(F.col("_loss") == 0, 100.0).otherwise(100 - 100 / (1 + F.col("_gain") / F.col("_loss")))
+    x = x.withColumn("rsi14", rsi)
+    high, low = F.max("rsi14").over(w.back(14)), F.min("rsi14").over(w.back(14))
+    x = x.withColumn("_raw", w.full(F.when(high == low, 50.0).otherwise((F.col("rsi14") - low) / (high - low) * 100), "rsi14", 14))
+    x = x.withColumn("stoch_rsi_k", w.sma("_raw", 3)).withColumn("stoch_rsi_d", w.sma("stoch_rsi_k", 3))
+    enough = F.col("_bars") >= 28
+    values = {
+        "ema12": F.col("_e12"),
+        "ema26": F.col("_e26"),
+        "macd": F.col("_macd"),
+        "signal": F.col("_signal"),
+        "histogram": F.col("_macd") - F.col("_signal"),
+        "atr14": F.col("_atr14"),
+        "atr_pct": F.col("_atr14") / F.col("close") * 100,
+        "keltner_upper": F.col("_e20") + 1.5 * F.col("_atr10"),
+        "keltner_lower": F.col("_e20") - 1.5 * F.col("_atr10"),
+        "adx14": F.when(enough, F.col("_adx")),
+        "plus_di": F.when(enough, pdi),
+        "minus_di": F.when(enough, mdi),
+    }
+    x = x.withColumns(values)
+    return x.select(*bars.columns, *NAMES)

@@ -16,24 +16,71 @@ def series(spark, closes, spread=1.0, volume=1000.0):
     return spark.createDataFrame(rows, "symbol string, ts timestamp, open double, high double, low double, close double, volume double")
 
 
-def test_ema_is_seeded_by_the_mean():
-    out = recurrences.ema(np.arange(1.0, 6.0), 3)
+def test_smoothing_is_seeded_by_the_mean():
+    out = recurrences.smooth(np.arange(1.0, 6.0), 3, 0.5)
     assert np.isnan(out[:2]).all() and out[2:].tolist() == [2, 3, 4]
-
-
-def test_rsi_extremes():
-    assert recurrences.rsi(np.arange(1.0, 40.0))[-1] == 100
-    assert recurrences.rsi(np.arange(40.0, 1.0, -1))[-1] == 0
-
-
-def test_atr_of_even_bars():
-    high, low, close = np.full(30, 11.0), np.full(30, 9.0), np.full(30, 10.0)
-    assert recurrences.wilder(recurrences.true_range(high, low, close), 14)[-1] == 2
-
-
-def test_flat_stochastic_rsi_is_fifty():
-    k, d = recurrences.stoch_rsi(np.full(40, 60.0))
-    assert k[-1] == d[-1] == 50
+    assert np.isnan(recurrences.smooth(np.array([np.nan, 1.0]), 3, 0.5)).all()
+
+
+def plain_indicators(high, low, close):
+    """One bar after the other."""
+
+    def smooth(x, n, alpha):
+        out = [None] * len(x)
+        there = [k for k, v in enumerate(x) if v is not None]
+        if len(there) >= n:
+            at = there[0] + n - 1
+            out[at] = sum(x[there[0] : at + 1]) / n
+            for k in range(at + 1, len(x)):
+                out[k] = out[k - 1] + alpha * (x[k] - out[k - 1])
+        return out
+
+    n = len(close)
+    on = lambda f: [None] + [f(k) for k in range(1, n)]
+    less = lambda a, b: [None if p is None or q is None else p - q for p, q in zip(a, b)]
+    tr = [high[0] - low[0]] + [max(high[k] - low[k], abs(high[k] - close[k - 1]), abs(low[k] - close[k - 1])) for k in range(1, n)]
+    up, down = on(lambda k: high[k] - high[k - 1]), on(lambda k: low[k - 1] - low[k])
+    plus, minus = on(lambda k: up[k] if up[k] > down[k] and up[k] > 0 else 0.0), on(lambda k: down[k] if down[k] > up[k] and down[k] > 0 else 0.0)
+    p, m, t = (smooth(x, 14, 1 / 14) for x in (plus, minus, [None] + tr[1:]))
+    pdi, mdi = ([None if not b else 100 * a / b for a, b in zip(x, t)] for x in (p, m))
+    dx = [None if a is None else 0.0 if a + b == 0 else 100 * abs(a - b) / (a + b) for a, b in zip(pdi, mdi)]
+    gain, loss = smooth(on(lambda k: max(close[k] - close[k - 1], 0)), 14, 1 / 14), smooth(on(lambda k: max(close[k - 1] - close[k], 0)), 14, 1 / 14)
+    fast, slow = smooth(close, 12, 2 / 13), smooth(close, 26, 2 / 27)
+    macd = less(fast, slow)
+    rsi = [None if b is None else 100.0 if b == 0 else 100 - 100 / (1 + a / b) for a, b in zip(gain, loss)]
+    raw = [None if k < 27 or None in rsi[k - 13 : k + 1] else 50.0 if max(rsi[k - 13 : k + 1]) == min(rsi[k - 13 : k + 1]) else (rsi[k] - min(rsi[k - 13 : k + 1])) / (max(rsi[k - 13 : k + 1]) - min(rsi[k - 13 : k + 1])) * 100 for k in range(n)]
+    mean3 = lambda x: [None if k < 2 or None in x[k - 2 : k + 1] else sum(x[k - 2 : k + 1]) / 3 for k in range(n)]
+    none = [None] * n
+    k3 = mean3(raw)
+    return {
+        "ema12": fast, "ema26": slow, "macd": macd, "signal": smooth(macd, 9, 0.2), "rsi14": rsi, "stoch_rsi_k": k3, "stoch_rsi_d": mean3(k3), "atr14": smooth(tr, 14, 1 / 14),
+        "adx14": smooth(dx, 14, 1 / 14) if n >= 28 else none, "plus_di": pdi if n >= 28 else none, "minus_di": mdi if n >= 28 else none,
+    }
+
+
+@pytest.mark.parametrize("block", [recurrences.BLOCK, 64, 7])
+def test_recurrences_equal_a_plain_walk(spark, block):
+    rng, rows, want = np.random.default_rng(6), [], {}
+    for name, n in (("walk", 700), ("few", 20), (None, 40), ("flat", 60), ("late", 90)):
+        moves = rng.normal(size=n) * (0 if name == "flat" else 1) * (np.arange(n) > 35 if name == "late" else 1)
+        close = 100 + np.cumsum(moves)
+        spread = 0 if name in ("flat", "late") else 1
+        high, low = close + spread * rng.random(n), close - spread * rng.random(n)
+        day = datetime(2026, 1, 1)
+        rows += [(name, day + timedelta(days=k), float(close[k]), float(high[k]), float(low[k]), float(close[k]), 1.0) for k in range(n)]
+        want[name] = plain_indicators(high.tolist(), low.tolist(), close.tolist())
+    bars_ = spark.createDataFrame(rows, "symbol string, ts timestamp, open double, high double, low double, close double, volume double")
+    got = recurrences.indicators(bars_, block=block).orderBy("ts").toPandas()
+    for name, values in want.items():
+        one = got[got["symbol"].isna() if name is None else got["symbol"] == name]
+        for c, v in values.items():
+            np.testing.assert_allclose(one[c].to_numpy(dtype=float), np.array(v, dtype=float), rtol=1e-9, atol=1e-9, err_msg=f"{name} {c}")
+
+
+def test_extremes_of_recurrences(spark):
+    up, down, even = (recurrences.indicators(series(spark, x, spread)).orderBy("ts").toPandas().iloc[-1] for x, spread in ((np.arange(1.0, 41.0).tolist(), 1.0), (np.arange(40.0, 0.0, -1).tolist(), 1.0), ([10.0] * 41, 2.0)))
+    assert up["rsi14"] == 100 and down["rsi14"] == 0
+    assert even["atr14"] == pytest.approx(2) and even["stoch_rsi_k"] == even["stoch_rsi_d"] == 50
 
 
 def test_rounding_is_half_up_on_the_binary_product(spark):
