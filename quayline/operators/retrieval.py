@@ -10,16 +10,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quayline.functions import numeric, text as texts
+from quayline.operators.markup import trimmed
 
 
 def paragraphs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Blank-line separated paragraphs with 1-based line numbers: id, start_line, end_line, content."""
     lines = docs.select(id_col, F.posexplode(F.split(text_col, "\n")).alias("no", "line"))
     order = Window.partitionBy(id_col).orderBy("no")
-    blank = F.trim("line") == ""
+    blank = trimmed(F.col("line")) == ""
     grouped = lines.withColumn("grp", F.sum(blank.cast("int")).over(order)).filter(~blank)
     out = grouped.groupBy(id_col, "grp").agg(F.min("no").alias("a"), F.max("no").alias("b"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("no", "line"))), lambda s: s["line"]), "\n").alias("content"))
-    return out.select(id_col, (F.col("a") + 1).alias("start_line"), (F.col("b") + 1).alias("end_line"), F.trim("content").alias("content"))
+    return out.select(id_col, (F.col("a") + 1).alias("start_line"), (F.col("b") + 1).alias("end_line"), trimmed(F.col("content")).alias("content"))
 
 
 def chunks(docs: DataFrame, id_col: str, text_col: str, tokens: int = 400, overlap: int = 80) -> DataFrame:

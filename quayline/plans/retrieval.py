@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quayline.functions import numeric, text as texts
 from quayline.functions.numeric import rounded
 from quayline.operators import retrieval as ops
+from quayline.operators.markup import html_to_markdown as html_to_markdown_
 from quayline.plans.registry import query
 from quayline.storage import table
 
@@ -129,8 +130,8 @@ def page_facts(spark, sf_dir):
 
 @query()
 def html_to_markdown(spark, sf_dir):
-    """Pages as Markdown-like text."""
-    return table(spark, sf_dir, "pages").select("page_id", texts.html_to_text("html").alias("markdown"))
+    """Pages as Markdown, with their titles."""
+    return html_to_markdown_(table(spark, sf_dir, "pages"), "html").select("page_id", "title", "markdown")
 
 
 @query("SELECT doc_id, CASE WHEN len(t) > 700 THEN substr(t, 1, 700) || '...' ELSE t END AS snippet, ceil(length(text) / 3.5)::BIGINT AS tokens FROM (SELECT doc_id, text, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM documents)")

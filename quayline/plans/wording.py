@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quayline.functions import text as tx
 from quayline.functions.numeric import rounded
+from quayline.operators import markup
 from quayline.plans.registry import query
 from quayline.storage import table
 
@@ -134,15 +135,17 @@ def augmented_queries(spark, sf_dir):
     return x.select("conv_id", "turn", F.when(F.col("text").contains("is:"), F.col("text")).otherwise(F.concat("text", F.lit(" -is:repeat"))).alias("asked"))
 
 
-_MD = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(m, '!\[[^\]]*\]\([^)]*\)', '', 'g'), '\[([^\]]+)\]\([^)]*\)', '\1', 'g'), '(?m)^#{1,6}\s+', '', 'g'), '(?m)^\s*[-*+]\s+', '', 'g'), '[*_`]+', '', 'g')"""
-
-
-@query(rf"""WITH x AS (SELECT doc_id, '## Head' || chr(10) || '- *one* [link](http://a.b/c) ![pic](d.png)' || chr(10) || left(text, 300) AS m FROM documents WHERE text IS NOT NULL) SELECT doc_id, md5({_MD}) AS plain FROM x""")
+@query(
+    r"""WITH x AS (SELECT doc_id, '## Head' || chr(10) || '- *one* [link](http://a.b/c) ![pic](d.png)' || chr(10) || '```py' || chr(10) || 'snake_case = 1' || chr(10) || '```' || chr(10) || '2. `code`' || chr(10) || text AS m FROM documents WHERE text IS NOT NULL),
+a AS (SELECT doc_id, string_split(regexp_replace(regexp_replace(regexp_replace(regexp_replace(m, '!\[[^\]]*\]\([^)]+\)', '', 'g'), '\[([^\]]+)\]\([^)]+\)', '\1', 'g'), '```[^\n]*\n?', '', 'g'), '`([^`]+)`', '\1', 'g'), chr(10)) AS lines FROM x),
+b AS (SELECT doc_id, array_to_string(list_transform(lines, lambda l: regexp_replace(regexp_replace(regexp_replace(l, '^#{1,6}\s+', ''), '^\s*[-*+]\s+', ''), '^\s*[0-9]+\.\s+', '')), chr(10)) AS t FROM a)
+SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(t, chr(13), ''), '[ \t]+\n', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '[ \t]{2,}', ' ', 'g'), '^\s+|\s+$', '', 'g')) AS plain FROM b"""
+)
 def markdown_to_text(spark, sf_dir):
-    """Markdown without pictures, links, heading and list marks, emphasis."""
-    m = F.concat(F.lit("## Head\n- *one* [link](http://a.b/c) ![pic](d.png)\n"), F.substring("text", 1, 300))
-    x = table(spark, sf_dir, "documents").filter("text IS NOT NULL")
-    return x.select("doc_id", F.md5(tx.markdown_plain(m).cast("binary")).alias("plain"))
+    """Whole texts under some Markdown, as plain text."""
+    m = F.concat(F.lit("## Head\n- *one* [link](http://a.b/c) ![pic](d.png)\n```py\nsnake_case = 1\n```\n2. `code`\n"), "text")
+    x = table(spark, sf_dir, "documents").filter("text IS NOT NULL").select("doc_id", m.alias("m"))
+    return markup.markdown_to_text(x, "m").select("doc_id", F.md5(F.col("plain").cast("binary")).alias("plain"))
 
 
 @query("SELECT doc_id, md5(left(text, 500)) AS head, length(text) > 500 AS truncated FROM documents WHERE text IS NOT NULL")
