@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 
 from quayline.functions.numeric import rounded
 from quayline.operators import market_state as state
+from quayline.operators.joins import asof_excluding_forming
 from quayline.operators.market_state import Thresholds
+from quayline.operators.slices import slice_reads
 
 
 @dataclass(frozen=True)
@@ -67,27 +69,48 @@ def with_read_states(reads: DataFrame, t: Thresholds | None = None) -> DataFrame
     return x.withColumn("signals", signals(t))
 
 
+#: fixed values: what a read says, in this order; {} is the number it rests on
+SIGNALS = {
+    "golden": "EMA50 above EMA200 — long-term regime is constructive",
+    "death": "EMA50 below EMA200 — long-term regime is defensive",
+    "no trend": "ADX {} — no trend; trend-following entries are low-quality here",
+    "rising": "Higher highs and higher lows — intact uptrend structure",
+    "falling": "Lower highs and lower lows — intact downtrend structure",
+    "oversold": "RSI {} — oversold",
+    "overbought": "RSI {} — overbought",
+    "cross": "MACD histogram crossed {} on the last bar",
+    "squeeze": "Volatility compressed (Bollinger inside Keltner) — expansion pending, direction unresolved",
+    "released": "Squeeze just released — the expansion is starting now",
+    "volume": "Volume {}x its 20-bar average — participation confirms the move",
+    "no volume": "Volume {}x average — move lacks participation",
+    "divergence": "{} RSI divergence",
+    "top": "Price at the top of its 20-bar range — breakout or rejection zone",
+    "bottom": "Price at the bottom of its 20-bar range — breakdown or reversal zone",
+}
+
+
 def signals(t: Thresholds) -> Column:
-    """What the read says, one name for each observation."""
-    said = [
-        (F.col("ma_regime") == "golden", "averages constructive"),
-        (F.col("ma_regime") == "death", "averages defensive"),
-        (F.col("adx") < t.adx_direction, "no trend"),
-        (F.col("structure") == "HH-HL", "uptrend structure"),
-        (F.col("structure") == "LH-LL", "downtrend structure"),
-        (F.col("rsi_state") == "oversold", "oversold"),
-        (F.col("rsi_state") == "overbought", "overbought"),
-        (F.col("macd_cross") == "bullish", "momentum crossed up"),
-        (F.col("macd_cross") == "bearish", "momentum crossed down"),
-        (F.col("squeeze"), "compressed"),
-        (F.col("squeeze_released"), "compression released"),
-        (rounded("relative_volume", 2) > 1.5, "volume confirms"),
-        (rounded("relative_volume", 2) < 0.6, "volume lacking"),
-        (F.col("range_position") > 0.95, "top of range"),
-        (F.col("range_position") < 0.05, "bottom of range"),
+    """What the read says: one text for each observation that holds, divergences before the range."""
+    number = lambda c, digits: F.regexp_replace(rounded(c, digits).cast("string"), r"\.0$", "")
+    adx, rsi, volume, place = number("adx", 1), number("rsi", 1), rounded("relative_volume", 2), F.col("range_position")
+    none = F.lit("")
+    before = [
+        (F.col("ma_regime") == "golden", "golden", none),
+        (F.col("ma_regime") == "death", "death", none),
+        (F.col("adx") < t.adx_direction, "no trend", adx),
+        (F.col("structure") == "HH-HL", "rising", none),
+        (F.col("structure") == "LH-LL", "falling", none),
+        (F.col("rsi_state") == "oversold", "oversold", rsi),
+        (F.col("rsi_state") == "overbought", "overbought", rsi),
+        (F.col("macd_cross").isin("bullish", "bearish"), "cross", F.col("macd_cross")),
+        (F.col("squeeze"), "squeeze", none),
+        (F.col("squeeze_released"), "released", none),
+        (volume > 1.5, "volume", number("relative_volume", 2)),
+        (volume < 0.6, "no volume", number("relative_volume", 2)),
     ]
-    named = F.array_compact(F.array(*[F.when(test, name) for test, name in said]))
-    return F.concat(named, F.transform("divergences", lambda d: F.concat(d, F.lit(" divergence"))))
+    after = [(place > 0.95, "top", none), (place < 0.05, "bottom", none)]
+    said = lambda tests: F.array_compact(F.array(*[F.when(test, F.replace(F.lit(SIGNALS[name]), F.lit("{}"), value)) for test, name, value in tests]))
+    return F.concat(said(before), F.transform("divergences", lambda d: F.replace(F.lit(SIGNALS["divergence"]), F.lit("{}"), d)), said(after))
 
 
 def choose(t: Thresholds | None = None) -> Column:
@@ -227,6 +250,39 @@ def plans(reads: DataFrame, h: Horizon, t: Thresholds | None = None, unit: Colum
     return x.withColumns(confidence(h)).drop("trend_direction", "trend_source", "entry_histogram", "entry_rsi_state")
 
 
+def framed_reads(entry: DataFrame, structure: DataFrame, trend: DataFrame, t: Thresholds | None = None) -> DataFrame:
+    """symbol, ts, and the reads entry, structure and trend that are known at every entry bar, as structs.
+
+    The higher frames' reads are those of their last bar that is surely closed: of the bars that
+    began before the entry bar the newest may still be forming. Bars without a read in one of the
+    frames are left out. Each frame is read once and joined on (symbol, position).
+    """
+    read = lambda bars, name: with_read_states(slice_reads(bars), t).select("symbol", "bar_idx", "ts", F.struct("*").alias(name))
+    out = read(entry, "entry").drop("bar_idx")
+    for name, bars in (("structure", structure), ("trend", trend)):
+        closed = asof_excluding_forming(entry, bars, idx="_at").filter("_at IS NOT NULL")
+        known = read(bars, name).select(F.col("symbol").alias("_symbol"), F.col("bar_idx").alias("_idx"), name)
+        found = closed.join(known, F.col("symbol").eqNullSafe(F.col("_symbol")) & (F.col("_at") == F.col("_idx"))).select(F.col("symbol").alias("_symbol"), F.col("ts").alias("_ts"), name)
+        out = out.join(found, F.col("symbol").eqNullSafe(F.col("_symbol")) & (F.col("ts") == F.col("_ts"))).drop("_symbol", "_ts")
+    return out
+
+
+def framed_plans(reads: DataFrame, h: Horizon, t: Thresholds | None = None, forced: str | None = None, unit: Column | None = None) -> DataFrame:
+    """Plans of ``framed_reads``: the trend frame gives the bias (unless ``forced``), the structure frame strategy and levels, the entry frame the confirmation.
+
+    Returns symbol, ts, structure's columns, bias, strategy, timing, side, the levels and the points. A plan
+    whose reward lies below the horizon's least carries ``poor_reward``; one that a forced bias sets against
+    the trend ``against_trend``.
+    """
+    lean = F.when(F.col("trend.direction") == "down", "short").otherwise("long")
+    own = [F.col(f"structure.{f.name}") for f in reads.schema["structure"].dataType if f.name not in ("symbol", "ts")]
+    high = {"trend_direction": "trend.direction", "trend_source": "trend.direction_source", "entry_histogram": "entry.histogram", "entry_rsi_state": "entry.rsi_state", "structure_ts": "structure.ts", "trend_ts": "trend.ts"}
+    x = reads.select("symbol", "ts", (F.lit(forced) if forced else lean).alias("bias"), lean.alias("lean"), *[F.col(c).alias(k) for k, c in high.items()], *own)
+    x = x.withColumn("_c", choose(t)).select("*", "_c.*").drop("_c")
+    x = with_levels(x, h, unit).withColumns(confidence(h, F.lit(forced is not None)))
+    return x.withColumns({"poor_reward": F.coalesce(F.col("reward_risk") < h.least_reward, F.lit(False)), "against_trend": F.col("bias") != F.col("lean")}).drop("lean")
+
+
 def iv_to_atr(iv: Column, price: Column, bars_per_year: float, atrs: Column, ivs: Column, prices: Column) -> Column:
     """An annualised implied volatility in units of the ATR, scaled by the trailing means; null below sixty values."""
     sigma = lambda v, p: v / 100 / F.sqrt(F.lit(float(bars_per_year))) * p

@@ -9,6 +9,7 @@ from quayline.functions.numeric import rounded
 from quayline.operators import bars as bar_ops
 from quayline.operators import recurrences, setups, slices
 from quayline.operators import windows as w
+from quayline.operators.bootstrap import bootstrap_mean
 from quayline.plans.market_state import _STATE
 from quayline.plans.registry import query
 from quayline.sources.market import SQL_DAILY, daily_bars
@@ -186,15 +187,48 @@ def walk_forward_trades(spark, sf_dir):
 
 @query()
 def walk_forward_report(spark, sf_dir):
-    """Trades, expectancy and win rate of each horizon and strategy, marked where the mean is two errors from zero."""
+    """Trades, expectancy, its interval and the win rate of each horizon and strategy, marked where the interval leaves out zero."""
     x = None
     for h in ("swing", "medium"):
         one = _trades(spark, sf_dir, h)
         x = one if x is None else x.unionByName(one)
-    n, mean, sd = F.count(F.lit(1)), F.avg("result_r"), F.stddev_samp("result_r")
-    x = x.groupBy("horizon", "strategy").agg(n.alias("trades"), rounded(mean).alias("expectancy_r"), rounded(F.avg((F.col("result_r") > 0).cast("double")) * 100, 1).alias("win_rate"), (1.96 * sd / F.sqrt(n)).alias("_e"))
-    mark = F.when(F.col("expectancy_r") > F.col("_e"), "*").when(F.col("expectancy_r") < -F.col("_e"), "!").otherwise("")
-    return x.withColumn("mark", mark).drop("_e")
+    x = x.withColumns({"_cell": F.concat_ws("|", "horizon", "strategy"), "_order": F.struct("entry_ts", "symbol")})
+    plain = x.groupBy("_cell", "horizon", "strategy").agg(F.count(F.lit(1)).alias("trades"), rounded(F.avg("result_r")).alias("expectancy_r"))
+    drawn = bootstrap_mean(x, "_cell", "result_r", "_order").select("_cell", F.col("hit_rate").alias("win_rate"), "low", "high")
+    mark = F.when(F.col("low") > 0, "*").when(F.col("high") < 0, "!").otherwise("")
+    return plain.join(drawn, "_cell").drop("_cell").withColumn("mark", mark)
+
+
+def _frames(spark, sf_dir):
+    """Daily bars as entry frame, weekly and monthly ones as structure and trend."""
+    d = daily_bars(spark, sf_dir)
+    fold = lambda unit: bar_ops.fold(d.withColumn("_unit", F.date_trunc(unit, "ts")), ["symbol", "_unit"]).drop("_unit")
+    return d, fold("week"), fold("month")
+
+
+_FRAME = lambda unit: f"SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS k FROM (SELECT symbol, min(ts) AS ts, last(close ORDER BY ts) AS close, max(high) AS high FROM daily GROUP BY symbol, date_trunc('{unit}', ts))"
+
+
+@query(
+    f"""WITH {SQL_DAILY}, wk AS ({_FRAME('week')}), mo AS ({_FRAME('month')}),
+a AS (SELECT d.symbol, d.ts, d.close, d.bar_idx, (SELECT count(*) FROM wk WHERE wk.symbol = d.symbol AND wk.ts < d.ts) - 2 AS kw, (SELECT count(*) FROM mo WHERE mo.symbol = d.symbol AND mo.ts < d.ts) - 2 AS km FROM bars d)
+SELECT a.symbol, a.ts, {_r('a.close')} AS entry_price, wk.ts AS structure_ts, {_r('wk.close')} AS structure_price, mo.ts AS trend_ts, {_r('mo.close')} AS trend_price, least(kw + 1, 260) AS structure_bars, least(km + 1, 260) AS trend_bars
+FROM a JOIN wk ON wk.symbol = a.symbol AND wk.k = kw JOIN mo ON mo.symbol = a.symbol AND mo.k = km WHERE bar_idx >= 29 AND kw >= 29 AND km >= 29"""
+)
+def plan_frames(spark, sf_dir):
+    """The closed weekly and monthly read that each day's plan rests on."""
+    x = setups.framed_reads(*_frames(spark, sf_dir))
+    return x.select(
+        "symbol", "ts", rounded("entry.price").alias("entry_price"), F.col("structure.ts").alias("structure_ts"), rounded("structure.price").alias("structure_price"),
+        F.col("trend.ts").alias("trend_ts"), rounded("trend.price").alias("trend_price"), F.col("structure.bars").cast("long").alias("structure_bars"), F.col("trend.bars").cast("long").alias("trend_bars"),
+    )
+
+
+@query()
+def framed_plans(spark, sf_dir):
+    """Every day's plan on the long horizon: monthly bias, weekly structure, daily trigger."""
+    x = setups.framed_plans(setups.framed_reads(*_frames(spark, sf_dir)), setups.HORIZONS["long"])
+    return x.select("symbol", "ts", "trend_ts", "structure_ts", "bias", "side", "strategy", "timing", "entry", "zone_low", "zone_high", "stop", "targets", "reward_risk", "poor_reward", "confidence", "signals")
 
 
 @query(

@@ -56,3 +56,43 @@ def test_reads_of_blocks_equal_reads_of_single_slices(series):
             if c not in ("bar_idx",):
                 assert r[c] == alone[c] or r[c] == pytest.approx(alone[c], rel=1e-9), c
     assert set(got) == {30, 100, 259, 260, 400, 599}
+
+
+def test_plans_rest_on_closed_bars_of_their_own_frames(series):
+    from quayline.operators.bars import resample
+
+    frames = {"structure": resample(series, 4), "trend": resample(series, 15)}
+    reads = setups.framed_reads(series, frames["structure"], frames["trend"]).cache()
+    plans = {(r["symbol"], r["ts"]): r for r in setups.framed_plans(reads, setups.HORIZONS["medium"]).collect()}
+    begun, known = {}, {}
+    for name, bars in frames.items():
+        for r in bars.orderBy("symbol", "ts").collect():
+            begun.setdefault((name, r["symbol"]), []).append(r["ts"])
+        for r in setups.with_read_states(slices.slice_reads(bars)).collect():
+            known[name, r["symbol"], r["ts"]] = r
+    own = {(r["symbol"], r["ts"]): r for r in setups.with_read_states(slices.slice_reads(series)).collect()}
+    met = 0
+    for key, entry in own.items():
+        at = {n: [t for t in begun[n, key[0]] if t < key[1]][-2:-1] for n in frames}
+        higher = {n: known.get((n, key[0], at[n][0])) if at[n] else None for n in frames}
+        assert (key in plans) == all(higher.values())
+        if key in plans:
+            p, met = plans[key], met + 1
+            assert (p["structure_ts"], p["trend_ts"]) == (at["structure"][0], at["trend"][0])
+            assert p["price"] == higher["structure"]["price"] and p["regime"] == higher["structure"]["regime"]
+            assert p["bias"] == ("short" if higher["trend"]["direction"] == "down" else "long") and not p["against_trend"]
+            up = p["side"] == "long"
+            turned = (entry["histogram"] > 0) == up if round(entry["histogram"], 4) else False
+            assert p["points_confirmation"] == (5 if turned or entry["rsi_state"] == ("oversold" if up else "overbought") else 0)
+    assert met > 300
+    forced = setups.framed_plans(reads, setups.HORIZONS["medium"], forced="short").filter("against_trend")
+    assert forced.count() and forced.filter("side = 'short' AND entry IS NOT NULL AND points_forced <> -15").count() == forced.filter("side = 'short' AND entry IS NOT NULL AND trend_direction = 'down'").count()
+
+
+def test_signals_come_in_order(series):
+    x = setups.with_read_states(slices.slice_reads(series))
+    names = list(setups.SIGNALS.values())
+    place = lambda s: next(k for k, n in enumerate(names) if all(part in s for part in n.split("{}")))
+    said = [r["signals"] for r in x.select("signals").collect()]
+    assert all([place(s) for s in row] == sorted(place(s) for s in row) for row in said)
+    assert any("RSI divergence" in s for row in said for s in row) and any(s.startswith("ADX ") and s[4].isdigit() for row in said for s in row)
