@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from quayline.functions import numeric, text as texts
 from quayline.functions.numeric import rounded
+from quayline.operators import chunk_index
 from quayline.operators import retrieval as ops
 from quayline.operators.markup import html_to_markdown as html_to_markdown_
 from quayline.plans.registry import query
-from quayline.storage import table
+from quayline.storage import new_path, table
 
 
 def _r(x: str, d: int = 4) -> str:
@@ -212,3 +213,18 @@ def head_truncation(spark, sf_dir):
     l = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("no", "line"))
     c = l.withColumn("bytes", F.sum(F.octet_length("line") + 1).over(Window.partitionBy("doc_id").orderBy("no")))
     return c.filter("no < 20 AND bytes <= 2000").groupBy("doc_id").agg(F.count(F.lit(1)).alias("lines"), F.max("bytes").alias("bytes"))
+
+
+@query(
+    """WITH c AS (SELECT doc_id, array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda l: trim(l)), lambda l: l <> ''), chr(10) || chr(10)) AS content FROM documents)
+SELECT sha256(content) AS content_hash, lpad(max(doc_id)::VARCHAR, 12, '0') AS file FROM c WHERE content <> '' GROUP BY 1"""
+)
+def indexed_chunks(spark, sf_dir):
+    """The index after a second sync, in which two thirds of the files have changed and some are gone: each hash and the last file that holds it."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id"), F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("file"), F.regexp_replace("text", "\n", "\n\n").alias("text"))
+    before = docs.withColumn("text", F.when(F.col("doc_id") % 3 == 0, F.col("text")).otherwise(F.concat(F.lit("old "), F.col("text"))))
+    before = before.unionByName(docs.withColumn("file", F.concat(F.lit("gone "), F.col("file"))))
+    path = new_path(spark, "chunk-index")
+    chunk_index.sync(before.select("file", "text"), path, tokens=10**8)
+    chunk_index.sync(docs.select("file", "text"), path, tokens=10**8)
+    return chunk_index.load(spark, path).select("content_hash", "file")
