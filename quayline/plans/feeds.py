@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quayline.functions.numeric import rounded
 from quayline.plans.registry import query
 from quayline.sources.market import hourly_bars
+from quayline.sources.feeds import rss_items
 from quayline.storage import table
 
 
@@ -179,3 +180,17 @@ def token_totals(spark, sf_dir):
     """Running token estimate of each chat."""
     x = table(spark, sf_dir, "conversations").filter("text IS NOT NULL")
     return x.select("conv_id", "turn", F.sum(F.ceil(F.length("text") / 3.5)).over(Window.partitionBy("conv_id").orderBy("turn")).alias("tokens"))
+
+
+@query(
+    """WITH r AS (SELECT *, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS place FROM supplier)
+SELECT n_name AS feed, place::INT AS place, 'suppliers' AS source, s_name || ' & Co' AS title, '2026-01-05' AS date, 'http://s/' || s_suppkey AS url, left('key ' || s_suppkey || ' of ' || n_name, 200) AS summary
+FROM r JOIN nation ON n_nationkey = s_nationkey WHERE place < 10"""
+)
+def rss_feed(spark, sf_dir):
+    """An RSS response a nation, read again: its first ten items, entities resolved and tags gone."""
+    item = F.concat(F.lit("<item><title>"), "s_name", F.lit(" &amp;amp; Co</title><link>http://s/"), F.col("s_suppkey").cast("string"), F.lit("</link><pubDate>2026-01-05</pubDate><description>&lt;i&gt;key&lt;/i&gt; "), F.col("s_suppkey").cast("string"), F.lit(" of "), "n_name", F.lit("</description></item>"))
+    rows = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("n_nationkey") == F.col("s_nationkey")).withColumn("item", item)
+    listed = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("s_suppkey", "item"))), lambda x: x["item"]), "")
+    responses = rows.groupBy(F.col("n_name").alias("feed")).agg(F.concat(F.lit("<rss><channel><title>t</title>"), listed, F.lit("</channel></rss>")).alias("body"))
+    return rss_items(responses, "suppliers")

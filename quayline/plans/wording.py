@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quayline.functions import text as tx
 from quayline.functions.numeric import rounded
-from quayline.operators import markup
+from quayline.operators import diffs, markup
 from quayline.plans.registry import query
 from quayline.storage import table
 
@@ -251,3 +251,16 @@ def packed_context(spark, sf_dir):
     start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<struct<turn:bigint,held:boolean>>").alias("out")).cast(kind)
     packed = x.select("conv_id", F.explode(F.aggregate("notes", start, step, lambda a: a["out"])).alias("p"))
     return packed.select("conv_id", "p.turn", "p.held")
+
+
+@query(
+    """WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, len(list_filter(lines, lambda l, k: k % 3 = 0)) AS removed, 1 AS added FROM l"""
+)
+def line_diffs(spark, sf_dir):
+    """Every text against itself without each third line and with one more: lines removed and added."""
+    lines = F.split("text", "\n")
+    fewer = F.filter(lines, lambda _, k: (k + 1) % 3 != 0)
+    docs = table(spark, sf_dir, "documents").filter("text IS NOT NULL")
+    pairs = docs.select("doc_id", F.concat("text", F.lit("\n")).alias("old"), F.concat(F.array_join(fewer, "\n"), F.lit("\n\u2603 one more\n")).alias("new"))
+    return diffs.line_diffs(pairs, "doc_id", "old", "new").select("doc_id", F.col("removed").cast("long").alias("removed"), F.col("added").cast("long").alias("added"))
