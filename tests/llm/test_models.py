@@ -139,7 +139,7 @@ def test_licence_scan_equals_brute_force(licence_docs):
     import re
 
     model = licenses.fit_licences(licence_docs)
-    memo = licenses._Tokens()
+    memo, number = licenses._Tokens(), {int(g): k for k, g in enumerate(model.vocabulary)}
 
     def judge(tokens):
         codes = [memo[w] for w in tokens]
@@ -148,20 +148,17 @@ def test_licence_scan_equals_brute_force(licence_docs):
             pair = (codes[k - 1] * 0x9E3779B97F4A7C15 ^ c if k else c * 0xD1B54A32D192ED03) % 2**64
             for x in (c, pair):
                 x = (x ^ x >> 31) * 0xBF58476D1CE4E5B9 % 2**64
-                grams.append((x >> 40) % licenses.DIM)
-        z = (sum(model.weights[g].astype(float) for g in grams) / len(grams) ** 0.5 + model.bias) / model.temperature
+                grams.append(x >> 24)
+        z = (sum((model.weights[number[g]].astype(float) for g in grams if g in number), np.zeros(len(model.bias))) / len(grams) ** 0.5 + model.bias) / model.temperature
         p = np.exp(z - z.max())
         p /= p.sum()
         likely = (1 - p[0]) / (1 - p[0] + licenses.PRIOR * p[0])
-        top = 1 + int(p[1:].argmax())
-        share = model.containment(licenses.CLASSES[top], np.array(grams))
-        every = max(model.containment(f, np.array(grams)) for f in licenses.TEMPLATES)
-        if p[0] >= 0.5:
-            return None, 0
-        if licenses.CLASSES[top] != "unknown" and p[top] >= 0.5 and share >= licenses.CONFIRM:
-            return licenses.CLASSES[top], share
-        share = share if licenses.CLASSES[top] == "unknown" else every
-        return ("unknown", share) if share >= licenses.LIKE and likely >= 0.5 else (None, 0)
+        if p[0] >= 0.5 or len(codes) < 2:
+            return []
+        able = {f: x for f, x in zip(licenses.CLASSES[1:], p[1:]) if x >= licenses.ALSO and f != "unknown"}
+        held = {f: max(len(set(grams) & t) / len(t) for t in ts) for f, ts in model.templates.items()}
+        stands = [(f, held[f]) for f in able if held[f] >= licenses.CONFIRM or (sum(able.values()) >= licenses.SURE and likely >= 0.5)]
+        return stands or ([("unknown", max(held.values()))] if likely >= 0.5 else [])
 
     want = set()
     for r in licence_docs.collect():
@@ -170,20 +167,65 @@ def test_licence_scan_equals_brute_force(licence_docs):
             for m in [*licenses.TOKEN.finditer(paragraph), None]:
                 if m is None or m.group() in ".!?":
                     lines = [x for x in sentence if x]
-                    whole = judge(sum(lines, [])) if len(lines) > 1 else (None, 0)
-                    sure = whole[0] not in (None, "unknown")
-                    found |= {whole[0]} | {f for f, share in map(judge, lines) if not sure or share >= licenses.ALONE}
+                    whole = judge(sum(lines, [])) if len(lines) > 1 else []
+                    sure = any(f != "unknown" for f, _ in whole)
+                    found |= {f for f, _ in whole} | {f for line in lines for f, share in judge(line) if not sure or share >= licenses.ALONE}
                     sentence = [[]]
                 elif m.group() == "\n":
                     sentence.append([])
                 else:
                     sentence[-1].append(m.group())
-            found.discard(None)
             want |= {(r["doc_id"], no, f) for f in (found - {"unknown"} or found)}
     got = {(r["doc_id"], r["paragraph"], r["family"]) for r in licenses.scan_licences(licence_docs, model).collect()}
     assert got == want and len(want) >= 11
 
 
+NOTICES = {
+    "This code is MIT licensed, see LICENSE.": {"mit"},
+    "SPDX-License-Identifier: Apache-2.0": {"apache-2.0"},
+    "Dual-licensed under MIT and Apache 2.0": {"mit", "apache-2.0"},
+    'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED': {"mit"},
+    'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES ARE DISCLAIMED': {"bsd"},
+    "Distributed under the Boost Software License, Version 1.0.": {"boost"},
+    "Dieses Projekt ist unter der MIT-Lizenz lizenziert.": {"mit"},
+    "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file": {"bsd", "unknown"},
+}
+
+
+def test_notices_that_the_list_does_not_hold(licence_docs, make):
+    model = licenses.fit_licences(licence_docs)
+    rows = make([(k, t, "en", "a") for k, t in enumerate(NOTICES)] + [(99, "Mit. Free software for all. " + prose(77, 60), "de", "a")])
+    got = {}
+    for r in licenses.scan_licences(rows, model).collect():
+        got.setdefault(r["doc_id"], set()).add(r["family"])
+    assert set(got) == set(range(len(NOTICES)))
+    assert all(got[k] <= want for k, want in enumerate(NOTICES.values()))
+    assert got[2] == NOTICES["Dual-licensed under MIT and Apache 2.0"]
+
+
+def test_what_is_no_licence_is_counted_over_all_texts(licence_docs):
+    model = licenses.fit_licences(licence_docs)
+    counts = licenses.corpus_counts(licence_docs, model.vocabulary)
+    words, lengths, memo = Counter(), Counter(), licenses._Tokens()
+    for r in licence_docs.collect():
+        for line in r["text"].split("\n"):
+            sentence = []
+            for t in [*licenses.TOKEN.findall(line), "."]:
+                if t in ".!?":
+                    if sentence:
+                        lengths[min(len(sentence), licenses.LENGTHS)] += 1
+                    words.update(memo[w] for w in sentence)
+                    sentence = []
+                else:
+                    sentence.append(t)
+    number = {int(g): k for k, g in enumerate(model.vocabulary)}
+    want = np.zeros(len(number) + 1)
+    for c, n in words.items():
+        want[number.get(((c ^ c >> 31) * 0xBF58476D1CE4E5B9 % 2**64) >> 24, -1)] += n
+    np.testing.assert_allclose(counts["word"], want / want.sum())
+    np.testing.assert_allclose(counts["length"], np.array([lengths[k] for k in range(licenses.LENGTHS + 1)]) / lengths.total())
+
+
 def words(text):
     return (text or "").encode().lower().split()
 
