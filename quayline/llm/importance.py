@@ -151,7 +151,9 @@ def resample(
     tables give no rows. Other columns are ignored.
     """
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    gained = bucket_gains(bucket_totals(texts, run, buckets), bucket_totals(target.select(F.col(text_col).alias("text")), run, buckets), buckets).toPandas()
+    own = materialise(bucket_totals(texts, run, buckets), "importance-source")  # read twice below: the texts are counted once
+    aim = materialise(bucket_totals(target.select(F.col(text_col).alias("text")), run, buckets), "importance-target")
+    gained = bucket_gains(own, aim, buckets).toPandas()
     gains = np.zeros(buckets, np.int64)
     gains[gained["bucket"].to_numpy()] = gained["gain"].to_numpy()
 
