@@ -34,8 +34,8 @@ def scaled_number(c: Column | str) -> Column:
     parts = [(1e12, "T"), (1e9, "B"), (1e6, "M"), (1e3, "K")]
     out = F.when(x.isNull() | F.isnan(x), F.lit("-"))
     for size, mark in parts:
-        out = out.when(F.abs(x) >= size, F.format_string("%.1f" + mark, x / size))
-    return out.otherwise(F.format_string("%.1f", x))
+        out = out.when(F.abs(x) >= size, F.format_string("%.1f" + mark, rounded(x / size, 1)))
+    return out.otherwise(F.format_string("%.1f", rounded(x, 1)))
 
 
 def token_estimate(text: Column | str) -> Column:

@@ -63,11 +63,6 @@ def chunks(docs: DataFrame, id_col: str, text_col: str, tokens: int = 400, overl
     return out.withColumn("content_hash", F.sha2("content", 256))
 
 
-def last_writer(rows: DataFrame, key: str, order: Column) -> DataFrame:
-    """One row a key: that of the last writer."""
-    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(order.desc()))).filter("_n = 1").drop("_n")
-
-
 def vector_scores(items: DataFrame, query_vector: list[float], vector_col: str = "embedding") -> DataFrame:
     """items with ``vector_score``, their cosine with one query vector."""
     q = F.array(*[F.lit(float(x)) for x in query_vector])

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from quayline.functions import numeric
 from quayline.functions import text as tx
 from quayline.functions.numeric import rounded
 from quayline.operators import diffs, markup
@@ -29,13 +30,10 @@ def number_formats(spark, sf_dir):
     """Numbers with K, M, B and T, percents and prices; a dash for none."""
     v = F.when(F.col("o_orderkey") % 11 != 0, F.col("o_totalprice") * F.pow(F.lit(10.0), F.col("o_orderkey") % 9 - 3))
     x = table(spark, sf_dir, "orders").select("o_orderkey", v.alias("v"))
-    scaled = F.when(F.col("v").isNull(), "-")
-    for size, mark in ((1e12, "T"), (1e9, "B"), (1e6, "M"), (1e3, "K")):
-        scaled = scaled.when(F.abs("v") >= size, F.format_string("%.1f" + mark, rounded(F.col("v") / size, 1)))
     some = lambda c: F.when(F.col("v").isNull(), "-").otherwise(c)
     return x.select(
         "o_orderkey",
-        scaled.otherwise(F.format_string("%.1f", rounded("v", 1))).alias("scaled"),
+        numeric.scaled_number("v").alias("scaled"),
         some(F.format_string("%.1f%%", rounded(F.col("v") / 1000, 1))).alias("percent"),
         some(F.concat(F.lit("$"), F.format_string("%.2f", rounded("v", 2)))).alias("price"),
     )
@@ -202,12 +200,11 @@ def fuzzy_find(spark, sf_dir):
     return x.select("doc_id", F.instr(folded, "and").cast("long").alias("place"), F.col("text").startswith("﻿").alias("marked"), F.col("text").contains("\r\n").alias("crlf"))
 
 
-@query("SELECT conv_id, turn, len(list_distinct(list_filter(string_split_regex(regexp_replace(lower(text), '[^a-z0-9_ ]', ' ', 'g'), ' +'), lambda w: length(w) > 2))) AS words FROM conversations WHERE text IS NOT NULL")
+@query("SELECT conv_id, turn, len(list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9_]+'), lambda w: length(w) > 2))) AS words FROM conversations WHERE text IS NOT NULL")
 def long_word_sets(spark, sf_dir):
     """Distinct words of more than two characters of each turn."""
-    split = F.split(F.regexp_replace(F.lower("text"), "[^a-z0-9_ ]", " "), " +")
     x = table(spark, sf_dir, "conversations").filter("text IS NOT NULL")
-    return x.select("conv_id", "turn", F.size(F.array_distinct(F.filter(split, lambda w: F.length(w) > 2))).cast("long").alias("words"))
+    return x.select("conv_id", "turn", F.size(tx.long_words("text")).cast("long").alias("words"))
 
 
 @query(
