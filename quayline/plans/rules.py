@@ -137,10 +137,13 @@ def dividend_safety(spark, sf_dir):
     return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("ticker"), safety.alias("safety"))
 
 
-@query("""WITH e AS (SELECT o_custkey AS ticker, CAST(o_orderdate AS DATE) AS day FROM orders WHERE o_orderpriority = '1-URGENT'), m AS (SELECT DISTINCT CAST(ts AS DATE) AS day FROM events), x AS (SELECT DISTINCT e.ticker, e.day FROM e WHERE EXISTS (SELECT 1 FROM e f WHERE f.ticker = e.ticker AND f.day <> e.day AND abs(date_diff('day', e.day, f.day)) <= 2))
-SELECT ticker, day FROM x""")
+@query("""WITH e AS (SELECT DISTINCT o_custkey AS ticker, CAST(o_orderdate AS DATE) AS day FROM orders), t AS (SELECT CAST(o_orderdate AS DATE) AS day, sum(o_totalprice) AS total FROM orders GROUP BY 1),
+m AS (SELECT day FROM t QUALIFY row_number() OVER (PARTITION BY date_trunc('month', day) ORDER BY total DESC, day) = 1)
+SELECT ticker, day FROM e WHERE EXISTS (SELECT 1 FROM m WHERE abs(date_diff('day', e.day, m.day)) <= 2)""")
 def event_collisions(spark, sf_dir):
-    """Dates of a ticker within two days of another of its dates; the range is unrolled to day keys."""
-    e = table(spark, sf_dir, "orders").filter("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("ticker"), F.to_date("o_orderdate").alias("day")).distinct()
-    near = e.select("ticker", F.explode(F.array(*[F.date_add("day", d) for d in (-2, -1, 1, 2)])).alias("day")).distinct()
-    return e.join(near, ["ticker", "day"], "left_semi")
+    """Dates of a ticker within two days of the market's calendar, which holds each month's busiest day; the range is unrolled to day keys."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("ticker"), F.to_date("o_orderdate").alias("day"), "o_totalprice")
+    month = Window.partitionBy(F.trunc("day", "month")).orderBy(F.desc("total"), "day")
+    calendar = o.groupBy("day").agg(F.sum("o_totalprice").alias("total")).withColumn("n", F.row_number().over(month)).filter("n = 1")
+    near = calendar.select(F.explode(F.array(*[F.date_add("day", d) for d in range(-2, 3)])).alias("day")).distinct()
+    return o.select("ticker", "day").distinct().join(near, "day", "left_semi").select("ticker", "day")

@@ -122,9 +122,17 @@ def ipo_scores(spark, sf_dir):
     return ranked.filter("rank <= 5")
 
 
-@query("SELECT c_custkey, 1 + c_custkey % 5 + 1 + c_nationkey % 5 + CASE WHEN c_acctbal < 0 THEN 5 WHEN c_acctbal < 2500 THEN 3 ELSE 1 END + CASE WHEN c_acctbal > 7500 THEN 1 ELSE 4 END AS risk FROM customer")
+@query(
+    """WITH o AS (SELECT o_custkey, count(*) AS n, count(*) FILTER (o_orderpriority = '1-URGENT') AS urgent, max(o_totalprice) / sum(o_totalprice) AS top FROM orders GROUP BY o_custkey)
+SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 5 WHEN c_acctbal < 2500 THEN 3 ELSE 1 END + CASE WHEN coalesce(n, 0) < 5 THEN 5 WHEN n < 12 THEN 3 ELSE 1 END
+  + CASE WHEN urgent > 0.4 * n THEN 5 WHEN urgent > 0.2 * n THEN 3 ELSE 1 END + CASE WHEN top > 0.3 THEN 5 WHEN top > 0.15 THEN 3 ELSE 1 END AS risk FROM customer LEFT JOIN o ON o_custkey = c_custkey"""
+)
 def risk_matrix(spark, sf_dir):
-    """Four ratings from one to five, summed."""
-    balance = F.col("c_acctbal")
-    risk = 1 + F.col("c_custkey") % 5 + 1 + F.col("c_nationkey") % 5 + F.when(balance < 0, 5).when(balance < 2500, 3).otherwise(1) + F.when(balance > 7500, 1).otherwise(4)
-    return table(spark, sf_dir, "customer").select("c_custkey", risk.alias("risk"))
+    """Four ratings from one to five, summed: balance, activity, urgency and concentration."""
+    total = F.sum("o_totalprice")
+    o = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("o_orderpriority") == "1-URGENT").alias("urgent"), (F.max("o_totalprice") / total).alias("top"))
+    c = table(spark, sf_dir, "customer").join(o, F.col("c_custkey") == F.col("o_custkey"), "left")
+    rating = lambda worst, middle: F.when(worst, 5).when(middle, 3).otherwise(1)
+    n, urgent, top, balance = F.col("n"), F.col("urgent"), F.col("top"), F.col("c_acctbal")
+    risk = rating(balance < 0, balance < 2500) + rating(F.coalesce(n, F.lit(0)) < 5, n < 12) + rating(urgent > 0.4 * n, urgent > 0.2 * n) + rating(top > 0.3, top > 0.15)
+    return c.select("c_custkey", risk.alias("risk"))
