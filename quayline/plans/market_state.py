@@ -9,9 +9,9 @@ from quayline.functions.numeric import rounded
 from quayline.operators import bars as bar_ops
 from quayline.operators import market_state as ops
 from quayline.operators import recurrences
-from quayline.plans.indicators import _IDX, S, _recursive, full, last
+from quayline.plans.indicators import _IDX, S, _recursive, _swing_sql, full, last
 from quayline.plans.registry import query
-from quayline.sources.market import daily_bars
+from quayline.sources.market import SQL_DAILY, daily_bars
 
 _STATE = f"""{_IDX}, {_recursive('e12', 'z', 'close', 12, '2.0/13')}, {_recursive('e26', 'z', 'close', 26, '2.0/27')}, {_recursive('e20', 'z', 'close', 20, '2.0/21')},
 md AS (SELECT e26.symbol, e26.i, e12.v - e26.v AS macd FROM e26 JOIN e12 USING (symbol, i)), {_recursive('sg', 'md', 'macd', 9, '2.0/10', 25)},
@@ -59,7 +59,15 @@ def state_counts(spark, sf_dir):
     return x.groupBy("symbol", "regime", "strategy").agg(F.count(F.lit(1)).alias("bars"))
 
 
-@query()
+_NEWEST = lambda kind: f"SELECT symbol, since, price, before FROM ev WHERE kind = '{kind}'"
+
+
+@query(
+    f"""WITH {SQL_DAILY}, sw AS ({_swing_sql()}), ev AS (SELECT s.symbol, b.bar_idx + 3 AS since, kind, price, lag(price) OVER (PARTITION BY s.symbol, kind ORDER BY b.bar_idx) AS before FROM sw s JOIN bars b USING (symbol, ts)),
+h AS ({_NEWEST('high')}), l AS ({_NEWEST('low')}),
+x AS (SELECT b.symbol, b.ts, h.price AS h1, h.before AS h0, l.price AS l1, l.before AS l0 FROM bars b ASOF LEFT JOIN h ON b.symbol = h.symbol AND b.bar_idx >= h.since ASOF LEFT JOIN l ON b.symbol = l.symbol AND b.bar_idx >= l.since)
+SELECT symbol, ts, CASE WHEN h0 IS NULL OR l0 IS NULL THEN 'unclear' ELSE CASE WHEN h1 > h0 THEN 'HH' ELSE 'LH' END || '-' || CASE WHEN l1 > l0 THEN 'HL' ELSE 'LL' END END AS structure FROM x"""
+)
 def swing_structure(spark, sf_dir):
     """Class of the last two confirmed swing highs and lows at every bar."""
     return ops.with_structure(daily_bars(spark, sf_dir)).select("symbol", "ts", "structure")

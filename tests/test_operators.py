@@ -168,3 +168,11 @@ def test_curve_csv_becomes_rows(spark, tmp_path):
     assert [r["id"] for r in read_journal(spark, str(tmp_path / "j.jsonl")).collect()] == ["1", "2"]
     (tmp_path / "q.csv").write_text('a,b\n"x ""y""","two\nlines"\n')
     assert tuple(read_quoted_csv(spark, str(tmp_path / "q.csv"), "a string, b string").first()) == ('x "y"', "two\nlines")
+
+
+def test_diversity_weighs_against_relevance(spark):
+    hits = spark.createDataFrame([(0, 1, 1.0, "x y z"), (0, 2, 0.9, "z y x"), (0, 3, 0.5, "other words"), (1, 4, 0.3, "alone")], "q int, id int, s double, t string")
+    order = lambda weight, k=6: [(r["q"], r["id"]) for r in retrieval.rerank_mmr(hits, "q", "id", "s", "t", k, weight).orderBy("q", "rank").collect()]
+    assert order(0.7) == [(0, 1), (0, 2), (0, 3), (1, 4)]  # 0.7 * 0.8 - 0.3 beats 0
+    assert order(0.5) == [(0, 1), (0, 3), (0, 2), (1, 4)]  # 0.5 * 0.8 - 0.5 does not
+    assert order(0.5, 2) == [(0, 1), (0, 3), (1, 4)]
