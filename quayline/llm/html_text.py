@@ -35,7 +35,8 @@ WORDS = set(
     "pager login search skip hidden disclaimer".split()
 )
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/<>]*)((?:"[^"]*"|'[^']*'|[^'"<>]|["'])*+)>|<[!?][^>]*>|[^<]+|<""", re.S)
+# quotes count after an equals sign alone
+TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/<>]*)((?:=\s*"[^"]*"|=\s*'[^']*'|[^<>])*+)>|<[!?][^>]*>|[^<]+|<""", re.S)
 ATTRIBUTE = re.compile(r"""(?<![\w-])(class|id|role|hidden|style)(?![\w-])(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 WORD = re.compile(r"[A-Z]?[a-z]+\d{0,2}(?!\d)|[A-Z]?[a-z]+|[A-Z]+")  # a number of its own counts pages, not kinds
 

@@ -60,6 +60,11 @@ def test_article_among_other_things(around):
     assert html_text.main_text(page, html_text.plan(unit, 1)) == TEXT
 
 
+def test_quotes_count_after_an_equals_sign_alone():
+    page = """<article><p it's title="a > b" data-x='<c>'>It isn't <a href=x">so</a>, is it?</p><p class="open>don't</p></article>"""
+    assert html_text.main_text(page, {"path": ["+article"], "template": []}) == "It isn't so, is it? don't"
+
+
 def test_templates_of_a_host_without_marks(spark):
     shell = "<html><body><div class=x1>Welcome to our site, read on</div><div class=x2><div>Sections: sport, news, weather and very much more of all that</div><div>{}</div></div><div class=x3>All rights reserved</div></body></html>"
     bodies = ["".join(f"<p>{prose(10 * k + j, 20)}</p>" for j in range(3)) for k in range(12)]
