@@ -81,6 +81,7 @@ def _met(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _intervals(rows: DataFrame, group: str, resamples: int, seed: int, least: int, block: int, draws: int) -> DataFrame:
     """group, n, mean, hit_rate, low, high from rows of group, _s (0 the sample, 1 what it is held against), _o, _v."""
+    rows = materialise(rows, "bootstrap-rows")  # read three times below
     named = rows.select(F.to_json(F.struct(group)).alias("_group"), F.col("_s").cast("long"), "_o", F.col("_v").cast("double"), F.lit(1).cast("long").alias("_one"))
     named = named.withColumn("_k", F.concat("_group", F.lit("|"), "_s"))
     placed = running_sums(named, "_k", ["_o"], ["_one"], ["_group", "_s", "_v"], "bootstrap-places").withColumn("at", F.col("run__one") - 1)

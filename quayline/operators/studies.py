@@ -11,6 +11,7 @@ from quayline.functions.numeric import rounded
 from quayline.operators import windows as w
 from quayline.operators.bootstrap import bootstrap_difference
 from quayline.operators.structure import thin
+from quayline.storage import materialise
 
 
 def trailing_z(value: str, lookback: int = 90) -> Column:
@@ -39,6 +40,7 @@ def pooled(found: DataFrame, horizons: Sequence[int]) -> DataFrame:
     """horizon, time, symbol, z, move: the observations of all symbols, thinned to windows that don't overlap; of one time the first symbol stays."""
     first = found.groupBy("time").agg(F.min_by(F.struct("symbol", "z", "forward"), "symbol").alias("o"))
     each = first.select("time", "o.symbol", "o.z", F.explode("o.forward").alias("horizon", "move"))
+    each = materialise(each, "study-moves")
     kept = thin(each, "horizon", "time", F.col("horizon").cast("long") * 3600)
     return each.join(kept, ["horizon", "time"])
 
@@ -51,7 +53,7 @@ def threshold_study(found: DataFrame, horizons: Sequence[int], thresholds: Seque
     it clears if the interval of the difference leaves out zero. ``split`` (seconds) adds the upper
     tail beyond 2 before and after that time, each against its own part.
     """
-    rows = pooled(found, horizons)
+    rows = materialise(pooled(found, horizons), "study-pooled")
     cells = [("all", tail, t) for t in thresholds for tail in ("high", "low")] + ([(part, "high", 2.0) for part in ("train", "test")] if split is not None else [])
     cell = F.explode(F.array(*[F.struct(F.lit(p).alias("part"), F.lit(tail).alias("tail"), F.lit(float(t)).alias("threshold")) for p, tail, t in cells])).alias("cell")
     every = rows.select("*", cell)

@@ -13,6 +13,7 @@ from quayline.operators.bootstrap import bootstrap_mean
 from quayline.plans.market_state import _STATE
 from quayline.plans.registry import query
 from quayline.sources.market import SQL_DAILY, daily_bars
+from quayline.storage import materialise
 
 _TAIL = SQL_DAILY.replace("FROM daily)", "FROM (SELECT * FROM daily QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) <= 260))")
 
@@ -192,7 +193,7 @@ def walk_forward_report(spark, sf_dir):
     for h in ("swing", "medium"):
         one = _trades(spark, sf_dir, h)
         x = one if x is None else x.unionByName(one)
-    x = x.withColumns({"_cell": F.concat_ws("|", "horizon", "strategy"), "_order": F.struct("entry_ts", "symbol")})
+    x = materialise(x, "walk-forward").withColumns({"_cell": F.concat_ws("|", "horizon", "strategy"), "_order": F.struct("entry_ts", "symbol")})
     plain = x.groupBy("_cell", "horizon", "strategy").agg(F.count(F.lit(1)).alias("trades"), rounded(F.avg("result_r")).alias("expectancy_r"))
     drawn = bootstrap_mean(x, "_cell", "result_r", "_order").select("_cell", F.col("hit_rate").alias("win_rate"), "low", "high")
     mark = F.when(F.col("low") > 0, "*").when(F.col("high") < 0, "!").otherwise("")
