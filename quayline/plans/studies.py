@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quayline.functions.numeric import rounded
 from quayline.operators import recurrences, studies
 from quayline.operators.bars import with_index
 from quayline.operators.bootstrap import sql_bootstrap
