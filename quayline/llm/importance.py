@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import partial
 
 import numpy as np
@@ -17,6 +17,7 @@ from quayline.storage import materialise
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 BUCKETS, RUN, LEAST_WORDS, PERCENT, SEED = 10_000, 1, 20, 10, 2024
+PIECE = 1 << 12  # words that a trie takes in before it may be emptied
 NODES = 1 << 18  # of a trie before it is emptied into its totals: bounds a task's memory, not what it counts
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -44,41 +45,53 @@ class Node(dict):
 class Trie:
     """The runs that a task has met. A child goes on from its parent's CRC state, so no run is hashed from its start."""
 
-    def __init__(self, run: int):
-        self.run = run
+    def __init__(self, run: int, emptied: Callable[[list[Node]], None] = lambda nodes: None):
+        self.run, self.emptied = run, emptied
         self.clear()
 
     def clear(self) -> None:
         self.nodes: list[Node] = []
         self.root = Node(self, None)
 
+    def empty(self) -> None:
+        """Hand over all nodes and begin anew."""
+        self.emptied(self.nodes)
+        self.clear()
+
     def walk(self, ws: list[str]) -> Iterator[Node]:
-        """The node of every run of 1 to ``run`` words."""
-        if self.run == 1:
-            yield from map(self.root.__getitem__, ws)
-            return
-        paths: list[Node] = []
-        for w in ws:
-            paths = [self.root[w], *(p[w] for p in paths[: self.run - 1])]
-            yield from paths
+        """The node of every run of 1 to ``run`` words.
+
+        A full trie is emptied between pieces of the text alone, and every piece begins at the new root: no node that
+        was handed over is met again.
+        """
+        for i in range(0, len(ws), PIECE):
+            if len(self.nodes) > NODES:
+                self.empty()
+            if self.run == 1:
+                yield from map(self.root.__getitem__, ws[i : i + PIECE])
+                continue
+            paths: list[Node] = []
+            for k in range(max(0, i - self.run + 1), min(i + PIECE, len(ws))):
+                w = ws[k]
+                paths = [self.root[w], *(p[w] for p in paths[: self.run - 1])]
+                if k >= i:
+                    yield from paths
 
 
 def _count(batches: Iterator[pd.DataFrame], run: int, buckets: int) -> Iterator[pd.DataFrame]:
     """Totals by bucket of one task's texts."""
-    trie, totals = Trie(run), np.zeros(buckets, np.int64)
+    totals = np.zeros(buckets, np.int64)
 
-    def empty() -> None:
-        at = np.fromiter((n.crc % buckets for n in trie.nodes), np.int64, len(trie.nodes))
-        np.add.at(totals, at, np.fromiter((n.count for n in trie.nodes), np.int64, len(trie.nodes)))
-        trie.clear()
+    def add(nodes: list[Node]) -> None:
+        at = np.fromiter((n.crc % buckets for n in nodes), np.int64, len(nodes))
+        np.add.at(totals, at, np.fromiter((n.count for n in nodes), np.int64, len(nodes)))
 
+    trie = Trie(run, add)
     for batch in batches:
         for text in batch["text"]:
             for node in trie.walk(words(text)):
                 node.count += 1
-                if len(trie.nodes) > NODES:
-                    empty()
-    empty()
+    trie.empty()
     met = np.flatnonzero(totals)
     yield pd.DataFrame({"bucket": met, "n": totals[met]})
 
@@ -112,8 +125,6 @@ def _score(batches: Iterator[pd.DataFrame], run: int, gains: np.ndarray) -> Iter
                     node.gain = table[node.crc % len(table)]
                 weight += node.gain
             out.append((len(ws), n, weight))
-            if len(trie.nodes) > NODES:
-                trie.clear()
         yield batch.drop(columns="text").assign(**dict(zip(("n_words", "n_features", "weight"), np.array(out, np.int64).reshape(-1, 3).T)))
 
 

@@ -6,6 +6,7 @@ import re
 import zlib
 from collections import Counter
 
+import pandas as pd
 import pytest
 
 from quayline.llm import importance
@@ -66,3 +67,23 @@ def test_ranks_do_not_depend_on_the_estimated_bound(spark, make, monkeypatch):
     want = plain(rows, ["a b"], 1, 3, 10)
     monkeypatch.setattr(importance.F, "percentile_approx", lambda *a: importance.F.max("score"))  # far too high
     assert as_rows(importance.resample(make(rows), target, least_words=3)) == want
+
+
+@pytest.mark.parametrize("run", [1, 2, 3])
+@pytest.mark.parametrize(("nodes", "piece"), [(5, 1), (5, 7), (0, 2), (40, 64), (1 << 18, 3)])
+def test_counts_stay_whole_when_a_trie_is_emptied_within_a_text(monkeypatch, run, nodes, piece):
+    monkeypatch.setattr(importance, "NODES", nodes)  # in this process: workers of a session don't see it
+    monkeypatch.setattr(importance, "PIECE", piece)
+    texts = [" ".join(f"w{k * k % 23}" for k in range(200)), None, "one", " ".join(f"w{k % 9}" for k in range(90))]
+    found = pd.concat(importance._count(iter([pd.DataFrame({"text": texts[:2]}), pd.DataFrame({"text": texts[2:]})]), run, importance.BUCKETS))
+    want = Counter()
+    for ws in (t.split() for t in texts if t):
+        want.update(zlib.crc32(" ".join(ws[i : i + n]).encode()) % importance.BUCKETS for n in range(1, run + 1) for i in range(len(ws) - n + 1))
+    assert dict(zip(found["bucket"], found["n"])) == want
+
+
+def test_a_text_of_more_words_than_a_trie_holds(spark, make):
+    ws = [f"n{k}" for k in range(importance.NODES + 5_000)]
+    rows = [(1, " ".join(ws + ws[:50_000] * 2), "en", "a"), (2, " ".join(ws[:30_000]), "en", "a")]
+    target = spark.createDataFrame([(0, " ".join(ws[:40_000]))], "item_id long, text string")
+    assert as_rows(importance.resample(make(rows), target, percent=50)) == plain(rows, [r["text"] for r in target.collect()], 1, 20, 50)
