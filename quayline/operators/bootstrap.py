@@ -1,4 +1,4 @@
-"""Deterministic bootstraps over blocks of values: draws meet the block that holds them, partial sums meet by resample."""
+"""Deterministic bootstraps over blocks of values: draws are made anew at each block, partial sums meet by resample."""
 
 from __future__ import annotations
 
@@ -15,8 +15,12 @@ from quayline.operators.scans import running_sums
 from quayline.storage import materialise
 
 A, C, MASK = 1664525, 1013904223, 0xFFFFFFFF  # s <- (A s + C) mod 2^32
-BLOCK = 1 << 18  # values in one row, 2 MB
+PERIOD = 1 << 32  # steps after which the generator is where it began
+ROW = 1 << 12  # values in one row, 32 kB
+BLOCK = 1 << 22  # values that a task draws from, 32 MB
 DRAWS = 1 << 20  # draws that one row of work makes
+STRIDE = 1 << 16  # draws of a large series that are made at once
+SHARE = 1 << 28  # draws of a large series that one task makes at a block
 
 
 def steps(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -60,23 +64,68 @@ def _whole(batches: Iterator[pd.DataFrame], seed: int) -> Iterator[pd.DataFrame]
         yield pd.concat(out) if out else pd.DataFrame(columns=["_group", "_s", "r", "part"])
 
 
-def _dealt(batches: Iterator[pd.DataFrame], seed: int, block: int, draws: int) -> Iterator[pd.DataFrame]:
-    """The draws of resamples over many blocks, as rows for the blocks that hold them."""
-    for batch in batches:
-        for g, s, n, offset, stride, r, begin in batch.itertuples(index=False):
-            a, c = steps(min(draws, n - begin))
-            places = np.sort(_places(a, c, jumped(seed, r * stride + offset + begin), n))
-            blocks = places // block
-            cuts = np.r_[np.flatnonzero(np.r_[True, blocks[1:] != blocks[:-1]]), len(places)]
-            rows = [(g, s, int(blocks[i]), r, n, (places[i:j] % block).astype(np.int32).tobytes()) for i, j in zip(cuts, cuts[1:])]
-            yield pd.DataFrame(rows, columns=["_group", "_s", "block", "r", "n", "places"])
-
-
-def _met(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Partial sums of draws at their block."""
-    for batch in batches:
-        parts = [np.asarray(v, float)[np.frombuffer(p, np.int32)].sum() / n for v, p, n in zip(batch["values"], batch["places"], batch["n"])]
-        yield batch[["_group", "_s", "r"]].assign(part=parts)
+def stretches(starts: np.ndarray, n: int, period: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The generator's circle cut where one of the draws' windows of n steps begins or ends: begins and ends of the
+    stretches that a window covers, and how often each window does (window, stretch)."""
+    laps, rest = divmod(n, period)
+    cuts = np.unique(np.r_[0, starts % period, (starts + rest) % period])
+    ends = np.r_[cuts[1:], period]
+    covers = np.empty((len(starts), len(cuts)), np.int16)
+    for r, start in enumerate(starts):
+        covers[r] = laps + ((cuts - start) % period < rest)
+    met = covers.any(0)
+    return cuts[met], ends[met], covers[:, met]
+
+
+def _first_state(place: int, n: int) -> int:
+    """The least state whose draw falls on the place or behind it."""
+    scale, s = n / 2.0**32, min(PERIOD, place * PERIOD // n)
+    while s < PERIOD and int(s * scale) < place:
+        s += 1
+    while s > 0 and int((s - 1) * scale) >= place:
+        s -= 1
+    return s
+
+
+def _sum_of_draws(values: np.ndarray, base: int, n: int, state: int, count: int, a: np.ndarray, c: np.ndarray) -> float:
+    """The sum of those of the ``count`` draws after a state that fall on the values, which stand at ``base`` of n."""
+    low, high = _first_state(base, n), _first_state(base + len(values), n)
+    whole, scale, total = high - low == PERIOD, n / 2.0**32, 0.0
+    while count > 0:
+        m = min(count, len(a))
+        s = a[:m] * np.uint32(state) + c[:m]  # modulo 2^32 of itself
+        state, count = int(s[-1]), count - m
+        if not whole:
+            s = s[s - np.uint32(low) < np.uint32(high - low)]
+        total += values[(s * scale).astype(np.int64) - base].sum()
+    return float(total)
+
+
+def _at_block(key: tuple, rows: pd.DataFrame, seed: int, resamples: int, block: int, draws: int) -> pd.DataFrame:
+    """Partial sums by resample of one share of a series' draws at one of its blocks.
+
+    Windows of resamples that lie on the same steps of the generator share them: a series takes no more steps than the
+    generator has states, however many draws there are.
+    """
+    n, offset, stride, shares = (int(rows[c].iloc[0]) for c in ("n", "offset", "stride", "shares"))
+    values = np.concatenate([np.asarray(v, float) for v in rows.sort_values("row")["values"]])
+    begins, ends, covers = stretches(np.arange(resamples, dtype=np.int64) * stride + offset, n, PERIOD)
+    before = np.cumsum(ends - begins) - (ends - begins)
+    whole = int((ends - begins).sum())
+    low, high = whole * key[3] // shares, whole * (key[3] + 1) // shares
+    a, c = (x.astype(np.uint32) for x in steps(min(draws, STRIDE)))
+    sums = np.zeros(len(begins))
+    for k in range(len(begins)):
+        first, last = max(int(before[k]), low), min(int(before[k] + ends[k] - begins[k]), high)
+        if first < last:
+            sums[k] = _sum_of_draws(values, key[2] * block, n, jumped(seed, int(begins[k]) + first - int(before[k])), last - first, a, c)
+    met = np.flatnonzero((before < high) & (before + ends - begins > low))
+    part = np.zeros(resamples)
+    for k in met:
+        at = np.flatnonzero(covers[:, k])
+        part[at] += covers[at, k] * sums[k]
+    r = np.flatnonzero(covers[:, met].any(1))
+    return pd.DataFrame({"_group": key[0], "_s": key[1], "r": r, "part": part[r] / n})
 
 
 def _intervals(rows: DataFrame, group: str, resamples: int, seed: int, least: int, block: int, draws: int) -> DataFrame:
@@ -85,8 +134,10 @@ def _intervals(rows: DataFrame, group: str, resamples: int, seed: int, least: in
     named = rows.select(F.to_json(F.struct(group)).alias("_group"), F.col("_s").cast("long"), "_o", F.col("_v").cast("double"), F.lit(1).cast("long").alias("_one"))
     named = named.withColumn("_k", F.concat("_group", F.lit("|"), "_s"))
     placed = running_sums(named, "_k", ["_o"], ["_one"], ["_group", "_s", "_v"], "bootstrap-places").withColumn("at", F.col("run__one") - 1)
-    value = F.transform(F.sort_array(F.collect_list(F.struct("at", "_v"))), lambda x: x["_v"])
-    blocks = materialise(placed.groupBy("_group", "_s", F.floor(F.col("at") / block).alias("block")).agg(value.alias("values")), "bootstrap-blocks")
+    row = min(ROW, block)
+    value = F.transform(F.sort_array(F.collect_list(F.struct("at", "_v"))), lambda x: x["_v"])  # of no more than a row
+    blocks = placed.groupBy("_group", "_s", F.floor(F.col("at") / block).alias("block"), F.floor(F.col("at") % block / row).alias("row")).agg(value.alias("values"))
+    blocks = materialise(blocks, "bootstrap-blocks")
 
     own, other = F.col("_s") == 0, F.col("_s") == 1
     stats = placed.groupBy("_group").agg(
@@ -102,15 +153,19 @@ def _intervals(rows: DataFrame, group: str, resamples: int, seed: int, least: in
     )
     key = "_group string, _s long, r long, part double"
     some = F.greatest(F.lit(1).cast("long"), F.floor(F.lit(draws) / F.col("n"))).cast("long")
-    work = series.filter(F.col("n") <= block).withColumn("first", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(resamples - 1).cast("long"), some)))
-    work = work.select("_group", "_s", "n", "offset", "stride", "first", F.least(some, F.lit(resamples) - F.col("first")).alias("count"))
-    one = work.join(blocks.filter("block = 0").drop("block"), ["_group", "_s"]).repartition("_group", "_s", "first")
-    sums = one.select("_group", "_s", "n", "offset", "stride", "first", "count", "values").mapInPandas(partial(_whole, seed=seed), key)
+    work = series.filter(F.col("n") <= row).join(blocks.filter("block = 0 AND row = 0").drop("block", "row").hint("merge"), ["_group", "_s"])
+    work = work.withColumn("first", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(resamples - 1).cast("long"), some)))
+    work = work.select("_group", "_s", "n", "offset", "stride", "first", F.least(some, F.lit(resamples) - F.col("first")).alias("count"), "values").repartition("_group", "_s", "first")
+    sums = work.mapInPandas(partial(_whole, seed=seed), key)
+
+    shares = F.ceil(F.least(F.lit(float(PERIOD)), F.col("n") * F.lit(float(resamples))) / SHARE).alias("shares")
+    large = series.filter(F.col("n") > row).select("*", shares).join(blocks.hint("merge"), ["_group", "_s"])  # values never reach the driver
+    large = large.withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)))
+
+    def at_block(k: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        return _at_block(k, rows, seed, resamples, block, draws)
 
-    large = series.filter(F.col("n") > block).withColumn("r", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(resamples - 1).cast("long"))))
-    large = large.withColumn("begin", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(draws).cast("long")))).repartition("_group", "_s", "r", "begin")
-    dealt = large.select("_group", "_s", "n", "offset", "stride", "r", "begin").mapInPandas(partial(_dealt, seed=seed, block=block, draws=draws), "_group string, _s long, block long, r long, n long, places binary")
-    met = dealt.join(blocks, ["_group", "_s", "block"]).select("_group", "_s", "r", "n", "values", "places").mapInPandas(_met, key)
+    met = large.groupBy("_group", "_s", "block", "share").applyInPandas(at_block, key)
 
     means = sums.unionByName(met).groupBy("_group", "r").agg(F.sum(F.when(own, F.col("part")).otherwise(-F.col("part"))).alias("mean"))
     drawn = means.groupBy("_group").agg(F.sort_array(F.collect_list("mean")).alias("_d"))  # one value a resample
@@ -123,9 +178,9 @@ def _intervals(rows: DataFrame, group: str, resamples: int, seed: int, least: in
 def bootstrap_mean(df: DataFrame, group: str, value: str, order: str, resamples: int = 1000, seed: int = 42, least: int = 10, block: int = BLOCK, draws: int = DRAWS) -> DataFrame:
     """group, n, mean, hit_rate, low, high: mean of each group and the 2.5 and 97.5 % points of its resampled means.
 
-    One generator runs through all draws of a group; each row of work jumps to its own. Values lie in blocks; a
-    group of one block is drawn where its block is, for a larger one the draws travel to the blocks.
-    No interval below ``least`` values.
+    One generator runs through all draws of a group; each row of work jumps to its own. A group of a few values is
+    drawn where they lie. A larger one lies in blocks; at each of them all draws are made anew, in shares, and those
+    that fall on the block are summed. No interval below ``least`` values.
     """
     rows = df.select(group, F.lit(0).alias("_s"), F.col(order).alias("_o"), F.col(value).alias("_v"))
     return _intervals(rows, group, resamples, seed, least, block, draws)

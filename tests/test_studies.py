@@ -92,6 +92,38 @@ def test_bootstraps_equal_one_walk(spark, block, draws):
             assert r["low"] is None and r["high"] is None
 
 
+@pytest.mark.parametrize(("n", "stride", "resamples"), [(7, 7, 9), (30, 45, 40), (97, 97, 5), (250, 260, 12), (3, 40, 2)])
+def test_windows_of_a_generator_that_comes_round(n, stride, resamples):
+    period, values = 97, np.random.default_rng(1).normal(size=97)
+    starts = np.arange(resamples) * stride + 5
+    begins, ends, covers = bootstrap.stretches(starts, n, period)
+    assert (ends - begins).sum() <= min(period, n * resamples)
+    sums = covers @ np.array([values[a:b].sum() for a, b in zip(begins, ends)])
+    assert np.allclose(sums, [values[np.arange(s, s + n) % period].sum() for s in starts])
+
+
+def test_draws_fall_on_their_blocks():
+    a, c = (x.astype(np.uint32) for x in bootstrap.steps(64))
+    for n, block in ((1000, 300), (4097, 4096), (3_000_001, 1 << 20)):
+        v = np.random.default_rng(2).normal(size=n)
+        s, want = 99, 0.0
+        for _ in range(1000):
+            s = (s * 1664525 + 1013904223) % 2**32
+            want += v[int(s / 2**32 * n)]
+        got = sum(bootstrap._sum_of_draws(v[b : b + block], b, n, 99, 1000, a, c) for b in range(0, n, block))
+        assert got == pytest.approx(want)
+
+
+def test_a_large_group_is_drawn_without_its_draws_or_values_travelling_whole(spark, monkeypatch):
+    v = np.random.default_rng(5).normal(size=9000)
+    df = spark.range(9000).select(F.lit("a").alias("g"), F.col("id").alias("k"), F.element_at(F.lit(v.tolist()), (F.col("id") + 1).cast("int")).alias("v"))
+    seen, whole = [], bootstrap.materialise
+    monkeypatch.setattr(bootstrap, "materialise", lambda df, label: seen.append((label, whole(df, label))) or seen[-1][1])
+    got = bootstrap.bootstrap_mean(df, "g", "v", "k", resamples=40).first()
+    assert np.allclose((got["low"], got["high"]), interval(42, 40, v.tolist()), atol=1e-4)
+    assert max(r["m"] for r in dict(seen)["bootstrap-blocks"].select(F.size("values").alias("m")).collect()) <= 4096
+
+
 def test_threshold_study_of_a_planted_effect(spark):
     rng = np.random.default_rng(7)
     rates, prices, start = [], [], datetime(2024, 1, 1)
