@@ -16,6 +16,7 @@ from quayline.llm import bitfilter
 from quayline.storage import materialise
 
 TOKEN = re.compile(r"\w+|[.!?\n]")
+APART = re.compile(f"({TOKEN.pattern})")  # splits a text into what stands between tokens and the tokens, in turn
 LONG = 16  # pieces of more words between marks are cut further, at words chosen by their hashes
 REACH = 8  # of any so many consecutive words of a long piece, one ends a piece
 MIN_WORDS = 8  # shorter runs of repeated pieces within a line stay; repeated lines go at any length
@@ -64,18 +65,17 @@ def _winnowed(codes: np.ndarray, number: np.ndarray) -> np.ndarray:
     return cut
 
 
-def units(texts: list[str], memo: _Tokens, unit: str) -> pd.DataFrame:
-    """Units of consecutive texts: text, unit, h1, h2, words, first and last token, and whether a unit is a whole line.
+def units(found: list[list[str]], memo: _Tokens, unit: str) -> pd.DataFrame:
+    """Units of consecutive texts, which come as their tokens: text, unit, h1, h2, words, first and last token, and whether a unit is a whole line.
 
     ``line`` units are lines. ``passage`` cuts lines further, at sentence marks and, where more than
     LONG words stand between marks, at words chosen by their hashes; a line of fewer than MIN_WORDS
     words is a unit of its own kind. Words are lower-cased runs of word characters; all else is
     dropped. A unit's two hashes add up its words' hashes mixed with their place, 128 bits in all.
     """
-    found = [TOKEN.findall(t) for t in texts]
     size = np.array([len(f) for f in found], dtype=np.int64)
     codes = np.fromiter(map(memo.__getitem__, chain.from_iterable(found)), dtype=np.uint64, count=int(size.sum()))
-    text = np.repeat(np.arange(len(texts)), size)
+    text = np.repeat(np.arange(len(found)), size)
     place = np.arange(len(codes)) - np.repeat(np.cumsum(size) - size, size)
     flags = (codes & np.uint64(7)).astype(np.int64)
     opens = place == 0
@@ -109,13 +109,23 @@ def units(texts: list[str], memo: _Tokens, unit: str) -> pd.DataFrame:
     return pd.DataFrame({"text": of, "unit": no, "h1": _mix(h1 + count.astype(np.uint64) + salt).view(np.int64), "h2": h2.view(np.int64), "words": count, "first": place[at], "last": place[at + count - 1], "whole": kind})
 
 
-def _in_batches(parts: Iterator[pd.DataFrame], unit: str) -> Iterator[tuple[pd.DataFrame, pd.DataFrame]]:
-    memo = _Tokens()
+def _in_batches(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for part in parts:
         sizes = part["text"].str.len().cumsum() // BATCH_CHARS
         for _, some in part.groupby(sizes.to_numpy(), sort=False):
-            some = some.reset_index(drop=True)
-            yield some, units(some["text"].tolist(), memo, unit)
+            yield some.reset_index(drop=True)
+
+
+def _spans(apart: list[list[str]], found: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Where units begin and end in their texts, which are split at tokens."""
+    text, first, last = (found[c].to_numpy() for c in ("text", "first", "last"))
+    starts, ends = np.zeros(len(found), np.int32), np.zeros(len(found), np.int32)
+    cuts = np.r_[np.flatnonzero(np.r_[True, text[1:] != text[:-1]]), len(text)] if len(text) else []
+    for i, j in zip(cuts, cuts[1:]):
+        pieces = apart[text[i]]
+        behind = np.cumsum(np.fromiter(map(len, pieces), np.int32, len(pieces)))
+        starts[i:j], ends[i:j] = behind[2 * first[i:j]], behind[2 * last[i:j] + 1]
+    return starts, ends
 
 
 def _row_key(id_col: str, text_col: str) -> Column:
@@ -128,7 +138,9 @@ def _passages(docs: DataFrame, unit: str, min_words: int, id_col: str, text_col:
     named = docs.select(F.col(id_col).cast("long").cast("string").alias("id"), _row_key(id_col, text_col).alias("row"), F.col(text_col).alias("text")).filter(F.col("text").isNotNull())
 
     def digests(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for some, found in _in_batches(parts, unit):
+        memo = _Tokens()
+        for some in _in_batches(parts):
+            found = units([TOKEN.findall(t) for t in some["text"]], memo, unit)
             yield pd.DataFrame({"id": some["id"].to_numpy(dtype=object)[found["text"]], "row": some["row"].to_numpy()[found["text"]], "unit": found["unit"].astype(np.int32), "h1": found["h1"], "h2": found["h2"]})
 
     rank = F.struct(F.col("id").cast("long").alias("id"), "row", "unit")  # a null id comes first
@@ -143,16 +155,14 @@ def _passages(docs: DataFrame, unit: str, min_words: int, id_col: str, text_col:
     held = docs.sparkSession.sparkContext.broadcast(bitfilter.build(earliest, "h1", FILTER_BITS))
 
     def placed(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bits = held.value
-        for some, found in _in_batches(parts, unit):
+        bits, memo = held.value, _Tokens()
+        for some in _in_batches(parts):
+            apart = [APART.split(t) for t in some["text"]]
+            found = units([p[1::2] for p in apart], memo, unit)
             found = found[bitfilter.passes(bits, found["h1"].to_numpy().view(np.uint64))]
-            starts, ends = [], []
-            for k, own in found.groupby("text", sort=False):
-                spans = [m.span() for m in TOKEN.finditer(some["text"].iat[k])]
-                starts += [spans[i][0] for i in own["first"]]
-                ends += [spans[i][1] for i in own["last"]]
+            starts, ends = _spans(apart, found)
             out = pd.DataFrame({"id": some["id"].to_numpy(dtype=object)[found["text"]], "row": some["row"].to_numpy()[found["text"]], "unit": found["unit"].astype(np.int32), "h1": found["h1"], "h2": found["h2"], "words": found["words"].astype(np.int32), "whole": found["whole"].astype(bool)})
-            yield out.assign(start=np.array(starts, np.int32), end=np.array(ends, np.int32))
+            yield out.assign(start=starts, end=ends)
 
     hits = named.mapInPandas(placed, "id string, row long, unit int, h1 long, h2 long, words int, whole boolean, start int, end int")
     repeats = hits.join(earliest, ["h1", "h2"]).filter((F.col("row") != F.col("kept_row")) | (F.col("unit") != F.col("kept_unit")))

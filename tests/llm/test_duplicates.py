@@ -392,3 +392,13 @@ def test_leaks_equal_brute_force(spark, make):
     got = {(r["doc_id"], r["item_id"]) for r in decontam.find_leaks(make(rows), bench).collect()}
     want = brute_leaks([r[:2] for r in rows], filled)
     assert got == want and 30 < len(want) < 110
+
+
+def test_spans_come_from_one_split():
+    texts = ["", "one two. three\nfour", "  ünï ,, Δx!? \n\n z_9 ", "a b c d e f g h i j k l m n o p q r s t u v w x y z"]
+    apart = [line_dedup.APART.split(t) for t in texts]
+    found = line_dedup.units([p[1::2] for p in apart], line_dedup._Tokens(), "passage")
+    starts, ends = line_dedup._spans(apart, found)
+    spans = [[m.span() for m in line_dedup.TOKEN.finditer(t)] for t in texts]
+    assert list(starts) == [spans[k][i][0] for k, i in zip(found["text"], found["first"])]
+    assert list(ends) == [spans[k][i][1] for k, i in zip(found["text"], found["last"])]
