@@ -1 +1,3 @@
 """Operators of a training-data pipeline. Nothing else in the library imports this package."""
+
+from quayline.operators import bitfilter  # noqa: F401

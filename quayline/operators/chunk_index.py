@@ -13,6 +13,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quayline.operators import bitfilter
 from quayline.operators.retrieval import chunks
 from quayline.storage import materialise
 
@@ -53,9 +54,10 @@ def load(spark: SparkSession, path: str, provider: str | None = None) -> DataFra
     The vector is the provider's, null where there is none: vectors of another provider never count.
     """
     held = entries(spark, path).filter("content_hash IS NOT NULL")
-    last = held.groupBy("content_hash").agg(F.max_by(F.struct("file", "source", "start_line", "end_line", "content"), F.struct("file", "chunk")).alias("o"))
+    owned = ("file", "source", "start_line", "end_line", "content")
+    last = held.groupBy("content_hash").agg(*[F.max_by(c, F.struct("file", "chunk", "source")).alias(c) for c in owned])  # one each: what is not asked for isn't read
     known = _read(spark, f"{path}/vectors", VECTORS).filter(F.col("provider") == F.lit(provider)).select("content_hash", "vector").dropDuplicates(["content_hash"])
-    return last.select("content_hash", "o.*").join(known, "content_hash", "left")
+    return last.join(known, "content_hash", "left")
 
 
 def sync(files: DataFrame, path: str, provider: str | None = None, embed: Embed | None = None, source: str = "memory", tokens: int = 400, overlap: int = 80, force: bool = False) -> dict[str, int]:
@@ -70,19 +72,25 @@ def sync(files: DataFrame, path: str, provider: str | None = None, embed: Embed
     version, at = versions(spark, path)
     told = files.select("file", F.coalesce("text", F.lit("")).alias("text")).withColumns({"digest": F.sha2("text", 256), "bucket": F.pmod(F.xxhash64("file"), F.lit(BUCKETS)).cast("int")})
     known = entries(spark, path).filter(F.col("source") == source).select("file", "digest", "bucket").distinct()
-    changed = told if force else told.join(known.select("file", "digest"), ["file", "digest"], "left_anti")
-    changed = materialise(changed, "index-changed")
+    changed = told if force or not at else told.join(known.select("file", "digest"), ["file", "digest"], "left_anti")
     gone = materialise(known.join(told.select("file"), "file", "left_anti").select("file", "bucket"), "index-gone")
-    touched = sorted(r["bucket"] for r in changed.select("bucket").union(gone.select("bucket")).distinct().collect())  # at most BUCKETS
 
-    cut = chunks(changed.select("file", "text"), "file", "text", tokens, overlap)
-    fresh = changed.select("file", "digest", "bucket").join(cut, "file", "left").withColumn("source", F.lit(source))  # a file without chunks keeps one row
-    fresh = materialise(fresh.select("file", "digest", "chunk", "start_line", "end_line", "content", "content_hash", "source", "bucket"), "index-fresh")
+    cut = chunks(changed, "file", "text", tokens, overlap, keep=("digest", "bucket"), bare=True)  # a file without chunks keeps one row
+    columns = ("file", "digest", "chunk", "start_line", "end_line", "content", "content_hash", "source", "bucket")
+    made_at, kind = f"{path}/entries/version={version + 1}", f"{ENTRIES}, bucket int"
+    cut.withColumn("source", F.lit(source)).select(*columns).repartition("bucket").write.partitionBy("bucket").mode("overwrite").parquet(made_at)
+    fresh = _read(spark, made_at, kind).select(*columns)  # of the files that are there now
+    changed = fresh.filter("chunk IS NULL OR chunk = 0").select("file", "bucket")
+    touched = sorted(r["bucket"] for r in changed.select("bucket").union(gone.select("bucket")).distinct().collect())  # at most BUCKETS
     if touched:
+        held = entries(spark, path, touched)
         away = changed.select("file").union(gone.select("file")).withColumn("source", F.lit(source))
-        stays = entries(spark, path, touched).join(away, ["file", "source"], "left_anti").select(*fresh.columns)
-        stays.unionByName(fresh).repartition("bucket").write.partitionBy("bucket").mode("overwrite").parquet(f"{path}/entries/version={version + 1}")
-        full = {r["bucket"] for r in stays.select("bucket").union(fresh.select("bucket")).distinct().collect()}
+        own = materialise(held.select("file", "source").distinct().join(away, ["file", "source"], "left_anti"), "index-stays")
+        if not own.isEmpty():  # contents of files that leave are not shuffled: the filter drops them, the join decides
+            may_stay = bitfilter.may_hold(own.select(F.struct("file", "source").alias("own")))
+            stays = held.filter(may_stay(F.struct("file", "source"))).join(own, ["file", "source"], "left_semi")
+            stays.select(*columns).repartition("bucket").write.partitionBy("bucket").mode("append").parquet(made_at)
+        full = {r["bucket"] for r in _read(spark, made_at, kind).select("bucket").distinct().collect()}
         at = {b: v for b, v in at.items() if b not in touched} | {b: version + 1 for b in touched if b in full}
 
     embedded = 0

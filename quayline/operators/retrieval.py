@@ -23,11 +23,12 @@ def paragraphs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return out.select(id_col, (F.col("a") + 1).alias("start_line"), (F.col("b") + 1).alias("end_line"), trimmed(F.col("content")).alias("content"))
 
 
-def chunks(docs: DataFrame, id_col: str, text_col: str, tokens: int = 400, overlap: int = 80) -> DataFrame:
-    """Greedy chunks of whole paragraphs: id, chunk, start_line, end_line, content, content_hash.
+def chunks(docs: DataFrame, id_col: str, text_col: str, tokens: int = 400, overlap: int = 80, keep: tuple[str, ...] = (), bare: bool = False) -> DataFrame:
+    """Greedy chunks of whole paragraphs: id, the columns ``keep``, chunk, start_line, end_line, content, content_hash.
 
     A chunk takes paragraphs while they fit in ``tokens`` x 3.5 characters and at least one; the next
     one begins with the trailing paragraphs that fit in the overlap, but never with all of them.
+    ``bare`` gives a text without chunks one row with nulls.
     """
     budget, carry = int(tokens * 3.5), int(overlap * 3.5)
 
@@ -55,11 +56,15 @@ def chunks(docs: DataFrame, id_col: str, text_col: str, tokens: int = 400, overl
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(i, k, *c) for i, t in batch[[id_col, text_col]].itertuples(index=False) if t for k, c in enumerate(cut(t))]
-            yield pd.DataFrame(rows, columns=[id_col, "chunk", "start_line", "end_line", "content"])
-
-    kind = docs.schema[id_col].dataType.simpleString()
-    out = docs.select(id_col, text_col).mapInPandas(run, f"{id_col} {kind}, chunk int, start_line int, end_line int, content string")
+            rows = []
+            for *own, t in batch[[id_col, *keep, text_col]].itertuples(index=False):
+                cuts = [(*own, k, *c) for k, c in enumerate(cut(t))] if t else []
+                rows += cuts or [(*own, None, None, None, None)] * bare
+            out = pd.DataFrame(rows, columns=[id_col, *keep, "chunk", "start_line", "end_line", "content"])
+            yield out.astype({c: "Int32" for c in ("chunk", "start_line", "end_line")})
+
+    kinds = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in (id_col, *keep))
+    out = docs.select(id_col, *keep, text_col).mapInPandas(run, f"{kinds}, chunk int, start_line int, end_line int, content string")
     return out.withColumn("content_hash", F.sha2("content", 256))
 
 

@@ -49,3 +49,15 @@ def test_second_sync_equals_a_rebuild_and_leaves_the_rest(spark, tmp_path):
         assert rows(spark, a) == []
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_a_sync_keeps_no_second_copy_of_texts(spark, tmp_path, monkeypatch):
+    kept, whole = [], chunk_index.materialise
+    monkeypatch.setattr(chunk_index, "materialise", lambda df, label: kept.append(df.columns) or whole(df, label))
+    path = f"file://{tmp_path}/c"
+    chunk_index.sync(files(spark, {"a": "one\n\ntwo", "b": "", "c": "three"}), path, tokens=1, overlap=0)
+    did = chunk_index.sync(files(spark, {"a": "one\n\n2", "b": "", "d": None}), path, tokens=1, overlap=0)
+    assert (did["files"], did["changed"], did["removed"]) == (3, 2, 1)
+    assert kept and not any({"text", "content"} & set(c) for c in kept)
+    held = chunk_index.entries(spark, path).select("file", "chunk", "content").collect()
+    assert sorted(map(tuple, held), key=str) == sorted([("a", 0, "one"), ("a", 1, "2"), ("b", None, None), ("d", None, None)], key=str)
