@@ -4,6 +4,7 @@ import difflib
 import random
 
 import numpy as np
+import pyarrow as pa
 
 from quayline.operators import diffs
 from quayline.sources import feeds
@@ -44,6 +45,17 @@ def test_rendering(spark):
     assert tuple(got[1])[1:] == (0, 0, None, "") and tuple(got[2])[1:] == (0, 1, 1, "+1 x")
 
 
+def test_differences_come_in_lots(monkeypatch):
+    monkeypatch.setattr(diffs, "LOT", 20)
+    olds = ["a\nb\nc", None, "x" * 30, "", "one\ntwo"] * 3
+    news = ["a\nc", "new", "x" * 30, None, "one\n2"] * 3
+    batch = pa.RecordBatch.from_pydict({"k": list(range(15)), "old": olds, "new": news})
+    lots = list(diffs._found(iter([batch, batch.slice(0, 0)]), 2))
+    assert len(lots) == 6 and max(x.num_rows for x in lots) <= 4
+    rows = [tuple(r.values()) for x in lots for r in x.to_pylist()]
+    assert rows == [(k, *diffs.rendered(a or "", b or "", 2)) for k, (a, b) in enumerate(zip(olds, news))]
+
+
 ITEM = "<item><title>{}</title><link>http://l/{}</link><pubDate>Mon, 5 Jan 2026 10:00:00 GMT</pubDate><description>{}</description></item>"
 
 
